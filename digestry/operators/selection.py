@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from digestry.settings import Settings
 
-_DOMAIN = F.coalesce(F.col("domain"), F.lit("other"))
-_CHANNEL = F.coalesce(F.col("channel"), F.lit(""))
-
 
 def _best(rows: DataFrame, groups: Sequence, order: Sequence, count: int) -> DataFrame:
     """Best rows of each group. Spark applies the limit before the shuffle as well, so no group gets large."""
@@ -35,7 +32,7 @@ def with_room(rows: DataFrame, s: Settings, keys: Sequence[str], order: Sequence
     in_domain = s.per_domain + (s.total // s.per_channel) * both
     in_channel = s.per_channel + (s.total // s.per_domain) * both
     in_brief = s.total + (s.total // s.per_domain) * in_domain + (s.total // s.per_channel) * in_channel
-    rows = rows.withColumn("_domain", _DOMAIN).withColumn("_channel", _CHANNEL)
+    rows = rows.withColumns({"_domain": F.coalesce("domain", F.lit("other")), "_channel": F.coalesce("channel", F.lit(""))})
     rows = _best(rows, [*keys, "_domain", "_channel"], order, both)
     rows = _best(rows, [*keys, "_domain"], order, in_domain)
     rows = _best(rows, [*keys, "_channel"], order, in_channel)
