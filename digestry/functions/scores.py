@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from digestry.functions import text as X
-from digestry.rules import LINK_PATTERN
+from digestry.rules import LINK_MARKS
 
 _HOUR = 3_600_000_000  # microseconds
 
@@ -50,7 +50,10 @@ def recency(published_at: Column, as_of: datetime) -> Column:
 
 
 def tracked_link(text: Column) -> Column:
-    return text.rlike(LINK_PATTERN)
+    first, *others = [F.contains(text, F.lit(mark)) for mark in LINK_MARKS]
+    for found in others:
+        first = first | found
+    return first
 
 
 def spam_penalty(text: Column, spam_keywords: Sequence[str]) -> Column:

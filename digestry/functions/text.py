@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ _WORD = r"[\p{L}\p{N}_]+"
 _DURATION = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
 
 # Keyword tests up to this many are written out, so that code generation covers them.
-_UNROLLED_KEYWORDS = 24
+_UNROLLED_KEYWORDS = 200
 
 
 def text_or_empty(value: Column) -> Column:
@@ -44,8 +44,13 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
         for word in words[1:]:
             total = total + F.contains(text, F.lit(word)).cast("int")
         return F.coalesce(total, F.lit(0))
-    found = F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
-    return F.greatest(F.size(found), F.lit(0))
+    table = F.array(*[F.lit(w) for w in words])
+    return F.coalesce(once(text, lambda t: F.size(F.filter(table, lambda w: F.contains(t, w)))), F.lit(0))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate a costly value one time for an expression that refers to it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def occurrences(text: Column, word: Column) -> Column:

@@ -15,13 +15,13 @@ def domain_of(text: Column, allowed: Column, s: Settings) -> Column:
     The earliest configured domain wins ties; without any hit it is the first allowed one. Counts are column
     expressions over the configured words, so classification stays inside the scan's stage.
     """
-    hits = [(domain, F.when(F.array_contains(allowed, domain), X.keyword_hits(text, words)).otherwise(0))
-            for domain, words in s.domain_keywords]
-    best = F.struct(F.lit(0).alias("hits"), F.get(allowed, F.lit(0)).alias("domain"))
-    ranked = F.array(best, *[F.struct(F.coalesce(n, F.lit(0)).alias("hits"), F.lit(d).alias("domain"))
-                             for d, n in hits])
-    top = F.array_max(F.transform(ranked, lambda r: r["hits"]))
-    return F.get(F.filter(ranked, lambda r: r["hits"] == top), F.lit(0))["domain"]
+    # Compared by hits, then by place: the first allowed domain beats all others without hits.
+    candidates = [F.struct(F.lit(0).alias("hits"), F.lit(1).alias("place"), F.get(allowed, F.lit(0)).alias("domain"))]
+    for i, (domain, words) in enumerate(s.domain_keywords):
+        hits = F.when(F.array_contains(allowed, domain), X.keyword_hits(text, words)).otherwise(0)
+        candidates.append(F.struct(F.coalesce(hits, F.lit(0)).alias("hits"), F.lit(-i).alias("place"),
+                                   F.lit(domain).alias("domain")))
+    return F.array_max(F.array(*candidates))["domain"]
 
 
 def classify(items: DataFrame, s: Settings, allowed: str = "domains") -> DataFrame:

@@ -12,9 +12,9 @@ from digestry.functions import text as X
 from digestry.settings import Settings
 
 
-def base_components(s: Settings) -> dict[str, Column]:
-    """Rule components that need nothing but the item's own row."""
-    text = X.searchable(F.col("title"), F.col("description"))
+def base_components(s: Settings, text: Column | None = None) -> dict[str, Column]:
+    """Rule components that need nothing but the item's own row. `text` is what keywords are looked for in."""
+    text = X.searchable(F.col("title"), F.col("description")) if text is None else text
     return {
         "credibility": S.credibility(F.col("channel"), F.col("views"), s.whitelist),
         "length": S.length(F.col("kind"), F.col("duration"), F.col("description")),
@@ -48,9 +48,11 @@ def score_items(items: DataFrame, s: Settings, source_weights: DataFrame | None
                 domain_weights: DataFrame | None = None, per: Sequence[str] = (),
                 keep: Sequence[str] | None = None) -> DataFrame:
     """Add `quality_score`. `keep` limits the columns handed on, before anything is shuffled."""
-    c = base_components(s)
+    # The text is referred to many times; as a column of its own it is put together once per row.
+    items = items.withColumn("_text", X.searchable(F.col("title"), F.col("description")))
+    c = base_components(s, F.col("_text"))
     base = (c["credibility"] + c["length"] + c["engagement"] + c["relevance"] + c["recency"] - c["spam"])
-    columns = list(keep) if keep is not None else items.columns
+    columns = list(keep) if keep is not None else [n for n in items.columns if n != "_text"]
     scored = items.select(*columns, base.cast("bigint").alias("_base"))
     scored = with_preferences(scored, source_weights, domain_weights, per)
     total = F.greatest(F.col("_base") + F.col("preference"), F.lit(0).cast("bigint"))

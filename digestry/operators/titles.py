@@ -53,39 +53,63 @@ def _walk(entries: Column) -> Column:
     return F.aggregate(entries, start, step)["done"]
 
 
-def _fold(rows: DataFrame, keys: Sequence[str], score: str, ordinal: str) -> DataFrame:
-    """(keys, ordinal, duplicate_of) for briefings known to be small enough for one array."""
-    entry = F.struct((-F.col(score)).alias("_worst"), F.col(ordinal).alias("_tie"), F.col("_words"))
-    lists = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    return (lists.select(*keys, F.explode(_walk(F.col("_entries"))).alias("_d"))
-            .select(*keys, F.col("_d._tie").alias(ordinal), F.col("_d._of").alias("duplicate_of")))
+def _fold(rows: DataFrame, keys: Sequence[str], score: str, ordinal: str, carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, ordinal, duplicate_of, carried columns) for briefings known to be small enough for one array."""
+    entry = F.struct((-F.col(score)).alias("_worst"), F.col(ordinal).alias("_tie"), F.col("_words"), *carry)
+    lists = (rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+             .withColumn("_done", _walk(F.col("_entries"))))
+    # Both arrays are in walking order.
+    return (lists.select(*keys, F.explode(F.arrays_zip("_entries", "_done")).alias("_z"))
+            .select(*keys, F.col("_z._done._tie").alias(ordinal), F.col("_z._done._of").alias("duplicate_of"),
+                    *[F.col("_z._entries")[c].alias(c) for c in carry]))
+
+
+def _split_by_size(stored: DataFrame, s: Settings, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of briefings that fit one array, and of the larger ones (None if there are none)."""
+    large = (stored.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > s.fold_rows).select(*keys))
+    if large.isEmpty():
+        return stored, None
+    large = settle(large, "large-briefs")
+    return stored.join(large, keys, "left_anti"), stored.join(large, keys, "left_semi")
 
 
 def match_titles(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",), score: str = "quality_score",
                  ordinal: str = "ord", title: str = "title") -> DataFrame:
     """(keys, ordinal, duplicate_of) for all rows. `ordinal` must be unique within a briefing."""
     keys = list(keys)
-    slim = rows.select(*keys, score, ordinal, F.array_sort(X.title_tokens(F.col(title))).alias("_words"))
-    large = (rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-             .where(F.col("_n") > s.fold_rows).select(*keys))
-    if large.isEmpty():
-        return _fold(slim, keys, score, ordinal)
-    large = settle(large, "large-briefs")
-    small = _fold(slim.join(large, keys, "left_anti"), keys, score, ordinal)
-    return small.unionByName(_match_large(slim.join(large, keys, "left_semi"), s, keys, score, ordinal))
+    return _match(settle(rows.select(*keys, score, ordinal, title), "titles"), s, keys, score, ordinal, title)
+
+
+def _match(stored: DataFrame, s: Settings, keys: list[str], score: str, ordinal: str, title: str) -> DataFrame:
+    slim = stored.select(*keys, score, ordinal, F.array_sort(X.title_tokens(F.col(title))).alias("_words"))
+    small, large = _split_by_size(slim, s, keys)
+    done = _fold(small, keys, score, ordinal)
+    return done if large is None else done.unionByName(_match_large(large, s, keys, score, ordinal))
 
 
 def drop_similar_titles(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",),
-                        score: str = "quality_score", ordinal: str = "ord", title: str = "title") -> DataFrame:
-    """Rows whose title is kept."""
-    kept = match_titles(rows, s, keys, score, ordinal, title).where(F.col("duplicate_of").isNull())
-    return rows.join(kept.drop("duplicate_of"), [*keys, ordinal], "left_semi")
+                        score: str = "quality_score", ordinal: str = "ord", title: str = "title",
+                        stored: bool = False) -> DataFrame:
+    """Rows whose title is kept. Hand in the columns needed later only: rows are stored first (or say `stored`)."""
+    keys = list(keys)
+    rows = rows if stored else settle(rows, "titled-rows")
+    columns = [c for c in rows.columns if c not in (*keys, ordinal)]
+    small, large = _split_by_size(rows.withColumn("_words", F.array_sort(X.title_tokens(F.col(title)))), s, keys)
+    kept = (_fold(small, keys, score, ordinal, columns).where(F.col("duplicate_of").isNull())
+            .select(*rows.columns))
+    if large is None:
+        return kept
+    unique = (_match_large(large.select(*keys, score, ordinal, "_words"), s, keys, score, ordinal)
+              .where(F.col("duplicate_of").isNull()).select(*keys, ordinal))
+    return kept.unionByName(large.select(*rows.columns).join(unique, [*keys, ordinal], "left_semi"))
 
 
 def title_matches(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",), score: str = "quality_score",
                   ordinal: str = "ord", title: str = "title") -> DataFrame:
     """Each dropped title with the kept title that displaces it: one row per dropped title, never all pairs."""
-    found = match_titles(rows, s, keys, score, ordinal, title).where(F.col("duplicate_of").isNotNull())
+    keys = list(keys)
+    rows = settle(rows.select(*keys, score, ordinal, title), "titles")
+    found = _match(rows, s, keys, score, ordinal, title).where(F.col("duplicate_of").isNotNull())
     words = F.array_sort(X.title_tokens(F.col(title)))
     dropped = rows.select(*keys, ordinal, words.alias("_a"))
     kept = rows.select(*keys, F.col(ordinal).alias("duplicate_of"), words.alias("_b"))

@@ -76,15 +76,16 @@ def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_
         return closed
     rows = scored.join(settle(open_briefs, "open-briefs"), keys, "left_semi")
     rest = settle(passing_with_fallback(rows, s, keys).drop("threshold_used"), "open-rows")
-    return closed.unionByName(select_top(drop_similar_titles(rest, s, keys), s, keys))
+    return closed.unionByName(select_top(drop_similar_titles(rest, s, keys, stored=True), s, keys))
 
 
 def funnel(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",)) -> DataFrame:
     """Per briefing: items collected, above the threshold, left after removing similar titles, selected."""
     keys = list(keys)
-    slim = scored.select(*keys, "ord", "domain", "channel", "title", "quality_score")
-    kept = settle(slim.where(F.col("quality_score") >= s.threshold)
-                  .transform(lambda d: drop_similar_titles(d, s, keys)), "unique-titles")
+    # Scores are costly: store them once, with only the columns the rest looks at.
+    slim = settle(scored.select(*keys, "ord", "domain", "channel", "title", "quality_score"), "scored")
+    kept = settle(drop_similar_titles(slim.where(F.col("quality_score") >= s.threshold), s, keys, stored=True),
+                  "unique-titles")
     selected = select_top(kept, s, keys).groupBy(*keys).agg(F.count("*").alias("selected"))
     unique = kept.groupBy(*keys).agg(F.count("*").alias("unique_titles"))
     counts = slim.groupBy(*keys).agg(F.count("*").alias("collected"),

@@ -75,7 +75,7 @@ def best_of_keywords(videos: DataFrame, s: Settings) -> DataFrame:
     rest = [c for c in videos.columns if c != "domain"]
     matched = (videos.where(F.col("published_at") >= _since(s.as_of))
                .withColumn("_text", text)
-               .withColumn("_hit", F.explode(F.filter(table, lambda k: F.contains(F.col("_text"), k["_word"]))))
+               .withColumn("_hit", F.explode(X.once(F.col("_text"), lambda t: F.filter(table, lambda k: F.contains(t, k["_word"])))))
                .select(*rest, "_hit.keyword", "_hit.keyword_ord", "_hit.domain",
                        X.occurrences(F.col("_text"), F.col("_hit._word")).alias("occurrences")))
     best = (Window.partitionBy("keyword_ord")

@@ -24,6 +24,7 @@ def _with(*parts: str, recursive: bool = False) -> str:
     return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts)
 
 
+LINK_PATTERN = r"bit\.ly|utm_|affiliate"
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 
 ITEMS = f"""
@@ -80,7 +81,7 @@ COMPONENTS = {
     "recency": "CASE WHEN published_at IS NULL THEN 3 WHEN (ord * 7) % 48 < 6 THEN 10 WHEN (ord * 7) % 48 < 12 THEN 7 "
                "WHEN (ord * 7) % 48 < 24 THEN 5 ELSE 0 END",
     "spam": f"least(15 * {_hits(P.spam_keywords)}, 45) + "
-            f"CASE WHEN regexp_matches(txt, '{rules.LINK_PATTERN}') THEN 15 ELSE 0 END",
+            f"CASE WHEN regexp_matches(txt, '{LINK_PATTERN}') THEN 15 ELSE 0 END",
 }
 BASE = " + ".join(f"({COMPONENTS[k]})" for k in COMPONENTS if k != "spam") + f" - ({COMPONENTS['spam']})"
 PREFERENCE = "3 * coalesce(sw.weight, 0) + 2 * coalesce(dw.weight, 0)"
@@ -330,7 +331,7 @@ SELECT item_id, {_classified('allowed', 'txt')} AS domain FROM (
     "keyword_hits": f"{_with(ITEMS)} SELECT item_id, {_hits(P.all_keywords)} AS hits FROM items",
     "duration_minutes": f"""{_with(ITEMS)}
 SELECT item_id, (ord % 17) * 60 + ord % 60 AS seconds, {LABEL} AS label FROM items""",
-    "tracking_links": f"SELECT page_id, regexp_matches(url, '{rules.LINK_PATTERN}') AS tracked FROM pages",
+    "tracking_links": f"SELECT page_id, regexp_matches(url, '{LINK_PATTERN}') AS tracked FROM pages",
     "score_feedback": f"""{_with(ITEMS, REACTIONS, PREFS)}
 SELECT i.item_id, {PREFERENCE} AS points FROM {JOIN_PREFS}""",
     "quality_score": f"{_with(TO_SCORED)} SELECT brief_id, ord, item_id, quality_score FROM scored",

@@ -31,6 +31,10 @@ def _epoch(column: str):
     return F.unix_timestamp(column).cast("bigint").alias(column)
 
 
+def _utc_text(column: str, pattern: str):
+    return F.date_format(F.to_utc_timestamp(column, F.current_timezone()), pattern)
+
+
 # --- Sources -----------------------------------------------------------------------------------------------------
 
 @query
@@ -40,7 +44,7 @@ def ingest_flatten(spark, folder):
     payload = F.to_json(F.struct(F.array(F.struct(
         F.col("item_id").alias("id"),
         F.struct("title", F.col("channel").alias("channelTitle"), "description",
-                 F.concat(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("publishedAt"))
+                 F.concat(_utc_text("published_at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("publishedAt"))
         .alias("snippet"),
         F.when(F.col("ord") % 5 > 0, F.struct(F.col("views").cast("string").alias("viewCount"),
                                               F.when(F.col("ord") % 4 > 0, F.col("likes").cast("string"))
@@ -49,7 +53,7 @@ def ingest_flatten(spark, folder):
         .alias("statistics"),
         F.struct("duration").alias("contentDetails"))).alias("items")))
     rows = videos.flatten_payloads(videos.parse_payloads(docs.select(payload.alias("payload"))))
-    return rows.withColumn("published_at", F.unix_timestamp("published_at").cast("bigint"))
+    return rows.withColumn("published_at", _epoch("published_at"))
 
 
 @query
@@ -103,7 +107,7 @@ def _feed_files(spark, folder):
         return value
 
     rows = V.items(spark, folder)
-    rfc = F.concat(F.date_format("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    rfc = F.concat(_utc_text("published_at", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
     entry = F.concat(
         F.lit("<item>"),
         F.when(F.col("ord") % 3 > 0, F.concat(F.lit('<guid isPermaLink="false">g'), "item_id", F.lit("</guid>")))

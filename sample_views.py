@@ -43,7 +43,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
     counts = events.groupBy("user_id").agg(total("view", 100).alias("v"), total("click", 20).alias("l"),
                                            total("purchase", 2).alias("c"))
     joined = docs.withColumn("_u", F.col("doc_id") % 15).join(counts.withColumnRenamed("user_id", "_u"), "_u", "left")
-    first_line = F.split_part("text", F.lit("\n"), F.lit(1))
+    headline = F.substring_index(F.substring_index("text", "\n", 1), ". ", 1)
     return joined.select(
         F.expr("doc_id div 100").alias("brief_id"), F.expr("doc_id div 100").alias("user_id"),
         F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("item_id"),
@@ -51,7 +51,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
         F.col("source").alias("channel"),
         F.expr("CASE lang WHEN 'en' THEN 'AI' WHEN 'fr' THEN '芯片' WHEN 'de' THEN '机器人' ELSE 'other' END")
         .alias("domain"),
-        F.split_part(first_line, F.lit(". "), F.lit(1)).alias("title"),
+        headline.alias("title"),
         F.substring("text", 1, 2000).alias("description"),
         F.when(F.col("doc_id") % 29 > 0,
                F.timestamp_seconds(F.lit(int(SETTINGS.as_of.timestamp())) - (F.col("doc_id") * 7) % 48 * 3600))
@@ -117,7 +117,7 @@ def selected(spark: SparkSession, folder: str) -> DataFrame:
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """Generated answers: labelled, bare or missing."""
-    title = F.split_part(F.split_part("text", F.lit("\n"), F.lit(1)), F.lit(". "), F.lit(1))
+    title = F.substring_index(F.substring_index("text", "\n", 1), ". ", 1)
     raw = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("摘要： "), title, F.lit("\nWhy it matters：: "), "lang",
                                                     F.lit("  ")))
            .when(F.col("doc_id") % 3 == 1, title))
