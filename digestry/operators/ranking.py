@@ -35,16 +35,19 @@ def ranked(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",), sc
 
     Briefings above `rank_group_rows` rows are cut into ordered pieces by (score, range of ordinals); each piece
     is sorted on its own and starts at the number of rows in the pieces before it. The list of such briefings has
-    at most rows / rank_group_rows entries, which bounds what is broadcast. `sizes_from` may name a
-    cheaper table with at least the same rows to take the sizes from.
+    at most rows / rank_group_rows entries, which bounds what is broadcast. `sizes_from` may name a cheaper table
+    with at least the same (keys, ordinal) to take the sizes from.
     """
     keys, limit = list(keys), s.rank_group_rows
-    large = ((sizes_from if sizes_from is not None else rows).groupBy(*keys).agg(F.count("*").alias("_n"))
-             .where(F.col("_n") > limit).select(*keys, F.lit(True).alias("_large")))
-    is_large = F.col("_large").isNotNull()
+    # Ranges as wide as it takes to spread the ordinals of a briefing over rows / limit of them.
+    width = F.floor((F.col("_max") - F.col("_min")) / F.ceil(F.col("_n") / limit)) + 1
+    large = ((sizes_from if sizes_from is not None else rows).groupBy(*keys)
+             .agg(F.count("*").alias("_n"), F.min(ordinal).alias("_min"), F.max(ordinal).alias("_max"))
+             .where(F.col("_n") > limit).select(*keys, width.alias("_width")))
+    is_large = F.col("_width").isNotNull()
     pieces = (rows.join(F.broadcast(large), keys, "left")
               .withColumn("_piece_score", F.when(is_large, -F.col(score)).otherwise(0).cast("bigint"))
-              .withColumn("_piece_range", F.when(is_large, F.floor(F.col(ordinal) / limit)).otherwise(0)
+              .withColumn("_piece_range", F.when(is_large, F.floor(F.col(ordinal) / F.col("_width"))).otherwise(0)
                           .cast("bigint")))
     piece = [*keys, "_piece_score", "_piece_range"]
     before = (Window.partitionBy(*keys).orderBy("_piece_score", "_piece_range")
@@ -55,4 +58,4 @@ def ranked(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",), sc
     return (pieces.withColumn("_place", F.row_number().over(inside))
             .join(starts, piece, "left")
             .withColumn(out, F.col("_place") + F.coalesce(F.col("_start"), F.lit(0)))
-            .drop("_large", "_piece_score", "_piece_range", "_place", "_start"))
+            .drop("_width", "_piece_score", "_piece_range", "_place", "_start"))

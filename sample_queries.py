@@ -233,7 +233,7 @@ def threshold_fallback(spark, folder):
 @query
 def ranked_items(spark, folder):
     rows = ranking.passing(V.scored(spark, folder), P).select(*V.KEYS_AND_SCORE)
-    sizes = V.items(spark, folder).select("brief_id")
+    sizes = V.items(spark, folder).select("brief_id", "ord")
     return ranking.ranked(rows, P, sizes_from=sizes).withColumn("rank", F.col("rank").cast("bigint"))
 
 

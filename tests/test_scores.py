@@ -1,0 +1,104 @@
+"""Scores of hand-made rows under the default rules, as listed in FIXTURES.md."""
+
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from digestry import Settings, schema
+from digestry.functions import text as X
+from digestry.operators.classify import domain_of
+from digestry.operators.scoring import score_items
+
+NOW = datetime(2026, 4, 24, 8, tzinfo=timezone.utc)
+S = Settings(as_of=NOW)
+WL = "Anthropic"
+# name, channel, kind, title, description, views, likes, comments, duration, authority, age, source w., domain w., score
+ROWS = [
+    ("S1", WL, "YouTube", "NVIDIA GPU chip", "", 50000, 6000, 0, "PT14M", None, 4, 0, 0, 85),
+    ("S2", "c", "YouTube", "Weather report", "", 10001, 1001, 0, "PT5M", None, 11, 0, 0, 47),
+    ("S3", "c", "YouTube", "Weather report", "", 10000, 1000, 0, "PT4M59S", None, 12, 0, 0, 25),
+    ("S4", WL, "RSS", "Weather report", "x" * 1000, 0, 0, 0, None, "high", None, 0, 0, 58),
+    ("S5", "c", "RSS", "Weather report", "x" * 499, 0, 0, 0, None, None, 24, 0, 0, 20),
+    ("S6", "c", "YouTube", "giveaway sponsored unboxing fps", "", 0, 0, 0, "P0D", None, -1, 0, 0, 0),
+    ("S7", WL, "YouTube", "affiliate link inside", "", 0, 5001, 0, "PT10M", None, 5, 0, 0, 40),
+    ("S8", "c", "YouTube", "Weather report", "", 10001, 1001, 0, "PT5M", None, 11, -2, -2, 37),
+    ("S9", "c", "YouTube", "Weather report", "", 10001, 1001, 0, "PT5M", None, 11, 1, 1, 52),
+    ("S10", "c", "YouTube", "AI chip robot GPU NVIDIA", "", 0, 0, 51, "PT2M", None, 23.99, 0, 0, 45),
+    ("S11", "c", "YouTube", "he said so", "", 0, 100, 0, "PT1M54S", None, 6, 0, 0, 20),
+    ("S12", "c", "RSS", "Weather report", "x" * 200, 0, 0, 0, None, "strange", 48, 0, 0, 13),
+    ("S13", "c", "Other", "Weather report", "x" * 500, 0, 0, 101, "PT60M", None, 0, 0, 0, 35),
+    ("S14", WL, "YouTube", "AI chip robot GPU NVIDIA", "", 0, 6000, 0, "PT10M", None, 0, 1, 1, 95),
+]
+
+
+def test_scores_of_fixture_rows(spark):
+    rows = []
+    for i, (name, channel, kind, title, desc, views, likes, comments, dur, auth, age, *_) in enumerate(ROWS):
+        at = None if age is None else NOW - timedelta(hours=age)
+        rows.append((i, i, name, kind, channel, "AI", title, desc, None, at, views, likes, comments, dur, "", auth, "en"))
+    items = spark.createDataFrame(rows, schema.ITEMS)
+    # Each row is its own reader, so that each can have its own weights.
+    sources = spark.createDataFrame([(i, r[1], float(r[-3])) for i, r in enumerate(ROWS)],
+                                    "brief_id bigint, channel string, weight double")
+    domains = spark.createDataFrame([(i, "AI", float(r[-2])) for i, r in enumerate(ROWS)],
+                                    "brief_id bigint, domain string, weight double")
+    out = score_items(items, S, sources, domains, per=("brief_id",))
+    assert {r.item_id: r.quality_score for r in out.collect()} == {r[0]: r[-1] for r in ROWS}
+
+
+def test_preference_drops_the_fraction_toward_zero(spark):
+    from digestry.functions.scores import preference
+    df = spark.createDataFrame([(0.5, 0.1), (-0.5, -0.1), (None, 1.0)], "a double, b double")
+    assert [r[0] for r in df.select(preference(F.col("a"), F.col("b"))).collect()] == [1, -1, 2]
+
+
+@pytest.mark.parametrize("words", [5, 300])
+def test_keyword_hits_written_out_and_as_a_list(spark, words):
+    keywords = [f"Key{i}." for i in range(words)]
+    text = "key1. key1. KEY4. key299."
+    df = spark.createDataFrame([(text.lower(),), (None,)], "t string")
+    got = [r[0] for r in df.select(X.keyword_hits(F.col("t"), keywords)).collect()]
+    assert got == [2 if words == 5 else 3, 0]
+
+
+def test_classification(spark):
+    df = spark.createDataFrame([
+        ("ai chip", ["AI", "芯片"]), ("ai chip", ["芯片", "AI"]), ("nothing", ["芯片", "AI"]),
+        ("a robot and a chip and a gpu", ["AI", "机器人"]), ("gpu chip ai", ["AI", "芯片"])], "t string, d array<string>")
+    got = [r[0] for r in df.select(domain_of(F.col("t"), F.col("d"), S)).collect()]
+    assert got == ["AI", "AI", "芯片", "机器人", "芯片"]
+
+
+@pytest.mark.parametrize("part, whole, text", [(8, 128, "6.2"), (8, 67, "11.9"), (127, 2000, "6.3"), (0, 0, "0")])
+def test_rate(spark, part, whole, text):
+    df = spark.createDataFrame([(part, whole)], "a bigint, b bigint")
+    assert df.select(X.one_decimal_percent(F.col("a"), F.col("b"))).first()[0] == text
+
+
+def test_rate_rounds_like_binary_half_even(spark):
+    rows = [(k, n) for n in range(1, 400, 3) for k in range(0, n + 1, 2)]
+    df = spark.createDataFrame(rows, "a bigint, b bigint")
+    for k, n, text in df.select("a", "b", X.one_decimal_percent(F.col("a"), F.col("b"))).collect():
+        assert text == f"{k / n * 100:.1f}"
+
+
+def test_duration_labels(spark):
+    given = ["PT1H2M3S", "PT44M", "PT30S", "P0D", "", None]
+    df = spark.createDataFrame([(d,) for d in given], "d string")
+    got = [tuple(r) for r in df.select(X.duration_label(F.col("d")), X.duration_seconds(F.col("d"))).collect()]
+    assert got == [("1小时2分钟", 3723), ("44 分钟", 2640), ("0 分钟", 30), ("", 0), ("", 0), ("", 0)]
+
+
+def test_responses(spark):
+    given = ["摘要：A\nWhy it matters：B", "摘要:A", "plain", " kept as is "]
+    df = spark.createDataFrame([(d,) for d in given], "d string")
+    got = [tuple(r) for r in df.select(*X.parse_response(F.col("d"))).collect()]
+    assert got == [("A", "B"), ("A", ""), ("plain", ""), (" kept as is ", "")]
+
+
+def test_path_encoding(spark):
+    from urllib.parse import quote
+    given = ["a b/c~d*e", "机器人 50% & more+?", "it's (ok)! -_."]
+    df = spark.createDataFrame([(d,) for d in given], "d string")
+    assert [r[0] for r in df.select(X.path_encode(F.col("d"))).collect()] == [quote(d) for d in given]
