@@ -16,10 +16,13 @@ _ENTRY = ("STRUCT<id: STRING, link: STRING, title: STRING, body: STRING, publish
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (feed_name, content); the file name without extension names the feed."""
+    """Whole files as (feed_name, content); the file name without extension names the feed.
+
+    The name comes percent-encoded from the file source.
+    """
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     return (spark.read.text(path, wholetext=True)
-            .select(F.url_decode(name).alias("feed_name"), F.col("value").alias("content")))
+            .select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("feed_name"), F.col("value").alias("content")))
 
 
 def parse_time(value: Column) -> Column:

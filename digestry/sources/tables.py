@@ -61,13 +61,14 @@ def feeds_table(spark: SparkSession, s: Settings) -> DataFrame:
 
 def read_reactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, rejected lines) of an append-only JSON log. Bad lines are set apart, not the whole log."""
-    columns = T.StructType([*schema.FEEDBACK_EVENTS.fields, T.StructField("_corrupt_record", T.StringType())])
+    columns = T.StructType([*schema.FEEDBACK_EVENTS.fields, T.StructField("_bad", T.StringType())])
     try:
-        rows = spark.read.schema(columns).option("mode", "PERMISSIVE").json(path)
+        lines = spark.read.text(path)
     except AnalysisException:
-        rows = spark.createDataFrame([], columns)
-    good = rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, rows.where(F.col("_corrupt_record").isNotNull())
+        lines = spark.createDataFrame([], "value STRING")
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = lines.select(F.from_json("value", columns, options).alias("_e")).select("_e.*")
+    return rows.where(F.col("_bad").isNull()).drop("_bad"), rows.where(F.col("_bad").isNotNull()).select("_bad")
 
 
 def append_reactions(events: DataFrame, path: str) -> None:

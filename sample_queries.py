@@ -423,5 +423,5 @@ def reaction_links(spark, folder):
 def reaction_store(spark, folder):
     path = scratch_path(spark, "reactions")
     tables.append_reactions(V.reactions(spark, folder), path)
-    good, rejected = tables.read_reactions(spark, path)
-    return good.unionByName(rejected.select(*good.columns)).drop("ts")
+    good, _ = tables.read_reactions(spark, path)
+    return good.drop("ts")
