@@ -34,21 +34,40 @@ def similar(a: Column, b: Column) -> Column:
     return 2 * F.size(F.array_intersect(a, b)) > F.least(F.size(a), F.size(b))
 
 
+def marked(words: Column) -> Column:
+    """A set of words with a 64-bit mark, one bit per word, and the number of words lost to shared bits."""
+    def bit(word: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(word), F.lit(64)).cast("int"))
+
+    bits = F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, w: acc.bitwiseOR(bit(w)))
+    both = F.struct(words.alias("words"), bits.alias("bits"))
+    return F.get(F.transform(F.array(both), lambda b: F.struct(
+        b["words"].alias("words"), b["bits"].alias("bits"),
+        (F.size(b["words"]) - F.bit_count(b["bits"])).alias("lost"))), F.lit(0))
+
+
+def similar_marked(a: Column, b: Column) -> Column:
+    """`similar` for marked sets. Sets cannot share more words than they share bits, plus words lost to shared
+    bits in the set that lost fewer; this rules most pairs out before any words are compared."""
+    at_most = F.bit_count(a["bits"].bitwiseAND(b["bits"])) + F.least(a["lost"], b["lost"])
+    return ((2 * at_most > F.least(F.size(a["words"]), F.size(b["words"])))
+            & similar(a["words"], b["words"]))
+
+
 def _walk(entries: Column) -> Column:
-    """Fold ordered entries (`_tie`, `_words`) into [(`_tie`, `_of`)]: `_of` is the first kept similar one."""
-    kept0 = F.transform(F.slice(entries, 1, 0), lambda e: F.struct(e["_tie"].alias("_tie"),
-                                                                 e["_words"].alias("_words")))
-    done0 = F.transform(F.slice(entries, 1, 0), lambda e: F.struct(
-        e["_tie"].alias("_tie"), F.when(F.lit(False), e["_tie"]).alias("_of")))
-    start = F.struct(kept0.alias("kept"), done0.alias("done"))
+    """Fold ordered entries (`_tie`, `_set`) into [(`_tie`, `_of`)]: `_of` is the first kept similar one."""
+    def kept_entry(e: Column) -> Column:
+        return F.struct(e["_tie"].alias("_tie"), e["_set"].alias("_set"))
+
+    none = F.slice(entries, 1, 0)
+    start = F.struct(F.transform(none, kept_entry).alias("kept"), F.transform(none, lambda e: F.struct(
+        e["_tie"].alias("_tie"), F.when(F.lit(False), e["_tie"]).alias("_of"))).alias("done"))
 
     def step(acc: Column, e: Column) -> Column:
-        first = F.get(F.filter(acc["kept"], lambda k: similar(k["_words"], e["_words"])), F.lit(0))["_tie"]
-        return F.transform(F.array(first), lambda of: F.struct(
-            F.when(of.isNull(), F.array_append(acc["kept"], F.struct(e["_tie"].alias("_tie"),
-                                                                     e["_words"].alias("_words"))))
-            .otherwise(acc["kept"]).alias("kept"),
-            F.array_append(acc["done"], F.struct(e["_tie"].alias("_tie"), of.alias("_of"))).alias("done")))[0]
+        first = F.get(F.filter(acc["kept"], lambda k: similar_marked(k["_set"], e["_set"])), F.lit(0))["_tie"]
+        return X.once(first, lambda of: F.struct(
+            F.when(of.isNull(), F.array_append(acc["kept"], kept_entry(e))).otherwise(acc["kept"]).alias("kept"),
+            F.array_append(acc["done"], F.struct(e["_tie"].alias("_tie"), of.alias("_of"))).alias("done")))
 
     return F.aggregate(entries, start, step)["done"]
 
@@ -57,7 +76,8 @@ def _fold(rows: DataFrame, keys: Sequence[str], score: str, ordinal: str, carry:
     """(keys, ordinal, duplicate_of, carried columns) for briefings known to be small enough for one array."""
     entry = F.struct((-F.col(score)).alias("_worst"), F.col(ordinal).alias("_tie"), F.col("_words"), *carry)
     lists = (rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-             .withColumn("_done", _walk(F.col("_entries"))))
+             .withColumn("_done", _walk(F.transform("_entries", lambda e: F.struct(
+                 e["_tie"].alias("_tie"), marked(e["_words"]).alias("_set"))))))
     # Both arrays are in walking order.
     return (lists.select(*keys, F.explode(F.arrays_zip("_entries", "_done")).alias("_z"))
             .select(*keys, F.col("_z._done._tie").alias(ordinal), F.col("_z._done._of").alias("duplicate_of"),

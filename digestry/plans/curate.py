@@ -11,7 +11,7 @@ from digestry.functions import text as X
 from digestry.operators.ranking import passing_with_fallback
 from digestry.operators.scoring import score_items
 from digestry.operators.selection import has_room, select_top
-from digestry.operators.titles import drop_similar_titles, similar
+from digestry.operators.titles import drop_similar_titles, marked, similar_marked
 from digestry.session import settle
 from digestry.settings import Settings
 
@@ -42,7 +42,7 @@ def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_
     order = [F.col("quality_score").desc(), F.col("ord")]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     entry = F.struct((-F.col("quality_score")).alias("_worst"), F.col("ord").alias("_tie"),
-                     F.array_sort(X.title_tokens(F.col("title"))).alias("_words"),
+                     marked(F.array_sort(X.title_tokens(F.col("title")))).alias("_set"),
                      F.coalesce("domain", F.lit("other")).alias("_domain"),
                      F.coalesce("channel", F.lit("")).alias("_channel"), F.struct(*columns).alias("_row"))
     head = (scored.where(F.col("quality_score") >= floor)
@@ -52,14 +52,14 @@ def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_
     head = (head.withColumn("_limit", limit)
             .withColumn("_passing", F.filter("_entries", lambda e: e["_worst"] <= F.col("_limit"))))
 
-    words0 = F.transform(F.slice("_passing", 1, 0), lambda e: e["_words"])
-    start = F.struct(words0.alias("kept"), F.slice("_passing", 1, 0).alias("taken"))
+    sets0 = F.transform(F.slice("_passing", 1, 0), lambda e: e["_set"])
+    start = F.struct(sets0.alias("kept"), F.slice("_passing", 1, 0).alias("taken"))
 
     def step(acc, e):
-        known = F.exists(acc["kept"], lambda k: similar(k, e["_words"]))
+        known = F.exists(acc["kept"], lambda k: similar_marked(k, e["_set"]))
         return (F.when((F.size(acc["taken"]) >= s.total) | known, acc)
                 .otherwise(F.struct(
-                    F.array_append(acc["kept"], e["_words"]).alias("kept"),
+                    F.array_append(acc["kept"], e["_set"]).alias("kept"),
                     F.when(has_room(acc["taken"], e["_domain"], e["_channel"], s), F.array_append(acc["taken"], e))
                     .otherwise(acc["taken"]).alias("taken"))))
 
