@@ -46,6 +46,7 @@ VIDEO_PAYLOAD = T.StructType([
         T.StructField("id", T.StringType()),
         T.StructField("snippet", T.StructType([
             T.StructField("title", T.StringType()),
+            T.StructField("channelId", T.StringType()),
             T.StructField("channelTitle", T.StringType()),
             T.StructField("description", T.StringType()),
             T.StructField("publishedAt", T.StringType()),

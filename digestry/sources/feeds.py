@@ -11,6 +11,7 @@ from digestry import rules, schema
 from digestry.functions import text as X
 from digestry.operators.classify import classify
 from digestry.settings import Settings
+from digestry.sources.videos import simplified
 
 _ENTRY = ("STRUCT<id: STRING, link: STRING, title: STRING, body: STRING, published: STRING, updated: STRING>")
 
@@ -48,10 +49,12 @@ def _entries(doc: Column) -> Column:
     return F.coalesce(rss, atom)
 
 
-def feed_entries(documents: DataFrame, s: Settings, feeds: DataFrame) -> DataFrame:
+def feed_entries(documents: DataFrame, s: Settings, feeds: DataFrame,
+                 script_table: tuple[str, str] | None = None) -> DataFrame:
     """Articles of configured feeds: first 20 entries of a document, then those of the last day or without time.
 
-    `feeds` holds one row per feed name (name, lang, domains, authority). Domains are set by `classify`.
+    `feeds` holds one row per feed name (name, lang, domains, authority, ord). Domains are set by `classify`, after
+    characters of Chinese feeds are mapped by the given table.
     """
     parsed = (documents.select("feed_name", F.from_xml("content", schema.FEED_DOCUMENT).alias("_doc"))
               .select("feed_name", F.posexplode(F.slice(_entries(F.col("_doc")), 1, rules.ENTRIES_PER_FEED))
@@ -66,8 +69,12 @@ def feed_entries(documents: DataFrame, s: Settings, feeds: DataFrame) -> DataFra
                     .alias("description"),
                     "published_at", F.coalesce(e["link"], F.lit("")).alias("url")))
     config = feeds.select(F.col("name").alias("feed_name"), "lang", "domains",
-                          F.coalesce("authority", F.lit("medium")).alias("authority"))
-    return (classify(rows.join(config, "feed_name"), s)
+                          F.coalesce("authority", F.lit("medium")).alias("authority"),
+                          F.col("ord").cast("bigint").alias("feed_ord"))
+    rows = rows.join(config, "feed_name")
+    if script_table:
+        rows = simplified(rows, script_table, ("title", "description"), "zh")
+    return (classify(rows, s)
             .withColumnRenamed("feed_name", "channel")
             .withColumns({"views": F.lit(0).cast("bigint"), "likes": F.lit(0).cast("bigint"),
                           "comments": F.lit(0).cast("bigint"), "duration": F.lit(""), "transcript": F.lit("")})

@@ -31,7 +31,8 @@ def flatten_payloads(payloads: DataFrame) -> DataFrame:
     v = F.col("_v")
     return (payloads.select(F.explode("items").alias("_v"))
             .select(v["id"].alias("item_id"), F.lit("YouTube").alias("kind"),
-                    v["snippet"]["channelTitle"].alias("channel"), v["snippet"]["title"].alias("title"),
+                    v["snippet"]["channelId"].alias("channel_id"), v["snippet"]["channelTitle"].alias("channel"),
+                    v["snippet"]["title"].alias("title"),
                     F.substring(X.text_or_empty(v["snippet"]["description"]), 1, rules.DESCRIPTION_CHARS)
                     .alias("description"),
                     F.try_to_timestamp(v["snippet"]["publishedAt"]).alias("published_at"),
@@ -52,14 +53,18 @@ def latest_of_channels(uploads: DataFrame, s: Settings, channel: str = "channel_
     The subscription list is configuration, hence a mapping in the plan. Spark also applies the limit per channel
     before the shuffle, so a channel with most of the uploads sends only a few rows.
     """
+    if not s.channels:
+        return uploads.where(F.lit(False)).withColumns({"domain": F.lit(""), "place": F.lit(0).cast("bigint"),
+                                                        "channel_ord": F.lit(0).cast("bigint")})
     names = [c for c, _ in s.channels]
-    domain = F.get(F.array(*[F.lit(d) for _, d in s.channels]),
-                   (F.array_position(F.array(*[F.lit(c) for c in names]), F.col(channel)) - 1).cast("int"))
+    at = F.array_position(F.array(*[F.lit(c) for c in names]), F.col(channel)) - 1
+    domain = F.get(F.array(*[F.lit(d) for _, d in s.channels]), at.cast("int"))
     newest = Window.partitionBy(channel).orderBy(F.col("published_at").desc(), F.col("ord"))
     return (uploads.where(F.col(channel).isin(names))
-            .withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= rules.UPLOADS_PER_CHANNEL).drop("_n")
+            .withColumn("place", F.row_number().over(newest).cast("bigint"))
+            .where(F.col("place") <= rules.UPLOADS_PER_CHANNEL)
             .where(F.date_trunc("second", "published_at") >= F.date_trunc("second", _since(s.as_of)))
-            .withColumn("domain", domain))
+            .withColumns({"domain": domain, "channel_ord": at.cast("bigint")}))
 
 
 def best_of_keywords(videos: DataFrame, s: Settings) -> DataFrame:
@@ -68,7 +73,11 @@ def best_of_keywords(videos: DataFrame, s: Settings) -> DataFrame:
     Ordered by how often the keyword occurs, then newest, then ordinal. Only matching (video, keyword) rows are
     produced, by filtering the configured keywords inside the row.
     """
-    words = [(d, k) for d, group in s.search_keywords for k in group]
+    words = [(d, k) for d, group in s.search_keywords for k in group if k]
+    if not words:
+        nothing = {"keyword": F.lit(""), "domain": F.lit(""), "keyword_ord": F.lit(0).cast("bigint"),
+                   "occurrences": F.lit(0).cast("bigint"), "place": F.lit(0).cast("bigint")}
+        return videos.where(F.lit(False)).withColumns(nothing)
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(k.lower()).alias("_word"), F.lit(d).alias("domain"),
                                F.lit(i).cast("bigint").alias("keyword_ord")) for i, (d, k) in enumerate(words)])
     text = X.searchable(F.col("title"), F.col("description"))

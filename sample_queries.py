@@ -53,7 +53,7 @@ def ingest_flatten(spark, folder):
         .alias("statistics"),
         F.struct("duration").alias("contentDetails"))).alias("items")))
     rows = videos.flatten_payloads(videos.parse_payloads(docs.select(payload.alias("payload"))))
-    return rows.withColumn("published_at", _epoch("published_at"))
+    return rows.withColumn("published_at", _epoch("published_at")).drop("channel_id")
 
 
 @query
@@ -133,7 +133,7 @@ def _feed_rules(names):
     return names.select(
         F.col("feed_name").alias("name"), F.lit("en").alias("lang"),
         F.expr("CASE length(feed_name) % 3 WHEN 0 THEN array('AI', '芯片', '机器人') WHEN 1 THEN array('机器人', 'AI') "
-               "ELSE array('芯片') END").alias("domains"), F.lit("high").alias("authority"))
+               "ELSE array('芯片') END").alias("domains"), F.lit("high").alias("authority"), F.lit(0).alias("ord"))
 
 
 @query

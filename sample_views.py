@@ -11,6 +11,7 @@ from digestry import Settings
 from digestry.operators import briefing, feedback
 from digestry.operators.scoring import score_items
 from digestry.plans.curate import curate
+from digestry.plans.daily import brief
 
 # The test tables are invented prose, so the rules are syllables of it.
 SETTINGS = Settings(
@@ -125,8 +126,8 @@ def responses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def summarised(spark: SparkSession, folder: str) -> DataFrame:
-    texts = items(spark, folder).select("item_id", "description")
-    picked = selected(spark, folder).join(texts, "item_id")
+    texts = items(spark, folder).select("brief_id", "ord", "description")
+    picked = selected(spark, folder).join(texts, ["brief_id", "ord"])
     return briefing.attach_summaries(picked, responses(spark, folder))
 
 
@@ -135,4 +136,5 @@ def totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return briefing.documents(summarised(spark, folder), totals(spark, folder), SETTINGS)
+    return brief(items(spark, folder), SETTINGS, responses(spark, folder), per=("user_id",),
+                 **learned(spark, folder)).documents
