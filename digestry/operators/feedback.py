@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from digestry.functions import text as X
@@ -32,14 +32,17 @@ def weights(events: DataFrame, key: str, per: Sequence[str] = ("user_id",)) -> D
             .groupBy(*per, key).agg(F.sum(step_of(F.col("reaction"))).alias("weight")))
 
 
-def reaction_stats(events: DataFrame, per: Sequence[str] = ("user_id",)) -> DataFrame:
-    """Items reacted to, by latest reaction."""
-    latest = latest_reactions(events.select(*per, "item_id", "event_ord", "reaction"), per)
+def stats_of_latest(latest: DataFrame, per: Sequence[str] = ("user_id",)) -> DataFrame:
     return latest.groupBy(*per).agg(F.count("*").alias("total"),
                                     F.count_if(F.col("reaction") == "like").alias("likes"),
                                     F.count_if(F.col("reaction") == "dislike").alias("dislikes"))
 
 
+def reaction_stats(events: DataFrame, per: Sequence[str] = ("user_id",)) -> DataFrame:
+    """Items reacted to, by latest reaction."""
+    return stats_of_latest(latest_reactions(events.select(*per, "item_id", "event_ord", "reaction"), per), per)
+
+
 def _decoded(value: Column) -> Column:
     return F.coalesce(F.try_url_decode(value), value)
 

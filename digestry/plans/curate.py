@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestry.functions import text as X
@@ -33,8 +33,8 @@ def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_
 
     A selection usually closes within its briefing's best rows. So only the best `head_rows` rows of each briefing
     are shuffled (the limit also applies before the shuffle) and walked in one array: similar to a kept title,
-    caps, stop. A briefing is finished if its selection is full or all its passing rows were among those. The
-    others, usually none, take the complete operators over all their rows.
+    caps, stop. A briefing is finished if its selection is full, if all its passing rows were among those, or if all
+    its domains or channels are full. The others, usually none, take the complete operators over all their rows.
     """
     keys = list(keys)
     floor = min(s.threshold, s.fallback_threshold)
@@ -65,18 +65,37 @@ def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_
 
     visible = F.slice("_passing", 1, s.head_rows)
     taken = F.aggregate(visible, start, step)["taken"]
+
+    def full(name: str, cap: int) -> Column:
+        names = F.array_distinct(F.transform("_taken", lambda t: t[name]))
+        return F.filter(names, lambda n: F.size(F.filter("_taken", lambda t: t[name] == n)) >= cap)
+
     walked = (head.withColumn("_taken", taken)
               .withColumn("_closed", (F.size("_taken") >= s.total) | (F.size("_passing") <= s.head_rows))
-              .select(*keys, "_closed", F.posexplode(F.transform("_taken", lambda e: e["_row"])).alias("_at", "_row")))
+              .withColumn("_full_domains", full("_domain", s.per_domain))
+              .withColumn("_full_channels", full("_channel", s.per_channel))
+              .select(*keys, "_closed", "_full_domains", "_full_channels",
+                      F.posexplode(F.transform("_taken", lambda e: e["_row"])).alias("_at", "_row")))
     walked = settle(walked, "selection")
-    closed = (walked.where("_closed")
-              .select(*keys, "_row.*", (F.col("_at") + 1).cast("bigint").alias("pick")))
-    open_briefs = walked.where(~F.col("_closed")).select(*keys).distinct()
+    done = walked.select(*keys, "_row.*", (F.col("_at") + 1).cast("bigint").alias("pick"), "_closed")
+    unfilled = walked.where(~F.col("_closed") & (F.col("_at") == 0)).select(*keys, "_full_domains", "_full_channels")
+    if unfilled.isEmpty():
+        return done.drop("_closed")
+    # A selection can also stay short because every domain or channel of its briefing is full. That takes two columns
+    # of the items to see, not their scores.
+    kinds = (scored.select(*keys, F.coalesce("domain", F.lit("other")).alias("_domain"),
+                           F.coalesce("channel", F.lit("")).alias("_channel")).distinct())
+    open_briefs = settle(
+        kinds.join(unfilled, keys)
+        .where(~F.array_contains("_full_domains", F.col("_domain"))
+               & ~F.array_contains("_full_channels", F.col("_channel")))
+        .select(*keys).distinct(), "open-briefs")
     if open_briefs.isEmpty():
-        return closed
-    rows = scored.join(settle(open_briefs, "open-briefs"), keys, "left_semi")
-    rest = settle(passing_with_fallback(rows, s, keys).drop("threshold_used"), "open-rows")
-    return closed.unionByName(select_top(drop_similar_titles(rest, s, keys, stored=True), s, keys))
+        return done.drop("_closed")
+    rest = settle(passing_with_fallback(scored.join(open_briefs, keys, "left_semi"), s, keys).drop("threshold_used"),
+                  "open-rows")
+    return (done.drop("_closed").join(open_briefs, keys, "left_anti")
+            .unionByName(select_top(drop_similar_titles(rest, s, keys, stored=True), s, keys)))
 
 
 def funnel(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",)) -> DataFrame:

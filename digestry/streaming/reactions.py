@@ -19,14 +19,18 @@ def read_log(spark: SparkSession, path: str, schema, files_per_batch: int | None
     return reader.load(path)
 
 
-def _keep(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Write the changed keys of each micro-batch to its own partition; a repeated batch replaces its partition."""
+def _keep(changes: DataFrame, path: str, checkpoint: str, every: str | None) -> StreamingQuery:
+    """Write the changed keys of each micro-batch to its own partition; a repeated batch replaces its partition.
+
+    Runs every so often (e.g. "1 minute"), or once over what has arrived.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
     return (changes.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint)
+            .trigger(**({"processingTime": every} if every else {"availableNow": True})).start())
 
 
 def _current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -38,9 +42,9 @@ def _current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
 
 
 def maintain_weights(events: DataFrame, key: str, path: str, checkpoint: str,
-                     per: Sequence[str] = ("user_id",)) -> StreamingQuery:
+                     per: Sequence[str] = ("user_id",), every: str | None = None) -> StreamingQuery:
     """Running preference weights. State holds one number per key."""
-    return _keep(feedback.weights(events, key, per), path, checkpoint)
+    return _keep(feedback.weights(events, key, per), path, checkpoint, every)
 
 
 def current_weights(spark: SparkSession, path: str, key: str, per: Sequence[str] = ("user_id",)) -> DataFrame:
@@ -48,10 +52,17 @@ def current_weights(spark: SparkSession, path: str, key: str, per: Sequence[str]
 
 
 def maintain_latest(events: DataFrame, path: str, checkpoint: str,
-                    per: Sequence[str] = ("user_id",)) -> StreamingQuery:
-    """Running latest reaction per reader and item; statistics follow from it with `stats_of_latest`."""
-    return _keep(feedback.latest_reactions(events, per), path, checkpoint)
+                    per: Sequence[str] = ("user_id",), every: str | None = None) -> StreamingQuery:
+    """Running latest reaction per reader and item; `feedback.stats_of_latest` counts them."""
+    return _keep(feedback.latest_reactions(events, per), path, checkpoint, every)
 
 
 def current_latest(spark: SparkSession, path: str, per: Sequence[str] = ("user_id",)) -> DataFrame:
     return _current(spark, path, [*per, "item_id"])
+
+
+def compact(spark: SparkSession, path: str, keys: Sequence[str], to: str) -> None:
+    """Write the newest state per key as one partition of a new table, from which a reader can go on."""
+    rows = _current(spark, path, keys)
+    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
+    rows.write.mode("overwrite").parquet(f"{to}/batch_id={last}")

@@ -116,3 +116,21 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         stream.maintain_weights(stream.read_log(spark, log, first.schema), "channel", kept, progress).awaitTermination()
     got = {(r.user_id, r.weight) for r in stream.current_weights(spark, kept, "channel").collect()}
     assert got == {(1, -1.0), (2, 1.0)}
+
+
+def test_stream_from_the_request_log(spark, tmp_path):
+    """Clicks as they arrive, from addresses to statistics."""
+    lines = [(i, None, 1, url) for i, url in enumerate(
+        ["/feedback?id=1&r=like&t=x", "/feedback?id=1&r=dislike", "/feedback?id=2&r=like", "/feedback?id=2&r=no", "/"])]
+    log = str(tmp_path / "requests")
+    for part in range(5):
+        spark.createDataFrame(lines[part:part + 1], schema.REQUEST_LOG).write.mode("append").json(log)
+    requests = stream.read_log(spark, log, schema.REQUEST_LOG, 2, "json")
+    kept = str(tmp_path / "kept")
+    query = stream.maintain_latest(feedback.from_request_log(requests).drop("ts"), kept, str(tmp_path / "progress"))
+    query.awaitTermination()
+    latest = stream.current_latest(spark, kept)
+    assert tuple(feedback.stats_of_latest(latest).first()) == (1, 2, 1, 1)
+    stream.compact(spark, kept, ["user_id", "item_id"], str(tmp_path / "small"))
+    assert sorted(map(tuple, stream.current_latest(spark, str(tmp_path / "small")).collect())) == sorted(
+        map(tuple, latest.collect()))

@@ -83,6 +83,15 @@ def test_curation_equals_the_loop(spark, limits):
     assert sorted((r.brief_id, r.ord, r.pick) for r in got) == plain_curate(rows, s)
 
 
+def test_full_domains_close_a_selection(spark, monkeypatch):
+    """Two domains give six picks at most: no need to look at all titles of the briefing."""
+    from digestry.plans import curate as plan
+    monkeypatch.setattr(plan, "drop_similar_titles", lambda *a, **k: pytest.fail("took the complete path"))
+    rows = [(b, i, 90 - i % 50, f"a{i} b{i}", f"d{i % 2}", f"c{i}") for b in (1, 2) for i in range(300)]
+    got = select_unique(spark.createDataFrame(rows, SCHEMA), Settings()).collect()
+    assert sorted((r.brief_id, r.ord, r.pick) for r in got) == plain_curate(rows, Settings())
+
+
 def test_ranks_in_pieces_equal_plain_ranks(spark):
     rnd = random.Random(3)
     rows = [(b, o * 1000 + b, rnd.randint(0, 6), "", "", "") for b, n in ((1, 700), (2, 30), (3, 1)) for o in range(n)]
