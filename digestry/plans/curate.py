@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,17 +24,26 @@ def curate(items: DataFrame, s: Settings, source_weights: DataFrame | None = Non
            keys: Sequence[str] = ("brief_id",), keep: Sequence[str] | None = None) -> DataFrame:
     """Score, threshold with fallback, drop similar titles, select under caps; adds `quality_score` and `pick`."""
     keep = list(keep or [c for c in NARROW if c in items.columns])
-    scored = score_items(items, s, source_weights, domain_weights, per, list(dict.fromkeys([*keep, *per])))
-    return select_unique(scored.select(*keep, "quality_score"), s, keys)
+    columns = list(dict.fromkeys([*keep, *per]))
 
+    def scored(rows: DataFrame) -> DataFrame:
+        return (score_items(rows, s, source_weights, domain_weights, per, columns)
+                .select(*keep, "quality_score"))
 
-def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",)) -> DataFrame:
+    # If some briefings need the complete path, only their items are scored again.
+    return select_unique(scored(items), s, keys,
+                         lambda briefs: scored(items.join(briefs, list(keys), "left_semi")))
+
+
+def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",),
+                  rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Threshold with fallback, removal of similar titles and selection in one pass where possible.
 
     A selection usually closes within its briefing's best rows. So only the best `head_rows` rows of each briefing
     are shuffled (the limit also applies before the shuffle) and walked in one array: similar to a kept title,
     caps, stop. A briefing is finished if its selection is full, if all its passing rows were among those, or if all
-    its domains or channels are full. The others, usually none, take the complete operators over all their rows.
+    its domains or channels are full. The others, usually none, take the complete operators over all their rows,
+    which `rows_of` may give more cheaply than filtering `scored`.
     """
     keys = list(keys)
     floor = min(s.threshold, s.fallback_threshold)
@@ -92,8 +101,8 @@ def select_unique(scored: DataFrame, s: Settings, keys: Sequence[str] = ("brief_
         .select(*keys).distinct(), "open-briefs")
     if open_briefs.isEmpty():
         return done.drop("_closed")
-    rest = settle(passing_with_fallback(scored.join(open_briefs, keys, "left_semi"), s, keys).drop("threshold_used"),
-                  "open-rows")
+    rows = rows_of(open_briefs) if rows_of else scored.join(open_briefs, keys, "left_semi")
+    rest = settle(passing_with_fallback(rows, s, keys).drop("threshold_used"), "open-rows")
     return (done.drop("_closed").join(open_briefs, keys, "left_anti")
             .unionByName(select_top(drop_similar_titles(rest, s, keys, stored=True), s, keys)))
 
