@@ -43,23 +43,22 @@ def reaction_stats(events: DataFrame, per: Sequence[str] = ("user_id",)) -> Data
     return stats_of_latest(latest_reactions(events.select(*per, "item_id", "event_ord", "reaction"), per), per)
 
 
-def _decoded(value: Column) -> Column:
-    return F.coalesce(F.try_url_decode(value), value)
-
-
 def from_request_log(log: DataFrame) -> DataFrame:
     """Reactions in requested addresses. Requests of other paths, without id or with an unknown reaction drop out.
 
-    The parts are cut by pattern: `parse_url` would give up on a whole address with one bad escape. Such events
-    know neither channel nor domain.
+    The address is cut at `?`, `#` and `&`: `parse_url` would give up on all of it for one bad escape. Of a repeated
+    parameter the first value that is not blank counts. Such events know neither channel nor domain.
     """
     url = F.col("url")
-    query = F.regexp_extract(url, r"^[^?#]*([?][^#]*)", 1)
+    query = F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1)
 
     def value(name: str) -> Column:
-        return _decoded(F.regexp_extract(query, f"[?&]{name}=([^&]+)", 1))
+        given = F.filter("_pairs", lambda p: p.startswith(f"{name}=") & (F.length(p) > len(name) + 1))
+        text = F.substring(F.get(given, F.lit(0)), len(name) + 2, 2 ** 31 - 1)
+        return F.coalesce(F.try_url_decode(text), text, F.lit(""))
 
     return (log.where(F.regexp_extract(url, r"^([^?#]*)", 1) == "/feedback")
+            .withColumn("_pairs", F.split(query, "&"))
             .select("event_ord", "ts", "user_id", value("id").alias("item_id"), value("r").alias("reaction"),
                     value("t").alias("title"), F.lit("").alias("channel"), F.lit("").alias("domain"))
             .where((F.col("item_id") != "") & F.col("reaction").isin("like", "dislike")))

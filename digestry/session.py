@@ -16,10 +16,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "dig
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.driver.memory", "8g")
             .getOrCreate())
 
 
+def spread(rows: DataFrame, key: str, small_splits: int = 64) -> DataFrame:
+    """Share out the rows of a small table whose few files or row groups would keep most cores idle.
+
+    Tables of more splits, or of at least as many as there are cores, stay as they are.
+    """
+    cores, splits = rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    return rows.repartition(cores, key) if splits < min(cores, small_splits) else rows
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the one the cluster names. Only local runs get one of their own."""
     context = spark.sparkContext

@@ -12,6 +12,7 @@ from digestry.operators import briefing, feedback
 from digestry.operators.scoring import score_items
 from digestry.plans.curate import curate
 from digestry.plans.daily import brief
+from digestry.session import spread
 
 # The test tables are invented prose, so the rules are syllables of it.
 SETTINGS = Settings(
@@ -36,7 +37,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def items(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as collected items; one briefing per 100 documents, each with its own reader."""
-    docs, events = table(spark, folder, "documents"), table(spark, folder, "events")
+    docs, events = spread(table(spark, folder, "documents"), "doc_id"), table(spark, folder, "events")
 
     def total(kind: str, factor: int):
         return F.sum(F.when(F.col("event_type") == kind, F.floor(F.col("value") * factor)).otherwise(0))

@@ -41,8 +41,9 @@ def test_request_log(spark):
     urls = ["/feedback?id=1&r=like&t=a%20b", "/feedback?id=1&r=like", "/feedback?id=&r=like", "/feedback",
             "/feedback?id=2&r=dislike#x&t=1", "/feedback/?id=1&r=like", "/feedback?t=x&id=&id=7&r=&r=like",
             "/feedback?id=1&r=like&t=100%zz", "/other?id=1&r=like", "/feedback?xid=1&r=like", "/feedback?id=a+b&r=like",
+            "/feedback?x=1?id=5&r=like", "/feedback?id=1?&r=like", "/feedback?id=a=b&r=like", "/feedback??id=1&r=like",
             "/feedback?id=%E6%9C%BA&r=dislike&t=" + quote("机器人 & co")]
-    pieces = ["id=1", "id=", "id=%20x", "r=like", "r=dislike", "r=no", "t=a+b", "t=%41", "&", "x=1"]
+    pieces = ["id=1", "id=", "id=%20x", "r=like", "r=dislike", "r=no", "t=a+b", "t=%41", "&", "x=1", "?", "t=?id=3"]
     urls += ["/feedback?" + "&".join(rnd.choices(pieces, k=rnd.randint(1, 5))) for _ in range(200)]
     log = spark.createDataFrame([(i, None, 1, u) for i, u in enumerate(urls)], schema.REQUEST_LOG)
     got = {r.event_ord: (r.item_id, r.reaction, r.title) for r in feedback.from_request_log(log).collect()}
