@@ -49,7 +49,7 @@ items AS (
     (coalesce(c, 0) * 3 * (doc_id % 11)) // 100 AS comments,
     'https://example.com/a/' || doc_id AS url, lang,
     lower(split_part(split_part(text, chr(10), 1), '. ', 1) || ' ' || substring(text, 1, 2000)) AS txt
-  FROM documents LEFT JOIN ev ON ev.u = doc_id % 15)"""
+  FROM documents LEFT JOIN ev ON ev.u = doc_id // 8)"""
 
 REACTIONS = """
 fb AS (
@@ -380,7 +380,7 @@ SELECT event_ord, user_id, item_id, reaction, CASE WHEN event_ord % 10 = 0 THEN
     "parse_briefing": f"""{_with(TO_DOCS, PARSED, recursive=True)}
 SELECT brief_id, number, title, channel, domain FROM parsed""",
     "reaction_join": f"""{_with(TO_DOCS, PARSED, recursive=True)},
-votes AS (SELECT event_id AS event_ord, user_id % 100 AS brief_id, event_id % 10 AS number,
+votes AS (SELECT event_id AS event_ord, user_id AS brief_id, event_id % 10 AS number,
   CASE event_type WHEN 'click' THEN 'like' ELSE 'dislike' END AS reaction
   FROM events WHERE event_type IN ('click', 'error'))
 SELECT brief_id, number, event_ord, reaction, title, channel, domain, title AS item_id

@@ -311,7 +311,7 @@ def parse_briefing(spark, folder):
 @query
 def reaction_join(spark, folder):
     votes = V.reactions(spark, folder).select(
-        "event_ord", (F.col("user_id") % 100).alias("brief_id"), (F.col("event_ord") % 10).alias("number"), "reaction")
+        "event_ord", F.col("user_id").alias("brief_id"), (F.col("event_ord") % 10).alias("number"), "reaction")
     return feedback.reactions_by_number(votes, feedback.parse_briefings(V.documents(spark, folder), P))
 
 

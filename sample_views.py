@@ -44,7 +44,7 @@ def items(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = events.groupBy("user_id").agg(total("view", 100).alias("v"), total("click", 20).alias("l"),
                                            total("purchase", 2).alias("c"))
-    joined = docs.withColumn("_u", F.col("doc_id") % 15).join(counts.withColumnRenamed("user_id", "_u"), "_u", "left")
+    joined = docs.withColumn("_u", F.expr("doc_id div 8")).join(counts.withColumnRenamed("user_id", "_u"), "_u", "left")
     headline = F.substring_index(F.substring_index("text", "\n", 1), ". ", 1)
     return joined.select(
         F.expr("doc_id div 100").alias("brief_id"), F.expr("doc_id div 100").alias("user_id"),
