@@ -11,8 +11,8 @@ Briefings of up to `fold_rows` rows are walked inside one array expression. Larg
 * The best `fold_rows` titles are walked in an array; everything similar to a kept one is dropped at once. Then
   the next, four times larger, stretch of ranks follows. A group of near-copies thus disappears with its first
   member.
-* Within a stretch, similar pairs are found by a token join with a prefix filter and resolved in rounds. The
-  stretch is cut down if its candidate pairs, counted beforehand from token frequencies, exceed `pair_budget`.
+* Within a stretch, similar pairs are found by a token join with a prefix filter and resolved in rounds. Briefings
+  with too many candidate pairs in it, counted beforehand from token frequencies, take a short stretch instead.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def _match_large(slim: DataFrame, s: Settings, keys: list[str], score: str, ordi
                   .select(*keys, "_rank", F.col("duplicate_of").alias("_of")), "title-head")
     found.append(done)
     kept = done.where(F.col("_of").isNull()).join(head, [*keys, "_rank"]).select(*head.columns)
-    rest, low, size = nodes.where(F.col("_rank") > s.fold_rows), s.fold_rows, s.fold_rows * 4
+    rest, size = nodes.where(F.col("_rank") > s.fold_rows), s.fold_rows * 4
     while True:
         hit = settle(_first_match(rest, kept, keys), "title-hits")
         found.append(hit)
@@ -171,13 +171,16 @@ def _match_large(slim: DataFrame, s: Settings, keys: list[str], score: str, ordi
         if left is None:
             break
         low = left - 1
-        while size > s.fold_rows and _candidates(rest.where(F.col("_rank") <= low + size), keys) > s.pair_budget:
-            size = max(size // 4, s.fold_rows)
-        stretch = rest.where(F.col("_rank") <= low + size)
+        end = F.lit(low + size)
+        crowded = settle(_crowded(rest.where(F.col("_rank") <= end), s, keys), "title-crowded")
+        if not crowded.isEmpty():
+            rest = rest.join(crowded.withColumn("_crowded", F.lit(True)), keys, "left")
+            end = F.when(F.col("_crowded"), low + s.fold_rows).otherwise(low + size)
+        stretch = rest.where(F.col("_rank") <= end).select(*nodes.columns)
         inside = settle(_resolve(_pairs(stretch, keys), s, keys), "title-stretch")
         found.append(inside)
         kept = settle(stretch.join(inside, [*keys, "_rank"], "left_anti"), "title-kept")
-        rest, size = rest.where(F.col("_rank") > low + size), size * 4
+        rest, size = rest.where(F.col("_rank") > end).select(*nodes.columns), size * 4
 
     of = found[0].where(F.col("_of").isNotNull())
     for part in found[1:]:
@@ -243,13 +246,15 @@ def _pairs(stretch: DataFrame, keys: list[str]) -> DataFrame:
             .distinct())
 
 
-def _candidates(stretch: DataFrame, keys: list[str]) -> int:
-    """Number of pairs the token join would look at, from token counts alone."""
+def _crowded(stretch: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
+    """Briefings for which the token join would look at too many pairs, from token counts alone."""
     on = [*keys, "_word"]
     left = _prefix(stretch, keys).groupBy(*on).agg(F.count("*").cast("double").alias("_p"))
     right = _postings(stretch, keys).groupBy(*on).agg(F.count("*").cast("double").alias("_q"))
-    total = left.join(right, on).agg(F.sum(2 * F.col("_p") * F.col("_q"))).first()[0]
-    return int(total or 0)
+    pairs = left.join(right, on).groupBy(*keys).agg(F.sum(2 * F.col("_p") * F.col("_q")).alias("_pairs"))
+    sizes = stretch.groupBy(*keys).agg(F.count("*").alias("_n"))
+    return (pairs.join(sizes, keys)
+            .where(F.col("_pairs") > F.greatest(F.lit(s.pair_budget), F.col("_n") * s.pairs_per_title)).select(*keys))
 
 
 def _resolve(pairs: DataFrame, s: Settings, keys: list[str]) -> DataFrame:

@@ -36,7 +36,8 @@ class Settings:
     head_rows: int = 64           # best rows of a briefing tried before the complete path
     rank_group_rows: int = 1_000_000   # most rows one task sorts for one briefing
     pairs_per_task: int = 200_000      # most title pairs one task resolves for one briefing
-    pair_budget: int = 50_000_000      # most candidate title pairs one job may emit
+    pair_budget: int = 5_000_000       # candidate title pairs of a briefing looked at without further question
+    pairs_per_title: int = 500         # beyond that, most candidate pairs per title of a briefing
 
     def with_(self, **changes) -> "Settings":
         return replace(self, **changes)

@@ -63,10 +63,10 @@ def test_fold_equals_loop(spark):
 
 
 @pytest.mark.parametrize("limits", [
-    dict(fold_rows=4),                                        # several stretches
-    dict(fold_rows=4, pairs_per_task=5),                      # rounds
-    dict(fold_rows=16, pair_budget=2000),                       # stretches cut down
-    dict(fold_rows=4, rank_group_rows=16),                    # ranks in pieces
+    dict(fold_rows=12),                                       # several stretches
+    dict(fold_rows=12, pairs_per_task=5),                      # rounds
+    dict(fold_rows=16, pair_budget=500, pairs_per_title=2),                       # stretches cut down
+    dict(fold_rows=12, rank_group_rows=16),                    # ranks in pieces
 ])
 def test_large_path_equals_loop(spark, limits):
     rows = random_rows(2, 6, 120, 60) + random_rows(3, 1, 3, 9)
@@ -84,8 +84,8 @@ def test_one_briefing_full_of_near_copies(spark):
 
 
 def test_long_chain(spark):
-    rows = [(1, i, 50, f"c{i} c{i + 1} c{i + 2}") for i in range(60)]
-    for limits in (dict(fold_rows=16), dict(fold_rows=16, pairs_per_task=25)):
+    rows = [(1, i, 50, f"c{i} c{i + 1} c{i + 2}") for i in range(40)]
+    for limits in (dict(fold_rows=12), dict(fold_rows=12, pairs_per_task=20)):
         assert spark_result(spark, rows, Settings(**limits)) == plain_loop(rows)
 
 
