@@ -19,6 +19,8 @@ from digestry.session import settle
 
 SHINGLE = 5
 PERMUTATIONS = 50
+FEW = 32  # members up to which the pairs of a bucket become rows
+BLOCK = 250_000  # shingles of the members of one block
 BAND_ROWS = 5  # 20 bands of 5: a pair of similarity 0.85 shares none with probability 8e-6
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
@@ -109,14 +111,79 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n: int) -> DataFrame:
             .select("u", "v", "tu", "tv").mapInArrow(count, _CHECKED))
 
 
+def _in_blocks(crowded: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, n: int) -> DataFrame:
+    """Links (u, v) that join different components, from buckets of many members (bucket, u, c, weight).
+
+    The members of a bucket are dealt into blocks of a bounded number of shingles, and each pair of blocks is one
+    group. An inverted index of one block counts the exact intersections with each member of the other. A pair is
+    looked at in the first band that it shares; of its links a group gives only those that join what is still apart.
+    """
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in words(batch.column(1)):
+                sets, bounds = shingle_sets(found, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(found.first, found.last - found.first),
+                                                  pa.array([sets[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["u", "members"])
+
+    def link(group: pa.Table) -> pa.Table:
+        u, c, side = (group.column(k).to_numpy() for k in ("u", "c", "side"))
+        bucket, low, high = (group.column(k)[0].as_py() for k in ("bucket", "low", "high"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("members").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        bands = np.array(group.column("bands").to_pylist(), np.int64)
+        band = int(np.flatnonzero((bands == bucket).all(0))[0])
+        left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        owner = np.repeat(np.arange(len(right)), sizes[right])
+        held = np.concatenate([sets[i] for i in right])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out: list[tuple[int, int]] = []
+        for i in left:
+            mine = (c[right] != c[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
+            if low == high:
+                mine &= u[right] < u[i]
+            if band and mine.any():
+                mine &= ~(bands[right, :band] == bands[i, :band]).any(1)
+            if not mine.any():
+                continue
+            at, to = np.searchsorted(held, sets[i], "left"), np.searchsorted(held, sets[i], "right")
+            runs = to - at
+            where = np.repeat(at - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs) + np.arange(runs.sum())
+            shared = np.bincount(owner[where], minlength=len(right))
+            for j in np.flatnonzero(mine & (100 * shared >= percent * (sizes[i] + sizes[right] - shared))):
+                a, b = top(int(c[i])), top(int(c[right[j]]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((int(u[i]), int(u[right[j]])))
+        return pa.table({"u": pa.array([x for x, _ in out], pa.int64()), "v": pa.array([y for _, y in out], pa.int64())})
+
+    needed = crowded.select(F.col("u").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(needed, "doc_id", "left_semi")
+    sets = settle(texts.mapInArrow(shingles, "u long, members binary").join(
+        classes.select(F.col("node").alias("u"), "bands", "n_shingles").dropDuplicates(["u"]), "u").where("octet_length(members) = 8 * n_shingles"), "block-sets")
+    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
+    dealt = (crowded.select("bucket", "u", "c", "weight").withColumn("side", F.pmod(F.xxhash64("u"), blocks).cast("int"))
+             .select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("with"))
+             .select("bucket", "u", "c", "side", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high")))
+    return (dealt.join(sets.select("u", "bands", "members"), "u").groupBy("bucket", "low", "high").applyInArrow(link, "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their n-word shingle sets; component_id
     is the smallest doc_id reachable. Equal sets are one class, known by its smallest id and linked without a pair.
-    Within a bucket every class is held against the bucket's first one; members of a bucket that are still in
-    different components are then held against each other, but for pairs that the distances to the first one rule
-    out (Jaccard distance is a metric) or whose sizes or signatures do. No partner is dropped by count.
+    Within a bucket every class is held against the bucket's first one. Members of a bucket that are still in
+    different components are then held against each other: as pairs in buckets of a few, else in blocks that give
+    links between components only. No partner is dropped by count.
 
     A document without words has an empty set and is linked with nothing. A null doc_id is linked with nothing and has
     no component, yet is kept. Rows that repeat a doc_id count as one document: they are linked, with texts of
@@ -141,22 +208,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
     first_links = heads.where(linked).select("u", "v")
     labels = settle(components(first_links), "labels")
 
-    # Distance to the bucket's first class; unknown where the signatures ruled the pair out.
-    far = heads.groupBy("u", "v").agg(F.min(1 - F.col("shared") / F.col("total")).alias("far"))
-    known = (members.withColumnRenamed("node", "u").join(far, ["u", "v"], "left")
-             .join(labels.withColumnRenamed("node", "u"), "u", "left")
-             .select("bucket", "u", "n_shingles", F.when(F.col("u") == F.col("v"), F.lit(0.0)).otherwise(F.col("far")).alias("far"),
-                     F.coalesce("component", "u").alias("c")))
+    known = (members.drop("v").join(labels, "node", "left")
+             .select("bucket", F.col("node").alias("u"), "n_shingles", F.coalesce("component", "node").alias("c")))
     known = settle(known, "known")
-    split = known.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("bucket")
-    open_ = known.join(split, "bucket", "left_semi")
-    other = open_.select("bucket", F.col("u").alias("v"), F.col("n_shingles").alias("m"), F.col("far").alias("far2"), F.col("c").alias("c2"))
-    rest = (open_.join(other, "bucket").where("u > v and c <> c2").where(fits.format("n_shingles", "m"))
-            .where(f"far is null or far2 is null or abs(far - far2) <= {1 - percent / 100} + 1e-9")
+    open_ = known.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("weight"), F.min("c").alias("a"), F.max("c").alias("b"))
+    open_ = known.join(open_.where("a <> b").drop("a", "b"), "bucket")
+    few = open_.where(f"n <= {FEW}")
+    other = few.select("bucket", F.col("u").alias("v"), F.col("n_shingles").alias("m"), F.col("c").alias("c2"))
+    rest = (few.join(other, "bucket").where("u > v and c <> c2").where(fits.format("n_shingles", "m"))
             .select("u", "v").distinct().join(heads.select("u", "v"), ["u", "v"], "left_anti"))
     rest = settle(_alike(rest, classes, percent), "rest")
     more = _confirmed(rest, docs, n).where(linked).select("u", "v")
-    more = settle(more, "more")
+    more = settle(more.unionAll(_in_blocks(settle(open_.where(f"n > {FEW}"), "crowded"), classes, docs, percent, n)), "more")
     if not more.isEmpty():
         labels = components(first_links.unionAll(more))
 
