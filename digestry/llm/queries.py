@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.llm import chat, decontaminate, lm, media, minhash, packing, sharding, urls
+from digestry.llm import chat, decontaminate, lm, media, minhash, packing, quality, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.to_png(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = media.from_png(stored.drop("text"))
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit": op3_best_fit,
     "op4_sharding": op4_sharding,
     "op5_minhash": op5_minhash,
+    "op6_quality": op6_quality,
     "op7_media": op7_media,
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_score": op9_lm_score,

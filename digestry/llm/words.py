@@ -156,3 +156,36 @@ def shingle_sets(found: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
 
 def as_signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+class Lookup:
+    """Values by 64-bit key: a table at most half full, with the next free place after a taken one."""
+
+    _FREE = np.int64(-(1 << 63))
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.mask = np.int64(size - 1)
+        self.keys, self.values = np.full(size, self._FREE), np.zeros(size, values.dtype)
+        left, at = np.arange(len(keys)), keys & self.mask
+        while len(left):
+            free = np.flatnonzero(self.keys[at] == self._FREE)
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.values[at[mine]] = values[left[mine]]
+            left, at = left[~mine], (at[~mine] + 1) & self.mask
+
+    def get(self, keys: np.ndarray, default) -> np.ndarray:
+        at = keys & self.mask
+        seen = self.keys[at]
+        out = np.where(seen == keys, self.values[at], default).astype(self.values.dtype)
+        left = np.flatnonzero((seen != keys) & (seen != self._FREE))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            seen = self.keys[at]
+            hit = seen == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            on = ~hit & (seen != self._FREE)
+            left, at = left[on], at[on]
+        return out
