@@ -36,6 +36,7 @@ def _lowered_values() -> np.ndarray:
 
 
 _VALUES = _lowered_values()
+_EXACT_VALUES = mix(np.arange(3000, 3256, dtype=np.uint64))
 _SEPARATES = np.zeros(256, bool)
 _SEPARATES[[9, 10, 11, 12, 13, 32]] = True
 
@@ -64,6 +65,7 @@ class Words:
     first: int
     last: int
     data: np.ndarray
+    offsets: np.ndarray  # where each text begins and ends in data
     starts: np.ndarray
     ends: np.ndarray
     bounds: np.ndarray
@@ -108,7 +110,7 @@ def words(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Words]:
         n = len(data)
         if not n:
             none = np.zeros(0, np.int64)
-            yield Words(first, last, data, none, none, np.zeros(last - first + 1, np.int64), np.zeros(0, np.uint64))
+            yield Words(first, last, data, offsets, none, none, np.zeros(last - first + 1, np.int64), np.zeros(0, np.uint64))
             continue
         apart = _SEPARATES[data]
         begins = np.ones(n, bool)
@@ -123,7 +125,40 @@ def words(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Words]:
             sums = np.zeros(n + 1, np.uint64)
             np.cumsum(_VALUES[data] * up, out=sums[1:])
             hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _STEP)
-        yield Words(first, last, data, starts, ends, np.searchsorted(starts, offsets), hashes)
+        yield Words(first, last, data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
+
+
+@dataclass
+class Lines:
+    """Lines with any word of the texts `first` to `last`: text k has lines bounds[k] to bounds[k + 1], each with its place
+    among all lines of its text, the hash of its bytes between outer white space, and its number of words."""
+
+    first: int
+    last: int
+    bounds: np.ndarray
+    places: np.ndarray
+    hashes: np.ndarray
+    n_words: np.ndarray
+    totals: np.ndarray  # lines of each text, empty ones too
+
+
+def lines(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Lines]:
+    for found in words(column, size):
+        k, n = found.last - found.first, len(found.data)
+        breaks = np.flatnonzero(found.data == 10)
+        # Line number of each word, and lines before each text, both counted over the chunk.
+        line = np.searchsorted(breaks, found.starts) + found.owners()
+        before = np.searchsorted(breaks, found.offsets) + np.arange(k + 1)
+        begins = np.flatnonzero(np.diff(line, prepend=-1))
+        last = np.append(begins[1:], len(line)) - 1 if len(line) else begins
+        up, down = _POWERS.upto(max(n, 1))
+        with np.errstate(over="ignore"):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_EXACT_VALUES[found.data] * up[:n], out=sums[1:])
+            start, end = found.starts[begins], found.ends[last]
+            hashes = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+        owner = found.owners()[begins]
+        yield Lines(found.first, found.last, np.searchsorted(owner, np.arange(k + 1)), line[begins] - before[owner], hashes, last - begins + 1, np.diff(before))
 
 
 _MIXERS = mix(np.arange(2000, 2064, dtype=np.uint64)) | np.uint64(1)
