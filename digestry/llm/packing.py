@@ -7,6 +7,7 @@ its length.
 
 from __future__ import annotations
 
+import os
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -24,14 +25,58 @@ LENGTH = 2048
 RUN = 500_000  # pieces one task numbers
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(name: str):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+class Tokens:
+    """Token ids of texts, with each piece of the pre-tokenizer encoded once and remembered.
+
+    Ids of a text are those of its pieces in order, since merges never cross a piece; the pieces come from the pattern
+    that the tokenizer's file itself uses. At most `most` pieces are remembered, then all are forgotten.
+    """
+
+    def __init__(self, name: str, most: int = 400_000) -> None:
+        import public_tokenizers
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.made = Tokenizer.from_file(public_tokenizers.path(name))
+        self.made.encode_special_tokens = True
+        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
+        self.most = most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.starts, self.lengths, self.ids = (np.zeros(0, np.int64) for _ in range(3))
+
+    def _learn(self, new: list[str]) -> None:
+        found = [e.ids for e in self.made.encode_batch_fast(new, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        starts = len(self.ids) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.int64)])
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+
+    def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by `end`, and the bounds of the texts."""
+        split = [self.pieces(t) for t in texts]
+        if len(self.places) > self.most:
+            self._forget()
+        new = set().union(*split).difference(self.places)
+        if new:
+            self._learn(list(new))
+        place = self.places.__getitem__
+        counts = np.array([len(x) for x in split], np.int64)
+        at = np.fromiter((place(p) for x in split for p in x), np.int64, counts.sum())
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        ids = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return np.insert(ids, bounds[1:], end).astype("<u4"), bounds + np.arange(len(bounds))
+
 
-    made = Tokenizer.from_file(public_tokenizers.path(name))
-    made.encode_special_tokens = True
-    return made
+@lru_cache(maxsize=2)
+def _tokens(name: str) -> Tokens:
+    return Tokens(name)
 
 
 def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = 0) -> DataFrame:
@@ -42,21 +87,15 @@ def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LE
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        made = _tokenizer(name)
+        tokens = _tokens(name)
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
                 part = batch.slice(first, 128)
                 rows: list[tuple] = []
-                texts = [x or "" for x in part.column(1).to_pylist()]
-                for doc, found in zip(part.column(0).to_pylist(), made.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.append(np.asarray(found.ids, dtype="<u4"), np.uint32(end)).astype("<u4")
-                    head = len(ids) % length or length
-                    for piece, start in enumerate([0, *range(head, len(ids), length)]):
-                        own = ids[start:start + length] if piece else ids[:head]
-                        rows.append((doc, piece, start, len(own), own.tobytes()))
+                found, bounds = tokens([x or "" for x in part.column(1).to_pylist()], end)
+                for doc, a, b in zip(part.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    edges = [a, *range(a + ((b - a) % length or length), b, length), b]
+                    rows += [(doc, i, x - a, y - x, found[x:y].tobytes()) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:]))]
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64()),
                                                   pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
