@@ -28,7 +28,7 @@ VOCABULARY = 8192     # target words with a vector; all others share one
 KNOWN_WORDS = 1 << 18  # most words whose counts go to every task; the others' counts are joined
 DIMENSIONS = 16
 NOISE = 32
-BATCH = 2048
+BATCH = 640
 RATE = 0.15
 ROUNDS = 2
 SHARE = 0.9           # of the neural model; the rest is the smoothed unigram model, so no word is hopeless

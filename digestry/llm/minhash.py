@@ -186,8 +186,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
     links between components only. No partner is dropped by count.
 
     A document without words has an empty set and is linked with nothing. A null doc_id is linked with nothing and has
-    no component, yet is kept. Rows that repeat a doc_id count as one document: they are linked, with texts of
-    their own.
+    no component, yet is kept. Rows that repeat a doc_id are judged each by its own text.
     """
     signed = settle(signatures(docs, n), "signatures")
     sets = (signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
@@ -224,7 +223,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
         labels = components(first_links.unionAll(more))
 
     of_set = sets.join(labels, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component_id"))
-    # An id that several sets share joins their components through the label of its node.
     return (signed.join(of_set, ["set_a", "set_b", "n_shingles"], "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))

@@ -172,7 +172,7 @@ def shingle_sets(found: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     counts, total = found.counts, len(found.hashes)
     with np.errstate(over="ignore"):
         rolled = np.zeros(max(0, total - n + 1), np.uint64)
-        for i in range(n):
+        for i in range(n if total >= n else 0):
             rolled += found.hashes[i:total - n + 1 + i] * _MIXERS[i]
         rolled = mix(rolled)
         sets = []
