@@ -13,10 +13,18 @@ from digestry.settings import Settings
 
 
 def attach_summaries(items: DataFrame, responses: DataFrame) -> DataFrame:
-    """Add `summary` and `why_it_matters` from generated answers; without one, the start of the description."""
+    """Add `summary` and `why_it_matters` from generated answers; without one, the start of the description.
+
+    Of several answers to an item the latest by `answer_ord` counts, if the table has that column, and a failed one
+    only where there is no other; of equals the greatest text.
+    """
+    latest = [F.col("answer_ord")] if "answer_ord" in responses.columns else []
+    answers = (responses.groupBy("item_id")
+               .agg(F.max(F.struct(F.col("raw").isNotNull().alias("_said"), *latest, F.col("raw").alias("_raw"))).alias("_a"))
+               .select("item_id", "_a._raw"))
     summary, why = X.parse_response(F.col("_raw"))
     failed = F.col("_raw").isNull()
-    return (items.join(responses.select("item_id", F.col("raw").alias("_raw")), "item_id", "left")
+    return (items.join(answers, "item_id", "left")
             .withColumn("summary", F.when(failed, F.substring(X.text_or_empty(F.col("description")), 1, 200))
                         .otherwise(summary))
             .withColumn("why_it_matters", F.when(failed, "").otherwise(why))

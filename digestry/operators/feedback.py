@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestry.functions import text as X
@@ -46,21 +46,28 @@ def reaction_stats(events: DataFrame, per: Sequence[str] = ("user_id",)) -> Data
 def from_request_log(log: DataFrame) -> DataFrame:
     """Reactions in requested addresses. Requests of other paths, without id or with an unknown reaction drop out.
 
-    The address is cut at `?`, `#` and `&`: `parse_url` would give up on all of it for one bad escape. Of a repeated
-    parameter the first value that is not blank counts. Such events know neither channel nor domain.
+    The address is cut at `?`, `#`, `;` and `&`: `parse_url` would give up on all of it for one bad escape. Names and values
+    are decoded, and a `%` that begins no escape stands for itself. Of a repeated parameter the first value that is not
+    blank counts. Such events know neither channel nor domain. Further columns of the log stay.
     """
     url = F.col("url")
     query = F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1)
 
-    def value(name: str) -> Column:
-        given = F.filter("_pairs", lambda p: p.startswith(f"{name}=") & (F.length(p) > len(name) + 1))
-        text = F.substring(F.get(given, F.lit(0)), len(name) + 2, 2 ** 31 - 1)
-        return F.coalesce(F.try_url_decode(text), text, F.lit(""))
+    def decoded(text: Column) -> Column:
+        return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
 
-    return (log.where(F.regexp_extract(url, r"^([^?#]*)", 1) == "/feedback")
-            .withColumn("_pairs", F.split(query, "&"))
+    def value(name: str) -> Column:
+        return F.coalesce(F.get(F.filter("_pairs", lambda p: p["name"] == name), F.lit(0))["value"], F.lit(""))
+
+    given = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
+    pairs = F.transform(given, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"),
+                                                  decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    new = ("item_id", "reaction", "title", "channel", "domain")
+    others = [c for c in log.columns if c not in ("event_ord", "ts", "user_id", "url", *new)]
+    return (log.where(F.regexp_extract(url, r"^([^?#;]*)", 1) == "/feedback")
+            .withColumn("_pairs", pairs)
             .select("event_ord", "ts", "user_id", value("id").alias("item_id"), value("r").alias("reaction"),
-                    value("t").alias("title"), F.lit("").alias("channel"), F.lit("").alias("domain"))
+                    value("t").alias("title"), F.lit("").alias("channel"), F.lit("").alias("domain"), *others)
             .where((F.col("item_id") != "") & F.col("reaction").isin("like", "dislike")))
 
 
@@ -111,3 +118,31 @@ def reactions_by_number(reactions: DataFrame, parsed: DataFrame, keys: Sequence[
     return (reactions.where(F.col("reaction").isin("like", "dislike"))
             .join(parsed, [*keys, "number"])
             .withColumn("item_id", F.col("title")))
+
+
+def keyword_weights(events: DataFrame, s: Settings, per: Sequence[str] = ("user_id",)) -> DataFrame:
+    """(per, keyword, weight): what readers' reactions say about the configured keywords in the titles.
+
+    A like adds one and anything else takes two off, as for channels; a keyword listed under two domains counts once.
+    Only keywords that occur are produced, inside the row, and summed up before the shuffle.
+    """
+    words = sorted(set(s.all_keywords))
+    named = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(k.lower()).alias("low")) for k in words])
+    title = F.lower(F.coalesce("title", F.lit("")))
+    hits = X.once(title, lambda t: F.transform(F.filter(named, lambda k: F.contains(t, k["low"])), lambda k: k["keyword"]))
+    points = F.when(F.col("reaction") == "like", 1).otherwise(-2)
+    return (events.select(*per, points.alias("_points"), F.explode(hits).alias("keyword"))
+            .groupBy(*per, "keyword").agg(F.sum("_points").cast("double").alias("weight")))
+
+
+def preference_examples(events: DataFrame, most: int = 5, per: Sequence[str] = ("user_id",)) -> DataFrame:
+    """(per, reaction, place, item_id, title): a reader's newest liked and disliked items, as examples for a prompt.
+
+    The latest reaction to an item decides; the limit per reader also applies before the last shuffle.
+    """
+    latest = (events.groupBy(*per, "item_id")
+              .agg(F.max_by(F.struct("reaction", "title", "event_ord"), "event_ord").alias("_e"))
+              .select(*per, "item_id", "_e.*"))
+    newest = Window.partitionBy(*per, "reaction").orderBy(F.col("event_ord").desc())
+    return (latest.withColumn("place", F.row_number().over(newest).cast("bigint")).where(F.col("place") <= most)
+            .select(*per, "reaction", "place", "item_id", "title"))

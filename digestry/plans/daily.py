@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from digestry import schema
@@ -21,10 +21,16 @@ def collect_videos(payloads: DataFrame, snippets: DataFrame, s: Settings,
                    script_table: tuple[str, str] | None = None) -> DataFrame:
     """Videos of subscribed channels, then of keyword searches; the first mention of a video counts.
 
+    Of a video that landed several times the newest copy counts (`landed`, if the responses have it), then the one of
+    most views; what is left to tell copies apart is a hash of all they say.
+
     Transcripts are joined to the few videos that remain, not to everything that was landed.
     """
-    landed = V.flatten_payloads(payloads).withColumn("ord", F.xxhash64("item_id"))
-    landed = V.first_per_id(landed)
+    landed = V.flatten_payloads(payloads)
+    said = F.xxhash64(*landed.columns)
+    newest = F.struct(*([F.col("landed")] if "landed" in landed.columns else []), "views", "likes", "comments", said)
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(newest.desc()))
+    landed = landed.withColumn("_n", place).where(F.col("_n") == 1).drop("_n", "landed").withColumn("ord", F.xxhash64("item_id"))
     common = ["item_id", "domain", "_order"]
     subscribed = V.latest_of_channels(landed, s).withColumn(
         "_order", F.struct(F.lit(0).alias("mode"), F.col("channel_ord").alias("at"), F.col("place").alias("place")))
@@ -42,14 +48,23 @@ def collect_videos(payloads: DataFrame, snippets: DataFrame, s: Settings,
 
 def collect_articles(documents: DataFrame, feeds: DataFrame, s: Settings,
                      script_table: tuple[str, str] | None = None) -> DataFrame:
+    """Articles of the feeds. Of several fetches of a feed the newest comes first, and an article that occurs again,
+    within a document or in another fetch, counts at its first place."""
     rows = feed_entries(documents, s, feeds, script_table)
+    if "fetch" not in rows.columns:
+        rows = rows.withColumn("fetch", F.lit(""))
+    order = [F.col("fetch").desc(), F.col("entry_no"), F.xxhash64("title", "description")]
+    first = F.row_number().over(Window.partitionBy("feed_ord", "item_id").orderBy(*order))
+    rows = rows.withColumn("_n", first).where(F.col("_n") == 1).drop("_n")
+    # A feed has the entries of one day only, so its articles fit a task.
+    place = F.row_number().over(Window.partitionBy("feed_ord").orderBy(*order, "item_id")) - 1
     return _numbered(rows.withColumn("_at", F.struct(F.lit(2).alias("mode"), F.col("feed_ord").cast("bigint").alias("at"),
-                                                     F.col("entry_no").alias("place"))))
+                                                     place.cast("bigint").alias("place"))).drop("fetch"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Ordinal from (mode, place of the rule, place within it): fewer than 10^6 rules, fewer than 10^3 results each."""
-    return rows.withColumn("ord", (F.col("_at.mode").cast("bigint") * 1_000_000 + F.col("_at.at")) * 1_000
+    """Ordinal from (mode, place of the rule, place within it): places below 10^9, rules below 10^6."""
+    return rows.withColumn("ord", (F.col("_at.mode").cast("bigint") * 1_000_000 + F.col("_at.at")) * 1_000_000_000
                            + F.col("_at.place"))
 
 

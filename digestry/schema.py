@@ -68,8 +68,10 @@ _RSS_ENTRY = T.StructType([
     T.StructField("link", T.StringType()),
     T.StructField("title", T.StringType()),
     T.StructField("description", T.StringType()),
+    T.StructField("content:encoded", T.StringType()),
     T.StructField("pubDate", T.StringType()),
     T.StructField("updated", T.StringType()),
+    T.StructField("dc:date", T.StringType()),
 ])
 _ATOM_ENTRY = T.StructType([
     T.StructField("id", T.StringType()),
@@ -79,6 +81,7 @@ _ATOM_ENTRY = T.StructType([
     ]))),
     T.StructField("title", T.StringType()),
     T.StructField("summary", T.StringType()),
+    T.StructField("content", T.StringType()),
     T.StructField("published", T.StringType()),
     T.StructField("updated", T.StringType()),
 ])
@@ -87,6 +90,7 @@ FEED_DOCUMENT = T.StructType([
         T.StructField("item", T.ArrayType(_RSS_ENTRY)),
     ])),
     T.StructField("entry", T.ArrayType(_ATOM_ENTRY)),
+    T.StructField("_unread", T.StringType()),  # the document, where it is not well-formed
 ])
 
 RULE_TABLES = {

@@ -17,27 +17,57 @@ _ENTRY = ("STRUCT<id: STRING, link: STRING, title: STRING, body: STRING, publish
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Whole files as (feed_name, content); the file name without extension names the feed.
+    """Whole files as (feed_name, fetch, content); the file name without extension names the feed, and the file's time
+    and path are the fetch, which orders several documents of one feed.
 
     The name comes percent-encoded from the file source.
     """
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(\.[^.]*)?$", 1)
     return (spark.read.text(path, wholetext=True)
-            .select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("feed_name"), F.col("value").alias("content")))
+            .select(F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("feed_name"),
+                    F.concat_ws(" ", F.col("_metadata.file_modification_time").cast("string"), "_metadata.file_path").alias("fetch"),
+                    F.col("value").alias("content")))
+
+
+# Hours from UTC of the zone names that mail dates use.
+_ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
 
 def parse_time(value: Column) -> Column:
-    """ISO-8601 or RFC-822 time, else NULL. The weekday is cut off: the parser does not take it."""
+    """ISO-8601 or RFC-822 time, else NULL: with or without weekday, seconds and zone, years of two or four digits.
+
+    Zone names count as their offset, a missing zone as UTC.
+    """
     bare = F.trim(F.regexp_replace(value, r"^\s*[A-Za-z]{3,9},\s*", ""))
-    zoned = F.regexp_replace(bare, r"\s(GMT|UTC|UT|Z)$", " +0000")
-    return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")),
-                      F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm Z")))
+    for name, hours in _ZONES.items():
+        bare = F.regexp_replace(bare, rf"\s{name}$", f" {hours:+03d}00")
+    zoned = F.when(bare.rlike(r":\d\d$"), F.concat(bare, F.lit(" +0000"))).otherwise(bare)
+    year = F.regexp_extract(zoned, r"^\d{1,2} [A-Za-z]{3} (\d\d) ", 1)
+    full = F.when(year != "", F.regexp_replace(zoned, r"^(\d{1,2} [A-Za-z]{3}) (\d\d) ", F.concat(
+        F.lit("$1 "), F.when(year >= "70", F.lit("19")).otherwise(F.lit("20")), F.lit("$2 ")))).otherwise(zoned)
+    return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(full, F.lit("d MMM yyyy HH:mm:ss Z")),
+                      F.try_to_timestamp(full, F.lit("d MMM yyyy HH:mm Z")))
+
+
+def _parsed(content: Column) -> Column:
+    """The document; if it is not well-formed, what it gives once stray `&` outside CDATA are escaped."""
+    read = lambda text: F.from_xml(text, schema.FEED_DOCUMENT, {"columnNameOfCorruptRecord": "_unread"})
+    stray = r"(?s)&(?!(?:amp|lt|gt|quot|apos|#\d+|#[xX][0-9A-Fa-f]+);)(?!(?:(?!<!\[CDATA\[).)*?\]\]>)"
+    first = read(content)
+    return F.when(first["_unread"].isNull(), first).otherwise(read(F.regexp_replace(content, stray, "&amp;")))
+
+
+def feed_rejects(documents: DataFrame) -> DataFrame:
+    """Documents that give no entries because they cannot be read even after repair; same columns as `documents`."""
+    doc = F.col("_doc")
+    return (documents.withColumn("_doc", _parsed(F.col("content")))
+            .where(doc.isNull() | doc["_unread"].isNotNull()).drop("_doc"))
 
 
 def _entries(doc: Column) -> Column:
     rss = F.transform(doc["channel"]["item"], lambda e: F.struct(
-        e["guid"].alias("id"), e["link"].alias("link"), e["title"].alias("title"), e["description"].alias("body"),
-        e["pubDate"].alias("published"), e["updated"].alias("updated")).cast(_ENTRY))
+        e["guid"].alias("id"), e["link"].alias("link"), e["title"].alias("title"), F.coalesce(e["description"], e["content:encoded"]).alias("body"),
+        e["pubDate"].alias("published"), F.coalesce(e["updated"], e["dc:date"]).alias("updated")).cast(_ENTRY))
 
     def atom_link(links: Column) -> Column:
         main = F.filter(links, lambda k: F.coalesce(k["_rel"], F.lit("alternate")) == "alternate")
@@ -45,7 +75,7 @@ def _entries(doc: Column) -> Column:
 
     atom = F.transform(doc["entry"], lambda e: F.struct(
         e["id"].alias("id"), atom_link(e["link"]).alias("link"), e["title"].alias("title"),
-        e["summary"].alias("body"), e["published"].alias("published"), e["updated"].alias("updated")).cast(_ENTRY))
+        F.coalesce(e["summary"], e["content"]).alias("body"), e["published"].alias("published"), e["updated"].alias("updated")).cast(_ENTRY))
     return F.coalesce(rss, atom)
 
 
@@ -56,14 +86,15 @@ def feed_entries(documents: DataFrame, s: Settings, feeds: DataFrame,
     `feeds` holds one row per feed name (name, lang, domains, authority, ord). Domains are set by `classify`, after
     characters of Chinese feeds are mapped by the given table.
     """
-    parsed = (documents.select("feed_name", F.from_xml("content", schema.FEED_DOCUMENT).alias("_doc"))
-              .select("feed_name", F.posexplode(F.slice(_entries(F.col("_doc")), 1, rules.ENTRIES_PER_FEED))
+    fetch = F.col("fetch") if "fetch" in documents.columns else F.lit("").alias("fetch")
+    parsed = (documents.select("feed_name", fetch, _parsed(F.col("content")).alias("_doc"))
+              .select("feed_name", "fetch", F.posexplode(F.slice(_entries(F.col("_doc")), 1, rules.ENTRIES_PER_FEED))
                       .alias("entry_no", "_e")))
     e = F.col("_e")
     rows = (parsed.withColumn("published_at", F.coalesce(parse_time(e["published"]), parse_time(e["updated"])))
             .where(F.col("published_at").isNull() | (F.col("published_at") >= F.lit(s.as_of - timedelta(days=1))))
-            .select("feed_name", F.col("entry_no").cast("bigint").alias("entry_no"),
-                    F.coalesce(e["id"], e["link"], e["title"], F.lit("")).alias("item_id"),
+            .select("feed_name", "fetch", F.col("entry_no").cast("bigint").alias("entry_no"),
+                    F.coalesce(e["id"], e["link"]).alias("item_id"),
                     F.lit("RSS").alias("kind"), F.coalesce(e["title"], F.lit("")).alias("title"),
                     F.substring(X.strip_tags(F.coalesce(e["body"], F.lit(""))), 1, rules.DESCRIPTION_CHARS)
                     .alias("description"),
@@ -74,6 +105,9 @@ def feed_entries(documents: DataFrame, s: Settings, feeds: DataFrame,
     rows = rows.join(config, "feed_name")
     if script_table:
         rows = simplified(rows, script_table, ("title", "description"), "zh")
+    rows = rows.withColumn("item_id", F.coalesce("item_id", "title"))
+    if "fetch" not in documents.columns:
+        rows = rows.drop("fetch")
     return (classify(rows, s)
             .withColumnRenamed("feed_name", "channel")
             .withColumns({"views": F.lit(0).cast("bigint"), "likes": F.lit(0).cast("bigint"),

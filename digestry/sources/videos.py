@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from digestry import rules, schema
 from digestry.functions import text as X
@@ -14,12 +15,23 @@ from digestry.settings import Settings
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, one response per line; lines that are not JSON give empty responses."""
-    return spark.read.schema(schema.VIDEO_PAYLOAD).json(path)
+    """JSON lines as (payload, landed): one response per line, and the file's time and path."""
+    landed = F.concat_ws(" ", F.col("_metadata.file_modification_time").cast("string"), F.col("_metadata.file_path"))
+    return spark.read.text(path).select(F.col("value").alias("payload"), landed.alias("landed"))
 
 
 def parse_payloads(raw: DataFrame, column: str = "payload") -> DataFrame:
-    return raw.select(F.from_json(column, schema.VIDEO_PAYLOAD).alias("_p")).select("_p.*")
+    """Responses as structures, with `landed` if the rows have it. Lines that are not JSON give empty responses; see
+    `payload_rejects`."""
+    landed = ["landed"] if "landed" in raw.columns else []
+    return raw.select(F.from_json(column, schema.VIDEO_PAYLOAD).alias("_p"), *landed).select("_p.*", *landed)
+
+
+def payload_rejects(raw: DataFrame, column: str = "payload") -> DataFrame:
+    """Rows that are no JSON object, as they landed; empty lines are none."""
+    columns = T.StructType([*schema.VIDEO_PAYLOAD.fields, T.StructField("_unread", T.StringType())])
+    read = F.from_json(column, columns, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_unread"})
+    return raw.where(F.trim(column) != "").withColumn("_r", read).where(F.col("_r._unread").isNotNull() | F.col("_r").isNull()).drop("_r")
 
 
 def _count(value: Column) -> Column:
@@ -27,10 +39,11 @@ def _count(value: Column) -> Column:
 
 
 def flatten_payloads(payloads: DataFrame) -> DataFrame:
-    """One item row per video."""
+    """One item row per video, with `landed` if the responses have it."""
     v = F.col("_v")
-    return (payloads.select(F.explode("items").alias("_v"))
-            .select(v["id"].alias("item_id"), F.lit("YouTube").alias("kind"),
+    landed = ["landed"] if "landed" in payloads.columns else []
+    return (payloads.select(F.explode("items").alias("_v"), *landed)
+            .select(*landed, v["id"].alias("item_id"), F.lit("YouTube").alias("kind"),
                     v["snippet"]["channelId"].alias("channel_id"), v["snippet"]["channelTitle"].alias("channel"),
                     v["snippet"]["title"].alias("title"),
                     F.substring(X.text_or_empty(v["snippet"]["description"]), 1, rules.DESCRIPTION_CHARS)

@@ -430,3 +430,33 @@ def _prompt() -> str:
 
 
 ORACLES["prompt_table"] = f"{_with(ITEMS)} SELECT item_id, {_prompt()} AS prompt FROM items"
+
+# Large briefings: the same rules over one briefing per language.
+LARGE = (TO_SCORED.replace("\nscored AS (", "\nscored_small AS (")
+         + ",\nscored AS (SELECT * REPLACE (CAST(CASE domain WHEN 'AI' THEN 0 WHEN '芯片' THEN 1 WHEN '机器人' THEN 2 ELSE 3 END AS BIGINT) AS brief_id) FROM scored_small)")
+ORACLES["ranked_large"] = f"""{_with(LARGE, ABOVE)}
+SELECT brief_id, ord, item_id, quality_score, row_number() OVER (PARTITION BY brief_id ORDER BY quality_score DESC, ord) AS rank FROM above"""
+ORACLES["dedup_titles_large"] = f"""{_with(LARGE, ABOVE, _walks('above'), recursive=True)}
+SELECT brief_id, ord, item_id, quality_score FROM uniq"""
+ORACLES["curate_large"] = f"""{_with(LARGE, PASSING, _walks('passing'), _picks('uniq'), recursive=True)}
+SELECT brief_id, ord, item_id, quality_score, channel, domain, title, pick FROM picked"""
+
+ORACLES["landed_rejects"] = """SELECT 'payload' AS kind, doc_id FROM documents WHERE doc_id % 7 = 0
+UNION ALL SELECT 'feed', doc_id FROM documents WHERE doc_id % 11 = 0"""
+ORACLES["feed_forms"] = """SELECT 'g' || doc_id AS item_id, 'T' || doc_id AS title, 'body & ' || doc_id AS description,
+  CASE doc_id % 3 WHEN 0 THEN 1706670900 WHEN 1 THEN 1706652900 ELSE 1706649300 END AS published_at FROM documents"""
+
+ORACLES["keyword_weights"] = f"""{_with(REACTIONS)}
+SELECT user_id, keyword, CAST(sum(CASE reaction WHEN 'like' THEN 1 ELSE -2 END) AS BIGINT) AS weight
+FROM fb JOIN (VALUES ('title 1'), ('title 2'), ('more'), ('É'), ('nothing')) k(keyword) ON contains(lower(title), lower(keyword))
+GROUP BY user_id, keyword"""
+ORACLES["preference_examples"] = f"""{_with(REACTIONS)},
+latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, item_id ORDER BY event_ord DESC) AS n FROM fb) WHERE n = 1)
+SELECT user_id, reaction, place, item_id, title FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id, reaction ORDER BY event_ord DESC) AS place FROM latest) WHERE place <= 5"""
+ORACLES["emerging_terms"] = f"""{_with(ITEMS)},
+said AS (
+  SELECT CAST(epoch(published_at) AS BIGINT) // 43200 AS period, unnest({TOKENS}) AS term FROM items WHERE published_at IS NOT NULL),
+counted AS (SELECT period, term, count(*) AS n FROM said GROUP BY period, term)
+SELECT c.period, c.term, c.n, coalesce(b.n, 0) AS before FROM counted c LEFT JOIN counted b ON b.term = c.term AND b.period = c.period - 1
+WHERE c.n > coalesce(b.n, 0)"""

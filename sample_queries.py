@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 import sample_views as V
 from digestry.functions import scores as S
 from digestry.functions import text as X
-from digestry.operators import briefing, card, feedback, ranking, scoring, selection, titles
+from digestry.operators import briefing, card, feedback, ranking, scoring, selection, titles, trends
 from digestry.operators.classify import classify
+from digestry.plans.curate import curate as curated
 from digestry.plans.curate import funnel
 from digestry.session import scratch_path
 from digestry.sources import feeds, tables, videos
@@ -425,3 +426,81 @@ def reaction_store(spark, folder):
     tables.append_reactions(V.reactions(spark, folder), path)
     good, _ = tables.read_reactions(spark, path)
     return good.drop("ts")
+
+
+# --- Landed data with flaws, and large briefings -----------------------------------------------------------------
+
+@query
+def landed_rejects(spark, folder):
+    """Every seventh response is cut off, every eleventh feed document has an open element."""
+    docs = V.table(spark, folder, "documents").select("doc_id")
+    line = F.to_json(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("id"))).alias("items")))
+    cut = F.expr("substring(line, 1, length(line) - 3)")
+    lines = docs.withColumn("line", line).withColumn("payload", F.when(F.col("doc_id") % 7 == 0, cut).otherwise(F.col("line")))
+    files = docs.withColumn("content", F.concat(
+        F.lit("<rss><channel><item><title>A & B"), F.when(F.col("doc_id") % 11 == 0, "").otherwise("</title>"), F.lit("</item></channel></rss>")))
+    return (videos.payload_rejects(lines).select(F.lit("payload").alias("kind"), "doc_id")
+            .unionByName(feeds.feed_rejects(files).select(F.lit("feed").alias("kind"), "doc_id")))
+
+
+@query
+def feed_forms(spark, folder):
+    """RSS with encoded content and mail dates, Atom with content, RSS with stray `&` and Dublin Core dates."""
+    docs = V.table(spark, folder, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"))
+    space = ' xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
+    encoded = F.concat(F.lit(f"<rss{space}><channel><item><guid>g"), "id", F.lit("</guid><title>T"), "id", F.lit("</title><content:encoded><![CDATA[<p>body & "), "id",
+                       F.lit("</p>]]></content:encoded><pubDate>Tue, 30 Jan 24 22:15 EST</pubDate></item></channel></rss>"))
+    atom = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><entry><id>g'), "id", F.lit("</id><title>T"), "id", F.lit('</title><content type="html">&lt;p&gt;body &amp; '), "id",
+                    F.lit("&lt;/p&gt;</content><updated>2024-01-30T22:15:00Z</updated></entry></feed>"))
+    stray = F.concat(F.lit(f"<rss{space}><channel><item><guid>g"), "id", F.lit("</guid><title>T"), "id", F.lit("</title><description>body & "), "id",
+                     F.lit("</description><dc:date>2024-01-30T22:15:00+01:00</dc:date></item></channel></rss>"))
+    files = docs.select(F.col("id").alias("feed_name"), F.when(F.col("doc_id") % 3 == 0, encoded).when(F.col("doc_id") % 3 == 1, atom).otherwise(stray).alias("content"))
+    return feeds.feed_entries(files, P, _feed_rules(files.select("feed_name"))).select("item_id", "title", "description", _epoch("published_at"))
+
+
+def _by_language(rows):
+    return rows.withColumn("brief_id", F.expr("CASE domain WHEN 'AI' THEN 0 WHEN '芯片' THEN 1 WHEN '机器人' THEN 2 ELSE 3 END").cast("bigint"))
+
+
+def _large(spark, folder):
+    """Four large briefings, one per language, with all that passes."""
+    return _by_language(ranking.passing(V.scored(spark, folder), P))
+
+
+@query
+def ranked_large(spark, folder):
+    rows = _large(spark, folder).select(*V.KEYS_AND_SCORE)
+    return ranking.ranked(rows, P).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query
+def dedup_titles_large(spark, folder):
+    return titles.drop_similar_titles(_large(spark, folder), P).select(*V.KEYS_AND_SCORE)
+
+
+@query
+def curate_large(spark, folder):
+    items = _by_language(V.items(spark, folder))
+    picks = curated(items, P, per=("user_id",), **V.learned(spark, folder))
+    return picks.select(*V.KEYS_AND_SCORE, "channel", "domain", "title", "pick")
+
+
+# --- Preferences and terms ---------------------------------------------------------------------------------------
+
+KEYWORDS = P.with_(domain_keywords=(("AI", ("title 1", "more", "É")), ("芯片", ("title 2", "more")), ("机器人", ("nothing",))))
+
+
+@query
+def keyword_weights(spark, folder):
+    found = feedback.keyword_weights(V.reactions(spark, folder), KEYWORDS)
+    return found.withColumn("weight", F.col("weight").cast("bigint"))
+
+
+@query
+def preference_examples(spark, folder):
+    return feedback.preference_examples(V.reactions(spark, folder))
+
+
+@query
+def emerging_terms(spark, folder):
+    return trends.emerging_terms(V.items(spark, folder), hours=12)
