@@ -140,7 +140,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.drop("removed_lines", "text_key").withColumn("text_key", F.xxhash64("text"))
     narrow = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "text_key", F.col("text").cast("string").alias("text"))
     blocks = settle(common_blocks(narrow, min_words), "blocks").withColumnRenamed("doc_id", "__id").dropDuplicates(["__id", "text_key"])
-    joined = keyed.join(blocks.withColumnRenamed("text_key", "__key"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
+    # The blocks grow with the table, so they are never broadcast, however few they are.
+    joined = keyed.join(blocks.withColumnRenamed("text_key", "__key").hint("merge"), (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
     # As the variable of a lambda the text is split once per row, not once per range.
     cut = F.transform(F.array(F.split("text", "\n")), lambda held: F.flatten(F.transform("kept", lambda r: F.slice(held, r["begin"], r["n"]))))[0]
     stays = F.array_join(cut, "\n")
