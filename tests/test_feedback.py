@@ -1,7 +1,7 @@
 """Reactions: latest, weights, statistics, request log, documents read back, stream."""
 
 import random
-from urllib.parse import parse_qs, quote, urlparse
+from urllib.parse import parse_qsl, quote, urlsplit
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,27 +27,58 @@ def test_weights_count_every_event_and_stats_the_latest(spark):
     assert latest == {"i": "dislike", "5": "like"}
 
 
-def expected_event(url):
-    parts = urlparse(url)
-    params = parse_qs(parts.query)
-    item, reaction = params.get("id", [""])[0], params.get("r", [""])[0]
-    if parts.path != "/feedback" or not item or reaction not in ("like", "dislike"):
-        return None
-    return item, reaction, params.get("t", [""])[0]
+LOGGED = [  # address, and (item, reaction, title) or None
+    ("/feedback?id=1&r=like&t=a%20b", ("1", "like", "a b")),
+    ("/feedback?id=1&r=like", ("1", "like", "")),
+    ("/feedback?id=&r=like", None),
+    ("/feedback", None),
+    ("/feedback?id=2&r=dislike#x&t=1", ("2", "dislike", "")),
+    ("/feedback/?id=1&r=like", None),
+    ("/feedback?t=x&id=&id=7&r=&r=like", ("7", "like", "x")),
+    ("/feedback?id=1&r=like&t=100%zz", ("1", "like", "100%zz")),
+    ("/feedback?id=1&r=like&t=a%20b%zz+c", ("1", "like", "a b%zz c")),
+    ("/feedback;x?id=1&r=like", ("1", "like", "")),
+    ("/feedback?%69d=3&r=like", ("3", "like", "")),
+    ("/other?id=1&r=like", None),
+    ("/feedback?xid=1&r=like", None),
+    ("/feedback?id=a+b&r=like", ("a b", "like", "")),
+    ("/feedback?x=1?id=5&r=like", None),
+    ("/feedback?id=1?&r=like", ("1?", "like", "")),
+    ("/feedback?id=a=b&r=like", ("a=b", "like", "")),
+    ("/feedback??id=1&r=like", None),
+    ("/feedback?id=1&r=maybe", None),
+    ("/feedback?id=" + quote("机") + "&r=dislike&t=" + quote("机器人 & co"), ("机", "dislike", "机器人 & co")),
+]
+
+
+def in_query(url):
+    """By pairs of the query as the standard library splits it: the first value given for each name."""
+    given = {}
+    for name, value in parse_qsl(urlsplit(url).query):
+        given.setdefault(name, value)
+    ok = given.get("id") and given.get("r") in {"like", "dislike"}
+    return (given["id"], given["r"], given.get("t", "")) if ok else None
 
 
 def test_request_log(spark):
     rnd = random.Random(5)
-    urls = ["/feedback?id=1&r=like&t=a%20b", "/feedback?id=1&r=like", "/feedback?id=&r=like", "/feedback",
-            "/feedback?id=2&r=dislike#x&t=1", "/feedback/?id=1&r=like", "/feedback?t=x&id=&id=7&r=&r=like",
-            "/feedback?id=1&r=like&t=100%zz", "/other?id=1&r=like", "/feedback?xid=1&r=like", "/feedback?id=a+b&r=like",
-            "/feedback?x=1?id=5&r=like", "/feedback?id=1?&r=like", "/feedback?id=a=b&r=like", "/feedback??id=1&r=like",
-            "/feedback?id=%E6%9C%BA&r=dislike&t=" + quote("机器人 & co")]
-    pieces = ["id=1", "id=", "id=%20x", "r=like", "r=dislike", "r=no", "t=a+b", "t=%41", "&", "x=1", "?", "t=?id=3"]
-    urls += ["/feedback?" + "&".join(rnd.choices(pieces, k=rnd.randint(1, 5))) for _ in range(200)]
-    log = spark.createDataFrame([(i, None, 1, u) for i, u in enumerate(urls)], schema.REQUEST_LOG)
-    got = {r.event_ord: (r.item_id, r.reaction, r.title) for r in feedback.from_request_log(log).collect()}
-    assert got == {i: e for i, u in enumerate(urls) if (e := expected_event(u))}
+    pieces = ["id=1", "id=", "id=%20x", "r=like", "r=dislike", "r=no", "t=a+b", "t=%41", "&", "x=1", "?", "t=?id=3", "%74=q", "t=5%"]
+    random_ones = ["/feedback?" + "&".join(rnd.choices(pieces, k=rnd.randint(1, 5))) for _ in range(200)]
+    cases = LOGGED + [(u, in_query(u)) for u in random_ones]
+    log = spark.createDataFrame([(i, None, 1, u) for i, (u, _) in enumerate(cases)], schema.REQUEST_LOG)
+    got = {r.event_ord: (r.item_id, r.reaction, r.title) for r in feedback.from_request_log(log.withColumn("brief_id", F.lit(4))).collect()}
+    assert got == {i: e for i, (_, e) in enumerate(cases) if e}
+    assert feedback.from_request_log(log.withColumn("brief_id", F.lit(4))).columns[-1] == "brief_id"
+
+
+def test_keyword_weights_and_examples(spark):
+    rows = [(0, None, 1, "a", "like", "GPU news", "", ""), (1, None, 1, "b", "dislike", "gpu and chip", "", ""), (2, None, 1, "a", "dislike", "GPU news", "", ""),
+            (3, None, 2, "c", "like", None, "", ""), (4, None, 1, "d", "like", "chip", "", "")]
+    df = spark.createDataFrame(rows, schema.FEEDBACK_EVENTS)
+    s = Settings().with_(domain_keywords=(("AI", ("GPU", "chip")), ("x", ("GPU",))))
+    assert {(r.user_id, r.keyword): r.weight for r in feedback.keyword_weights(df, s).collect()} == {(1, "GPU"): -3.0, (1, "chip"): -1.0}
+    assert sorted(map(tuple, feedback.preference_examples(df, 1).collect()), key=str) == [
+        (1, "dislike", 1, "a", "GPU news"), (1, "like", 1, "d", "chip"), (2, "like", 1, "c", None)]
 
 
 def test_restored_items_move_weights(spark):

@@ -1,12 +1,13 @@
 """Ranks, caps and the whole curation against plain loops."""
 
 import random
-import re
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from plain import displaced
+
 from digestry.operators.ranking import passing_with_fallback, ranked
 from digestry.operators.selection import select_top
 from digestry.plans.curate import funnel, select_unique
@@ -16,12 +17,8 @@ SCHEMA = "brief_id bigint, ord bigint, quality_score bigint, title string, domai
 
 
 def plain_dedup(rows):
-    kept = []
-    for row in rows:
-        words = set(re.findall(r"\w+", row[3].lower()))
-        if not any(words and w and len(words & w) / min(len(words), len(w)) > 0.5 for _, w in kept):
-            kept.append((row, words))
-    return [row for row, _ in kept]
+    found = displaced([(i, row[3]) for i, row in enumerate(rows)])
+    return [row for i, row in enumerate(rows) if found[i] is None]
 
 
 def plain_select(rows, s):

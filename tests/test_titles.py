@@ -1,11 +1,12 @@
 """Greedy removal of similar titles against a plain loop, on both physical paths."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from plain import displaced
+
 from digestry.operators.titles import drop_similar_titles, match_titles, title_matches
 from digestry.settings import Settings
 
@@ -14,17 +15,10 @@ SCHEMA = "brief_id bigint, ord bigint, quality_score bigint, title string"
 
 def plain_loop(rows):
     """{(brief, ord): ordinal of the first kept similar title or None}"""
-    out, kept = {}, {}
-    for brief, ordinal, score, title in sorted(rows, key=lambda r: (r[0], -r[2], r[1])):
-        words = set(re.findall(r"\w+", title.lower()))
-        of = None
-        for other, other_words in kept.setdefault(brief, []):
-            if words and other_words and len(words & other_words) / min(len(words), len(other_words)) > 0.5:
-                of = other
-                break
-        if of is None:
-            kept[brief].append((ordinal, words))
-        out[brief, ordinal] = of
+    out = {}
+    for brief in {r[0] for r in rows}:
+        ranked = sorted((r for r in rows if r[0] == brief), key=lambda r: (-r[2], r[1]))
+        out |= {(brief, k): of for k, of in displaced([(r[1], r[3]) for r in ranked]).items()}
     return out
 
 
