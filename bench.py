@@ -15,7 +15,7 @@ import sample_queries  # noqa: E402
 
 HEADLINE = ("ingest_flatten", "feed_entries", "keyword_topk", "classify_domain", "quality_score", "ranked_items",
             "dedup_titles", "capped_topk", "funnel_counts", "curate", "source_weights", "feedback_from_log",
-            "stream_weights", "briefing_doc", "card_elements")
+            "stream_weights", "briefing_doc", "card_elements", "ranked_large", "curate_large", "emerging_terms")
 
 
 def main() -> None:
