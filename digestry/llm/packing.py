@@ -7,7 +7,6 @@ its length.
 
 from __future__ import annotations
 
-import os
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,52 +25,31 @@ RUN = 500_000  # pieces one task numbers
 
 
 class Tokens:
-    """Token ids of texts, with each piece of the pre-tokenizer encoded once and remembered.
+    """Token ids of texts by a byte-level BPE file of the `tokenizers` library.
 
-    Ids of a text are those of its pieces in order, since merges never cross a piece; the pieces come from the pattern
-    that the tokenizer's file itself uses. At most `most` pieces are remembered, then all are forgotten.
+    The file's vocabulary is handed to tiktoken's encoder, which gives the same ids in a quarter of the time: there a
+    token's rank is its id, as merges are numbered in order. Special tokens' strings are ordinary text.
     """
 
-    def __init__(self, name: str, most: int = 400_000) -> None:
+    def __init__(self, name: str) -> None:
         import public_tokenizers
-        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.made = Tokenizer.from_file(public_tokenizers.path(name))
-        self.made.encode_special_tokens = True
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.most = most
-        self._forget()
-
-    def _forget(self) -> None:
-        self.places: dict[str, int] = {}
-        self.starts, self.lengths, self.ids = (np.zeros(0, np.int64) for _ in range(3))
-
-    def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.made.encode_batch_fast(new, add_special_tokens=False)]
-        lengths = np.array([len(x) for x in found], np.int64)
-        starts = len(self.ids) + np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.int64)])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new))))
+        made = Tokenizer.from_file(public_tokenizers.path(name))
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a vocabulary writes as themselves
+        hidden = [b for b in range(256) if b not in set(shown)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        special = {t.content for t in made.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in made.get_vocab().items() if t not in special}
+        self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end`, and the bounds of the texts."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.places) > self.most:
-            self._forget()
-        new = set().union(*split).difference(self.places)
-        if new:
-            self._learn(list(new))
-        place = self.places.__getitem__
-        counts = np.array([len(x) for x in split], np.int64)
-        at = np.fromiter((place(p) for x in split for p in x), np.int64, counts.sum())
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.ids[np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return np.insert(ids, bounds[1:], end).astype("<u4"), bounds + np.arange(len(bounds))
+        found = [self.encode(t, disallowed_special=()) for t in texts]
+        bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in found])]).astype(np.int64)
+        last = np.array([end], np.uint32)
+        return np.concatenate([y for x in found for y in (x, last)]).astype("<u4"), bounds
 
 
 @lru_cache(maxsize=2)
