@@ -1,8 +1,9 @@
 """Documents that hold benchmark items, also re-parameterised ones. DataFrame operations only.
 
-Texts become templates: numbers, names and units turn into typed placeholders. Windows of template words meet in a hash
-join; every fourth window of a document is enough to meet any run of eight shared words. The pairs found are then
-looked at window by window, and the values under the placeholders have to correspond one to one.
+Texts become templates: numbers, names and units turn into typed placeholders. Every window of template words is looked
+up in a hash join, once with names as placeholders and once with names as plain words, as other capitals make other
+names. The pairs found are then looked at window by window, and the values under the placeholders have to correspond one
+to one. Items that are mostly placeholders are found word by word.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from digestry.session import settle
 
 WINDOW = 5
-STRIDE = 4            # WINDOW + STRIDE - 1 shared words are never missed
 SOLID = 3             # words of a window that are no placeholder, at least
 COVERED = 0.6         # part of an item's windows found in a document, or
 RUN = 9               # windows in a row: 13 words
@@ -26,12 +26,13 @@ UNITS = ("%", "km", "m", "cm", "mm", "kg", "g", "mg", "l", "ml", "lb", "oz", "ft
          "minute", "seconds", "days", "day", "weeks", "months", "years", "year", "dollars", "euros", "cents", "usd", "eur", "kwh", "kw", "w", "v", "mb", "gb")
 
 
-def template_words(text: Column, values: bool = False) -> Column:
+def template_words(text: Column, values: bool = False, names: bool = True) -> Column:
     """Lower-cased words with #num, #name and #unit for numbers, capitalised words inside a sentence, and units after
-    a number. With `values`, a placeholder is followed by a mark and what it stands for."""
+    a number. With `values`, a placeholder is followed by a mark and what it stands for. Without `names`, these are words
+    like others; the words' places are the same."""
     kept = MARK + "$0" if values else ""
     plain = F.translate(F.coalesce(text, F.lit("")), "#" + MARK, "  ")
-    named = F.lower(F.regexp_replace(plain, NAME, f"#name{kept}"))
+    named = F.lower(F.regexp_replace(plain, NAME, f"#name{kept}") if names else plain)
     counted = F.regexp_replace(named, r"\p{Nd}+", f" #num{kept} ")
     units = "|".join(sorted(UNITS, key=len, reverse=True))
     number = rf"(#num{MARK}\p{{Nd}}+)" if values else "(#num)"
@@ -43,11 +44,20 @@ def _template(word: Column) -> Column:
     return F.regexp_replace(word, MARK + "(?s).*", "")
 
 
-def _windows(words: Column, step: int) -> Column:
-    """(p, h) of the windows that begin at every step-th word."""
+def _unnamed(word: Column) -> Column:
+    """The template word if names are plain words."""
+    return _template(F.regexp_replace(word, "^#name" + MARK, ""))
+
+
+def _value(word: Column) -> Column:
+    return F.regexp_replace(word, "(?s)^.*" + MARK, "")
+
+
+def _windows(words: Column) -> Column:
+    """(p, h) of the windows that begin at each word."""
     def of(held: Column) -> Column:
         last = F.size(held) - WINDOW
-        starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step)))
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last))
         return F.transform(starts, lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice(held, i + 1, F.lit(WINDOW))).alias("h")))
 
     # As the variable of a lambda the words are made once per row, not once per window.
@@ -58,28 +68,59 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(text_key, item_id, covered, run, consistent) of each item found in a text of docs (text_key, text).
 
     benchmark: (item_id, text). Items of fewer than five template words have no window and are found nowhere, as are
-    null texts. Windows that are mostly placeholders say nothing and are left out.
+    null texts. Windows that are mostly placeholders say nothing by themselves: they count where they continue an
+    alignment that other windows made. An item with no other windows is found if a text has all its words and values in
+    a row; one without any word that is no placeholder is found nowhere.
     """
     items = benchmark.select("item_id", template_words(F.col("text"), values=True).alias("full")).where("item_id is not null")
-    items = items.withColumn("words", F.transform("full", _template))
-    solid = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("#"))) >= SOLID
-    windows = (items.select("item_id", "words", F.explode(_windows(F.col("words"), 1)).alias("w"))
-               .where(solid(F.slice("words", F.col("w.p") + 1, F.lit(WINDOW))))
-               .select("item_id", F.col("w.p").alias("q"), F.col("w.h").alias("h")))
-    windows = settle(windows, "item-windows")
-    n_windows = windows.groupBy("item_id").agg(F.count("*").alias("windows"))
-    keys = windows.select("h").distinct()
+    items = settle(items.withColumn("words", F.transform("full", _template)).withColumn("plain", F.transform("full", _unnamed)), "items")
+    told = lambda w: F.size(F.filter(w, lambda x: ~x.startswith("#")))
+    both = [items.select("item_id", F.explode(_windows(F.col(c))).alias("w"), F.col(c).alias("held")) for c in ("words", "plain")]
+    windows = both[0].unionAll(both[1]).select("item_id", F.col("w.p").alias("q"), F.col("w.h").alias("h"), told(F.slice("held", F.col("w.p") + 1, F.lit(WINDOW))).alias("told"))
+    windows = settle(windows.distinct(), "item-windows")
+    solid = windows.where(F.col("told") >= SOLID).drop("told")
+    n_windows = windows.groupBy("item_id").agg(F.countDistinct("q").alias("windows"))
+    loose = windows.join(solid.select("item_id", "q").distinct(), ["item_id", "q"], "left_anti").drop("told")
+    # Items without solid windows are looked for at the window that tells most.
+    anchors = (windows.join(solid.select("item_id").distinct(), "item_id", "left_anti").where("told > 0")
+               .groupBy("item_id").agg(F.max_by(F.struct("q", "h"), F.struct("told", "q", "h")).alias("w")).select("item_id", F.col("w.q").alias("q"), F.col("w.h").alias("h")))
+    anchors = settle(anchors, "anchors")
+    keys = solid.select("h").union(anchors.select("h")).distinct()
     if keys.count() <= BROADCAST_WINDOWS:
         keys = F.broadcast(keys)
 
-    met = docs.select("text_key", F.explode(_windows(template_words(F.col("text")), STRIDE)).alias("w")).select("text_key", F.col("w.h").alias("h"))
+    # Names as words make other windows only in texts that have names.
+    text = F.col("text")
+    as_words = F.when(text.rlike(NAME), _windows(template_words(text, names=False)))
+    met = docs.select("text_key", F.explode(F.concat(F.coalesce(_windows(template_words(text)), F.array()), F.coalesce(as_words, F.array()))).alias("w"))
+    met = met.select("text_key", F.col("w.h").alias("h"))
     texts = settle(met.join(keys, "h", "left_semi").select("text_key").distinct(), "suspects")
     full = (docs.join(texts, "text_key", "left_semi").dropDuplicates(["text_key"])
             .select("text_key", template_words(F.col("text"), values=True).alias("full")))
-    full = settle(full, "suspect-words").withColumn("words", F.transform("full", _template))
-
-    own = full.select("text_key", F.explode(_windows(F.col("words"), 1)).alias("w")).select("text_key", F.col("w.p").alias("p"), F.col("w.h").alias("h"))
-    hits = settle(own.join(windows, "h").select("text_key", "item_id", "p", "q", (F.col("p") - F.col("q")).alias("shift")), "hits")
+    full = settle(full, "suspect-words").withColumn("words", F.transform("full", _template)).withColumn("plain", F.transform("full", _unnamed))
+
+    of_words, of_plain = (full.select("text_key", F.explode(_windows(F.col(c))).alias("w")) for c in ("words", "plain"))
+    own = settle(of_words.unionAll(of_plain).select("text_key", F.col("w.p").alias("p"), F.col("w.h").alias("h")).distinct(), "suspect-windows")
+    places = ["text_key", "item_id", "p", "q", (F.col("p") - F.col("q")).alias("shift")]
+    hits = settle(own.join(solid, "h").select(*places).distinct(), "hits")
+
+    # Only where they can decide: pairs that reach the limits if all their loose windows fit.
+    most = hits.groupBy("text_key", "item_id", "shift").agg(F.count("*").alias("n"))
+    most = most.groupBy("text_key", "item_id").agg(F.max("n").alias("n")).join(
+        hits.groupBy("text_key", "item_id").agg(F.countDistinct("q").alias("found")), ["text_key", "item_id"])
+    n_loose = loose.groupBy("item_id").agg(F.countDistinct("q").alias("loose"))
+    near = most.join(n_loose, "item_id").join(n_windows, "item_id").where(
+        ((F.col("found") + F.col("loose")) / F.col("windows") >= COVERED) | (F.col("n") + F.col("loose") >= RUN))
+    lines = hits.join(near.select("text_key", "item_id"), ["text_key", "item_id"]).select("text_key", "item_id", "shift").distinct()
+    more = (lines.join(loose, "item_id").withColumn("p", F.col("q") + F.col("shift")).join(own, ["text_key", "p", "h"])
+            .select("text_key", "item_id", "p", "q", "shift").distinct())
+    hits = settle(hits.unionAll(more), "all-hits")
+
+    at = own.join(anchors, "h").select(*places).where("shift >= 0").select("text_key", "item_id", "shift").distinct()
+    at = at.join(items.select("item_id", F.transform("full", _value).alias("sought")), "item_id").join(full.select("text_key", "full"), "text_key")
+    exact = (at.where(F.transform(F.slice("full", F.col("shift") + 1, F.size("sought")), _value) == F.col("sought"))
+             .groupBy("text_key", "item_id").agg(F.max(F.size("sought") - WINDOW + 1).cast("long").alias("run"))
+             .select("text_key", "item_id", F.lit(1.0).alias("covered"), "run", F.lit(1.0).alias("consistent")))
 
     covered = (hits.groupBy("text_key", "item_id").agg(F.countDistinct("q").alias("found")).join(n_windows, "item_id")
                .select("text_key", "item_id", (F.col("found") / F.col("windows")).alias("covered")))
@@ -104,7 +145,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     agreed = total.select("text_key", "item_id", (F.least("by_a", "by_b") / F.col("total")).alias("consistent"))
     return (found.join(agreed, ["text_key", "item_id"], "left")
             .select("text_key", "item_id", "covered", "run", F.coalesce("consistent", F.lit(1.0)).alias("consistent"))
-            .where(F.col("consistent") >= CONSISTENT))
+            .where(F.col("consistent") >= CONSISTENT).unionByName(exact))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

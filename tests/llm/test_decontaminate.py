@@ -53,3 +53,19 @@ def test_templates(spark):
                                 D.template_words(F.lit("I saw Ann, 12 kg"), values=True).alias("v")).first()
     assert row.w == ["he", "paid", "#num", "#num", "#unit", "said", "#name", "#name", "#num", "to", "#name", "in", "#num", "#unit"]
     assert row.v == ["i", "saw", "#name\1ann", "#num\1" + "12", "#unit\1kg"]
+
+
+SHORT = [(1, "What year did Rome fall?"), (2, "Add 3 kg, 4 kg, 5 kg and 6 kg"), (3, "Compute 17 * 23 + 4 / 2 - 9"), (4, "Ask whether Paul Ann or Eve paid"),
+         (5, "Sort 5, 6, 7 and 8 kg then say which of these was last")]
+
+
+@pytest.mark.parametrize("item", SHORT, ids=lambda x: str(x[0]))
+def test_short_items_and_numbers_at_every_offset(spark, item):
+    docs = [(k, words(k) + ". " + item[1] + " " + words(5)) for k in range(1, 9)] + [(20 + k, words(k) + ", " + item[1] + ", " + words(5)) for k in range(4)]
+    docs += [(30, words(3) + " " + item[1].lower() + " " + words(9)), (31, words(3) + " " + item[1].upper() + " " + words(9))]
+    assert found(spark, docs, SHORT)[0] == {i: [item[0]] for i, _ in docs}
+
+
+def test_other_numbers_or_a_part_of_numbers_are_no_item(spark):
+    docs = [(1, "Compute 17 * 23 + 4 / 2 - 8"), (2, "Add 3 kg, 4 kg, 5 kg and 7 kg"), (3, words(30) + " then say which of these " + words(30)), (4, "Compute 17 * 23 + 4 / 2")]
+    assert found(spark, docs, SHORT)[0] == {1: [], 2: [], 3: [], 4: []}
