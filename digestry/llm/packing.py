@@ -28,10 +28,11 @@ class Tokens:
     """Token ids of texts by a byte-level BPE file of the `tokenizers` library.
 
     The file's vocabulary is handed to tiktoken's encoder, which gives the same ids in a quarter of the time: there a
-    token's rank is its id, as merges are numbered in order. Special tokens' strings are ordinary text.
+    token's rank is its id, as merges are numbered in order. With `added`, the strings of the file's added tokens become
+    their ids, as `tokenizers` does unless told otherwise; else they are ordinary text.
     """
 
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, added: bool = False) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -40,32 +41,33 @@ class Tokens:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that a vocabulary writes as themselves
         hidden = [b for b in range(256) if b not in set(shown)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-        special = {t.content for t in made.get_added_tokens_decoder().values()}
+        special = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in made.get_vocab().items() if t not in special}
-        self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {}).encode_to_numpy
+        self.allowed = set(special) if added else set()
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end`, and the bounds of the texts."""
-        found = [self.encode(t, disallowed_special=()) for t in texts]
+        found = [self.encode(t, allowed_special=self.allowed, disallowed_special=()) for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in found])]).astype(np.int64)
         last = np.array([end], np.uint32)
         return np.concatenate([y for x in found for y in (x, last)]).astype("<u4"), bounds
 
 
 @lru_cache(maxsize=2)
-def _tokens(name: str) -> Tokens:
-    return Tokens(name)
+def _tokens(name: str, added: bool) -> Tokens:
+    return Tokens(name, added)
 
 
-def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = 0) -> DataFrame:
+def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = 0, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids) of each document's token ids and an end id, cut only if longer than `length`.
 
     The remainder comes first, then full pieces. ids are little-endian unsigned 32-bit numbers. Null text is empty: one
-    piece, the end id alone. Documents are worked on a few at a time; the longest sets the memory needed.
+    piece, the end id alone. `added`: strings of added tokens become their ids. Documents are worked on a few at a time; the longest sets the memory needed.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(name)
+        tokens = _tokens(name, added)
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
                 part = batch.slice(first, 128)
@@ -256,9 +258,9 @@ def place(pieces: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
     return kept.mapInArrow(put, StructType([*pieces.schema.fields]).add("sequence_id", "long").add("offset", "long"))
 
 
-def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH) -> DataFrame:
+def pack(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, added: bool = False) -> DataFrame:
     """Where each piece of each document goes, with its ids' CRC-32; the ids themselves lie in the settled table."""
-    pieces = settle(tokenised(docs, name, length), "pieces")
+    pieces = settle(tokenised(docs, name, length, added=added), "pieces")
     return place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), length)
 
 

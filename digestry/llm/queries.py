@@ -40,7 +40,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    return packing.pack(_table(spark, sf_dir, "documents"), added=True)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,3 +123,20 @@ def test_pieces_and_places(spark, monkeypatch):
     crc = {(p.doc_id, p.piece): zlib.crc32(bytes(p.ids)) for p in pieces}
     assert all(crc[r.doc_id, r.piece] == r.ids_crc32 for r in packed)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_added_tokens_as_the_unaltered_tokenizer_gives_them(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from digestry.llm.queries import op3_best_fit
+
+    made = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "no <|endoftext |>", "end<|endoftext|>", None, "plain  text\n\n é"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [np.array(made.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for t in texts]
+    assert ids[0].tolist() == [64, 220, 50256, 275, 0]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.tokenised(docs, added=True).collect()}
+    assert got == {i: x.tolist() for i, x in enumerate(ids)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.ids_crc32 for r in op3_best_fit(spark, str(tmp_path)).collect()} == {i: zlib.crc32(x.tobytes()) for i, x in enumerate(ids)}
