@@ -134,6 +134,8 @@ def _in_blocks(crowded: DataFrame, classes: DataFrame, docs: DataFrame, percent:
         bands = np.array(group.column("bands").to_pylist(), np.int64)
         band = int(np.flatnonzero((bands == bucket).all(0))[0])
         left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
+        if not len(left) or not len(right):  # a block that got no member
+            return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64())})
         owner = np.repeat(np.arange(len(right)), sizes[right])
         held = np.concatenate([sets[i] for i in right])
         order = np.argsort(held, kind="stable")

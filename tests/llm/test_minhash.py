@@ -54,3 +54,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "u long, v long")).collect()}
     expected = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)} | {300: 300, 301: 300}
     assert got == expected
+
+
+def test_blocks_without_members(spark):
+    from pyspark.sql import functions as F
+
+    from digestry.llm import minhash
+
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine") for i in range(3)], "doc_id long, text string")
+    classes = minhash.signatures(docs).withColumnRenamed("doc_id", "node")
+    crowded = classes.select(F.col("bands")[0].alias("bucket"), F.col("node").alias("u"), F.col("node").alias("c"), F.lit(8 * minhash.BLOCK).alias("weight"))
+    links = {tuple(r) for r in minhash._in_blocks(crowded, classes, docs, 85, 5).collect()}
+    assert len({x for pair in links for x in pair}) == 3
