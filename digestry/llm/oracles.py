@@ -60,4 +60,48 @@ SELECT doc_id, CAST(size AS BIGINT) AS size,
 FROM placed, crc
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_chat_format": OP2, "op4_sharding": OP4}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_ABOVE = "list_transform(range((len(d) + 1) // 2), lambda i: sha256(d[2 * i + 1] || coalesce(d[2 * i + 2], '')))"
+
+# Lists of digests level by level, for each language and for the languages' roots; then each leaf's way up.
+OP13 = f"""
+WITH RECURSIVE rounds(n, k, c) AS (
+  SELECT n, 0, n FROM range(256) t(n)
+  UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM rounds WHERE k < 8),
+crc AS (SELECT list(c ORDER BY n) AS t FROM rounds WHERE k = 8),
+leaves AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS run, {_leaf("n_chars")} AS leaf, {_leaf("(n_chars + 1)")} AS altered,
+    xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT)),
+      lambda c, x: xor(c >> 8, crc.t[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 7 = 0 AS tampered
+  FROM documents, crc),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM leaves),
+trees(run, k, d) AS (
+  SELECT run, 0, list(leaf ORDER BY r) FROM ordered GROUP BY run
+  UNION ALL SELECT run, k + 1, {_ABOVE} FROM trees WHERE len(d) > 1),
+subroots AS (SELECT run, d[1] AS subroot, row_number() OVER (ORDER BY run) - 1 AS place FROM trees WHERE len(d) = 1),
+tops(k, d) AS (
+  SELECT 0, list(subroot ORDER BY place) FROM subroots
+  UNION ALL SELECT k + 1, {_ABOVE} FROM tops WHERE len(d) > 1),
+levels AS (SELECT run, coalesce(list(d ORDER BY k) FILTER (len(d) > 1), []) AS lv FROM trees GROUP BY run),
+top_levels AS (SELECT coalesce(list(d ORDER BY k) FILTER (len(d) > 1), []) AS tv FROM tops),
+paths AS (
+  SELECT doc_id, leaf, subroot, CASE WHEN tampered THEN altered ELSE leaf END AS shown,
+    list_concat(list_transform(range(len(lv)), lambda k: (r >> k) & 1), list_transform(range(len(tv)), lambda k: (place >> k) & 1)) AS digits,
+    list_concat(list_transform(range(len(lv)), lambda k: coalesce(lv[k + 1][xor(r >> k, 1) + 1], '')),
+                list_transform(range(len(tv)), lambda k: coalesce(tv[k + 1][xor(place >> k, 1) + 1], ''))) AS others
+  FROM ordered JOIN levels USING (run) JOIN subroots USING (run), top_levels),
+folded(doc_id, leaf, subroot, digits, others, k, held) AS (
+  SELECT doc_id, leaf, subroot, digits, others, 0, shown FROM paths
+  UNION ALL SELECT doc_id, leaf, subroot, digits, others, k + 1,
+    sha256(CASE WHEN digits[k + 1] = 1 THEN others[k + 1] || held ELSE held || others[k + 1] END) FROM folded WHERE k < len(digits))
+SELECT doc_id, leaf, subroot, d[1] AS root, sha256(array_to_string(others, '')) AS proof_sha256, held AS folded_root, held = d[1] AS verified
+FROM folded, tops WHERE folded.k = len(digits) AND len(d) = 1
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_chat_format": OP2, "op4_sharding": OP4, "op13_merkle": OP13}

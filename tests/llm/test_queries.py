@@ -29,7 +29,7 @@ def docs(database):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert ORACLES.keys() <= QUERIES.keys()
 
 
