@@ -7,10 +7,10 @@ its length.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,9 @@ class Tokens:
     """Token ids of texts by a byte-level BPE file of the `tokenizers` library.
 
     The file's vocabulary is handed to tiktoken's encoder, which gives the same ids in a quarter of the time: there a
-    token's rank is its id, as merges are numbered in order. With `added`, the strings of the file's added tokens become
-    their ids, as `tokenizers` does unless told otherwise; else they are ordinary text.
+    token's rank is its id, so merges must be numbered in order and texts cut by the same pattern. Both are tested; a file
+    of which they do not hold is used as it is. With `added`, the strings of the file's added tokens become their ids,
+    as `tokenizers` does unless told otherwise; else they are ordinary text.
     """
 
     def __init__(self, name: str, added: bool = False) -> None:
@@ -43,20 +44,35 @@ class Tokens:
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
         special = {t.content: i for i, t in made.get_added_tokens_decoder().items()}
         ranks = {bytes(byte_of[c] for c in t): i for t, i in made.get_vocab().items() if t not in special}
-        self.encode = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {}).encode_to_numpy
-        self.allowed = set(special) if added else set()
+        self.bytes_of = [b""] * (1 + max([*ranks.values(), *special.values()]))
+        for b, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+            self.bytes_of[i] = b
+        if numbered_in_order(json.loads(made.to_str())):
+            model = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
+            allowed = set(special) if added else set()
+            self.encode = lambda text: model.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
+        else:
+            made.encode_special_tokens = not added
+            self.encode = lambda text: np.array(made.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by `end`, and the bounds of the texts."""
-        found = [self.encode(t, allowed_special=self.allowed, disallowed_special=()) for t in texts]
+        found = [self.encode(t) for t in texts]
         bounds = np.concatenate([[0], np.cumsum([len(x) + 1 for x in found])]).astype(np.int64)
         last = np.array([end], np.uint32)
         return np.concatenate([y for x in found for y in (x, last)]).astype("<u4"), bounds
 
 
-@lru_cache(maxsize=2)
-def _tokens(name: str, added: bool) -> Tokens:
-    return Tokens(name, added)
+def numbered_in_order(file: dict) -> bool:
+    """Whether a tokenizer's later merges have larger ids, and it cuts texts by the usual byte-level pattern alone."""
+    model, cut = file["model"], file.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or file.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or any(
+            model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
+        return False
+    if cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False:
+        return False
+    ids = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    return all(x < y for x, y in zip(ids, ids[1:])) and len(set(ids)) == len(ids)
 
 
 def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LENGTH, end: int = 0, added: bool = False) -> DataFrame:
@@ -67,7 +83,7 @@ def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LE
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _tokens(name, added)
+        tokens = Tokens(name, added)  # made in the task: a remembered one would be sent by name
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
                 part = batch.slice(first, 128)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.llm import chat, decontaminate, line_dedup, lm, media, merkle, minhash, oracles, packing, quality, sharding, urls
+from digestry.llm import align, chat, decontaminate, line_dedup, lm, media, merkle, minhash, oracles, packing, quality, rules, sharding, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = rules.apply_rules(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokens(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     altered = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars") + 1, F.col("text")]
@@ -91,6 +100,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_lm_score": op9_lm_score,
     "op10_line_dedup": op10_line_dedup,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_token_alignment": op12_token_alignment,
     "op13_merkle": op13_merkle,
 }
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
