@@ -57,11 +57,13 @@ def from_request_log(log: DataFrame) -> DataFrame:
         return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
 
     def value(name: str) -> Column:
-        return F.coalesce(F.get(F.filter("_pairs", lambda p: p["name"] == name), F.lit(0))["value"], F.lit(""))
+        first = F.get(F.filter("_pairs", lambda p: p["name"] == name), F.lit(0))["value"]
+        return X.once(F.coalesce(first, F.lit("")), lambda v: F.when(v.rlike("[%+]"), decoded(v)).otherwise(v))
 
-    given = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
-    pairs = F.transform(given, lambda p: F.struct(decoded(F.substring_index(p, "=", 1)).alias("name"),
-                                                  decoded(F.regexp_extract(p, "(?s)^[^=]*=(.*)$", 1)).alias("value")))
+    # Names as written, but for the few with escapes; a value is decoded only if it is one of the three.
+    given = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^(?:id|r|t|[^=]*[%+][^=]*)=."))
+    pairs = F.transform(given, lambda p: X.once(F.substring_index(p, "=", 1), lambda name: F.struct(
+        F.when(name.rlike("[%+]"), decoded(name)).otherwise(name).alias("name"), F.substr(p, F.length(name) + 2).alias("value"))))
     new = ("item_id", "reaction", "title", "channel", "domain")
     others = [c for c in log.columns if c not in ("event_ord", "ts", "user_id", "url", *new)]
     return (log.where(F.regexp_extract(url, r"^([^?#;]*)", 1) == "/feedback")

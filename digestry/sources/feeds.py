@@ -32,29 +32,35 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 # Hours from UTC of the zone names that mail dates use.
 _ZONES = {"GMT": 0, "UTC": 0, "UT": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
 
+_MAIL_DATE = r"^(\d{1,2} [A-Za-z]{3}) (\d{4}|\d\d) (\d{1,2}:\d\d)(:\d\d)?(?:\s+(\S+))?$"
+
 
 def parse_time(value: Column) -> Column:
     """ISO-8601 or RFC-822 time, else NULL: with or without weekday, seconds and zone, years of two or four digits.
 
     Zone names count as their offset, a missing zone as UTC.
     """
+    offsets = F.create_map(*[F.lit(x) for name, hours in _ZONES.items() for x in (name, f"{hours:+03d}00")])
+
+    def mail_time(bare: Column) -> Column:
+        """Day, month, year, time and offset, each found once."""
+        part = lambda n: F.regexp_extract(bare, _MAIL_DATE, n)
+        year = F.when(F.length(part(2)) == 4, part(2)).when(part(2) >= "70", F.concat(F.lit("19"), part(2))).otherwise(F.concat(F.lit("20"), part(2)))
+        time = F.when(part(4) != "", F.concat(part(3), part(4))).otherwise(F.concat(part(3), F.lit(":00")))
+        zone = F.when(part(5) == "", F.lit("+0000")).otherwise(F.coalesce(F.try_element_at(offsets, part(5)), part(5)))
+        return F.try_to_timestamp(F.concat_ws(" ", part(1), year, time, zone), F.lit("d MMM yyyy HH:mm:ss Z"))
+
     bare = F.trim(F.regexp_replace(value, r"^\s*[A-Za-z]{3,9},\s*", ""))
-    for name, hours in _ZONES.items():
-        bare = F.regexp_replace(bare, rf"\s{name}$", f" {hours:+03d}00")
-    zoned = F.when(bare.rlike(r":\d\d$"), F.concat(bare, F.lit(" +0000"))).otherwise(bare)
-    year = F.regexp_extract(zoned, r"^\d{1,2} [A-Za-z]{3} (\d\d) ", 1)
-    full = F.when(year != "", F.regexp_replace(zoned, r"^(\d{1,2} [A-Za-z]{3}) (\d\d) ", F.concat(
-        F.lit("$1 "), F.when(year >= "70", F.lit("19")).otherwise(F.lit("20")), F.lit("$2 ")))).otherwise(zoned)
-    return F.coalesce(F.try_to_timestamp(value), F.try_to_timestamp(full, F.lit("d MMM yyyy HH:mm:ss Z")),
-                      F.try_to_timestamp(full, F.lit("d MMM yyyy HH:mm Z")))
+    mail = F.when(value.rlike(r"^\s*[A-Za-z]{3,9},|^\s*\d{1,2} "), X.once(bare, mail_time))
+    return F.coalesce(mail, F.try_to_timestamp(value))
 
 
 def _parsed(content: Column) -> Column:
     """The document; if it is not well-formed, what it gives once stray `&` outside CDATA are escaped."""
     read = lambda text: F.from_xml(text, schema.FEED_DOCUMENT, {"columnNameOfCorruptRecord": "_unread"})
     stray = r"(?s)&(?!(?:amp|lt|gt|quot|apos|#\d+|#[xX][0-9A-Fa-f]+);)(?!(?:(?!<!\[CDATA\[).)*?\]\]>)"
-    first = read(content)
-    return F.when(first["_unread"].isNull(), first).otherwise(read(F.regexp_replace(content, stray, "&amp;")))
+    return X.once(read(content), lambda first: F.when(first["_unread"].isNull(), first).otherwise(
+        read(F.regexp_replace(content, stray, "&amp;"))))
 
 
 def feed_rejects(documents: DataFrame) -> DataFrame:

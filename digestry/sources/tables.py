@@ -56,11 +56,14 @@ def feeds_table(spark: SparkSession, s: Settings) -> DataFrame:
 
 
 def read_reactions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(events, rejected lines) of an append-only JSON log. Bad lines are set apart, not the whole log."""
+    """(events, rejected lines) of an append-only JSON log. Bad lines are set apart, not the whole log; a log that no one
+    has written to yet is empty, and one that cannot be read is an error."""
     columns = T.StructType([*schema.FEEDBACK_EVENTS.fields, T.StructField("_bad", T.StringType())])
     try:
         lines = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         lines = spark.createDataFrame([], "value STRING")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     rows = lines.select(F.from_json("value", columns, options).alias("_e")).select("_e.*")

@@ -84,7 +84,7 @@ def test_prompts_do_not_expand_what_they_quote(spark):
     items = spark.createDataFrame([("{channel}", "me", "d" * 1200, "t" * 1600)],
                                   "title string, channel string, description string, transcript string")
     prompt = briefing.item_prompts(items).first().prompt
-    assert "内容标题：{channel}\n来源：me\n" in prompt and "d" * 1000 + "\n" in prompt and "t" * 1501 not in prompt
+    assert "Title: {channel}\nPublisher: me\n" in prompt and "d" * 1000 + "\n" in prompt and "t" * 1501 not in prompt
 
 
 def test_card(spark):

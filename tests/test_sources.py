@@ -22,7 +22,7 @@ def test_video_payloads(spark, tmp_path):
             "contentDetails": {"duration": "PT2M"}}
     path = tmp_path / "page.json"
     path.write_text(json.dumps({"items": [full, bare]}) + "\n" + json.dumps({"items": []}) + "\nnot json\n")
-    out = {r.item_id: r for r in videos.flatten_payloads(videos.read_payloads(spark, str(path))).collect()}
+    out = {r.item_id: r for r in videos.flatten_payloads(videos.parse_payloads(videos.read_payloads(spark, str(path)))).collect()}
     assert set(out) == {"v1", "v2"}
     assert (out["v1"].views, out["v1"].likes, out["v1"].comments, len(out["v1"].description)) == (12, 3, 1, 2000)
     assert (out["v2"].views, out["v2"].description, out["v2"].published_at) == (0, "", None)
