@@ -1,14 +1,20 @@
-"""Reactions as a stream: the batch operators over `readStream`, kept up to date in a table."""
+"""Reactions as a stream: the batch operators over `readStream`, kept up to date in tables.
+
+Sums of weights and latest reactions merge in any grouping, so the stream holds no state between micro-batches; see
+`kept`. The tables grow with the number of their keys, not with the number of batches or events.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from digestry.operators import feedback
+from digestry.streaming.kept import Kept, newest, sums
 
 
 def read_log(spark: SparkSession, path: str, schema, files_per_batch: int | None = None,
@@ -19,50 +25,39 @@ def read_log(spark: SparkSession, path: str, schema, files_per_batch: int | None
     return reader.load(path)
 
 
-def _keep(changes: DataFrame, path: str, checkpoint: str, every: str | None) -> StreamingQuery:
-    """Write the changed keys of each micro-batch to its own partition; a repeated batch replaces its partition.
-
-    Runs every so often (e.g. "1 minute"), or once over what has arrived.
-    """
+def weights_table(path: str, key: str, per: Sequence[str] = ("user_id",), merge_every: int = 20) -> Kept:
+    return Kept(path, (*per, key), sums("weight"), merge_every)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (changes.writeStream.outputMode("update").foreachBatch(write)
-            .option("checkpointLocation", checkpoint)
-            .trigger(**({"processingTime": every} if every else {"availableNow": True})).start())
+def maintain_weights(events: DataFrame, key: str, path: str, checkpoint: str,
+                     per: Sequence[str] = ("user_id",), every: str | None = None, merge_every: int = 20) -> StreamingQuery:
+    """Running preference weights, equal to `feedback.weights` over all events so far."""
+    steps = (events.where(F.coalesce(F.col(key), F.lit("")) != "")
+             .select(*per, key, feedback.step_of(F.col("reaction")).alias("weight")))
+    return weights_table(path, key, per, merge_every).follow(steps, checkpoint, every)
 
 
-def _current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest state per key; pre-aggregated before the shuffle."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*keys, "batch_id")]
-    return (rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *values)).alias("_s"))
-            .select(*keys, *[F.col("_s")[v].alias(v) for v in values]))
+def current_weights(spark: SparkSession, path: str, key: str, per: Sequence[str] = ("user_id",)) -> DataFrame:
+    return weights_table(path, key, per).current(spark)
 
 
-def maintain_weights(events: DataFrame, key: str, path: str, checkpoint: str,
-                     per: Sequence[str] = ("user_id",), every: str | None = None) -> StreamingQuery:
-    """Running preference weights. State holds one number per key."""
-    return _keep(feedback.weights(events, key, per), path, checkpoint, every)
+def latest_table(path: str, per: Sequence[str] = ("user_id",), merge_every: int = 20, remember: timedelta | None = None) -> Kept:
+    def forgotten(rows: DataFrame) -> Column:
+        return F.col("ts") < F.lit(rows.agg(F.max("ts")).first()[0]) - F.expr(f"INTERVAL {int(remember.total_seconds())} SECONDS")
 
+    return Kept(path, (*per, "item_id"), newest("event_ord"), merge_every, forgotten if remember else None)
 
-def current_weights(spark: SparkSession, path: str, key: str, per: Sequence[str] = ("user_id",)) -> DataFrame:
-    return _current(spark, path, [*per, key])
 
+def maintain_latest(events: DataFrame, path: str, checkpoint: str, per: Sequence[str] = ("user_id",),
+                    every: str | None = None, merge_every: int = 20, remember: timedelta | None = None) -> StreamingQuery:
+    """Running latest reaction per reader and item, equal to `feedback.latest_reactions` over all events so far;
+    `feedback.stats_of_latest` counts them.
 
-def maintain_latest(events: DataFrame, path: str, checkpoint: str,
-                    per: Sequence[str] = ("user_id",), every: str | None = None) -> StreamingQuery:
-    """Running latest reaction per reader and item; `feedback.stats_of_latest` counts them."""
-    return _keep(feedback.latest_reactions(events, per), path, checkpoint, every)
+    With `remember`, reactions that are older than the newest one (`ts`) by more than that are dropped when changes are
+    merged, so the table ends with the readers' recent items. An item reacted to again comes back.
+    """
+    return latest_table(path, per, merge_every, remember).follow(events, checkpoint, every)
 
 
 def current_latest(spark: SparkSession, path: str, per: Sequence[str] = ("user_id",)) -> DataFrame:
-    return _current(spark, path, [*per, "item_id"])
-
-
-def compact(spark: SparkSession, path: str, keys: Sequence[str], to: str) -> None:
-    """Write the newest state per key as one partition of a new table, from which a reader can go on."""
-    rows = _current(spark, path, keys)
-    last = spark.read.parquet(path).agg(F.max("batch_id")).first()[0]
-    rows.write.mode("overwrite").parquet(f"{to}/batch_id={last}")
+    return latest_table(path, per).current(spark)

@@ -417,6 +417,8 @@ for _key, _name in (("score_credibility", "credibility"), ("score_length", "leng
                     ("score_recency", "recency"), ("score_spam", "spam")):
     ORACLES[_key] = f"{_with(ITEMS)} SELECT item_id, CAST({COMPONENTS[_name]} AS BIGINT) AS points FROM items"
 ORACLES["stream_weights"] = ORACLES["source_weights"]
+ORACLES["stream_alerts"] = f"""{_with(TO_SCORED)}
+SELECT brief_id, item_id, title, channel, domain, quality_score FROM scored WHERE quality_score >= 55"""
 ORACLES["stream_latest"] = ORACLES["latest_reaction"]
 
 

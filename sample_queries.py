@@ -16,6 +16,7 @@ from digestry.plans.curate import curate as curated
 from digestry.plans.curate import funnel
 from digestry.session import scratch_path
 from digestry.sources import feeds, tables, videos
+from digestry.streaming import alerts as alert
 from digestry.streaming import reactions as stream
 
 P = V.SETTINGS
@@ -334,6 +335,19 @@ def stream_latest(spark, folder):
     return stream.current_latest(spark, path)
 
 
+@query
+def stream_alerts(spark, folder):
+    """Items land one to three times, minutes apart; each major one is one alert."""
+    layout = V.table(spark, folder, "documents").schema
+    landed = V.items(spark, folder, stream.read_log(spark, f"{folder}/documents.parque[t]", layout))
+    copies = landed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("ord") % 3))).withColumn(
+        "landed_at", F.lit(P.as_of) + F.make_dt_interval(mins=F.col("copy").cast("int") * 10))
+    found = alert.alerts(copies, P, at_least=55, keep=("title", "channel", "domain"), per=("user_id",), **V.learned(spark, folder))
+    path = scratch_path(spark, "alerts")
+    alert.follow(found, path, scratch_path(spark, "alerts-progress")).awaitTermination()
+    return alert.sent(spark, path).select("brief_id", "item_id", "title", "channel", "domain", "quality_score")
+
+
 # --- Briefing ----------------------------------------------------------------------------------------------------
 
 @query

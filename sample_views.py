@@ -35,9 +35,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def items(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as collected items; one briefing per 100 documents, each with its own reader."""
-    docs, events = spread(table(spark, folder, "documents"), "doc_id"), table(spark, folder, "events")
+def items(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> DataFrame:
+    """Documents (or those given, such as a stream) as collected items; one briefing per 100 documents, each with its own
+    reader."""
+    docs, events = spread(table(spark, folder, "documents"), "doc_id") if docs is None else docs, table(spark, folder, "events")
 
     def total(kind: str, factor: int):
         return F.sum(F.when(F.col("event_type") == kind, F.floor(F.col("value") * factor)).otherwise(0))

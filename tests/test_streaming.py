@@ -1,0 +1,148 @@
+"""Tables kept up to date by a stream, and alerts."""
+
+import random
+from datetime import datetime, timedelta, timezone
+from pathlib import Path
+
+import pytest
+
+from digestry import Settings
+from digestry.operators import feedback
+from digestry.streaming import alerts
+from digestry.streaming import reactions as stream
+
+NOW = datetime(2026, 4, 24, 8, tzinfo=timezone.utc)
+EVENTS = "event_ord bigint, ts timestamp, user_id bigint, item_id string, reaction string, title string, channel string, domain string"
+
+
+def log_of(spark, folder, batches, layout):
+    """One file for each batch; the source reads the oldest first."""
+    for rows in batches:
+        spark.createDataFrame(rows, layout).coalesce(1).write.mode("append").parquet(folder)
+    return stream.read_log(spark, folder, spark.createDataFrame([], layout).schema, 1)
+
+
+def reactions(n, seed, readers=5, items=8):
+    rng = random.Random(seed)
+    return [(seed * 1000 + i, NOW + timedelta(hours=seed), rng.randrange(readers), f"i{rng.randrange(items)}", rng.choice(["like", "dislike"]), "t",
+             rng.choice(["", "a", "b"]), "AI") for i in range(n)]
+
+
+def files_in(path):
+    return sum(1 for f in Path(path).rglob("*.parquet"))
+
+
+def rows_in(spark, path):
+    return sum(spark.read.parquet(f"{path}/{part}").count() for part in ("changes", "merged"))
+
+
+def test_tables_level_off_and_equal_the_batch(spark, tmp_path):
+    batches = [reactions(60, b) for b in range(16)]
+    read = log_of(spark, str(tmp_path / "log"), batches, EVENTS)
+    everything = spark.createDataFrame([r for b in batches for r in b], EVENTS)
+    weights, latest = str(tmp_path / "w"), str(tmp_path / "l")
+    query = stream.maintain_weights(read, "channel", weights, str(tmp_path / "wp"), merge_every=3)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 16 and not any(p.stateOperators for p in query.recentProgress)
+    stream.maintain_latest(read, latest, str(tmp_path / "lp"), merge_every=3).awaitTermination()
+    got = stream.current_weights(spark, weights, "channel")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, feedback.weights(everything, "channel").collect()))
+    current = stream.current_latest(spark, latest)
+    assert sorted(map(tuple, current.collect())) == sorted(map(tuple, feedback.latest_reactions(everything).select(*current.columns).collect()))
+    # At most two mergers and the changes since the last but one, whatever the number of batches.
+    for path, keys in ((weights, 5 * 2), (latest, 5 * 8)):
+        assert rows_in(spark, path) <= keys * (2 + 2 * 3 + 1)
+        assert len(list(Path(path, "changes").glob("batch_id=*"))) <= 2 * 3 + 1 and len(list(Path(path, "merged").glob("upto=*"))) == 2
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    table = stream.weights_table(str(tmp_path / "w"), "channel", merge_every=2)
+    parts = [spark.createDataFrame(reactions(20, b), EVENTS).selectExpr("user_id", "channel", "if(reaction = 'like', 1.0D, -2.0D) AS weight") for b in range(6)]
+    for b, part in enumerate(parts):
+        table.add(part, b)
+        before = sorted(map(tuple, table.current(spark).collect()))
+        table.add(part, b)
+        assert sorted(map(tuple, table.current(spark).collect())) == before
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    assert before == sorted(map(tuple, table.merge(whole, table.keys).collect()))
+
+
+def test_old_reactions_end(spark, tmp_path):
+    """With a limit of time the table holds recent items only; without one, nothing is lost."""
+    batches = [[(b, NOW + timedelta(days=b), 1, f"i{b}", "like", "t", "c", "AI")] for b in range(12)]
+    read = log_of(spark, str(tmp_path / "log"), batches, EVENTS)
+    path = str(tmp_path / "l")
+    stream.maintain_latest(read, path, str(tmp_path / "lp"), merge_every=2, remember=timedelta(days=3)).awaitTermination()
+    left = {r.item_id for r in stream.current_latest(spark, path).collect()}
+    assert {f"i{b}" for b in range(8, 12)} <= left and len(left) <= 3 + 1 + 2
+
+
+def test_no_batch_yet_and_denied_access(spark, tmp_path):
+    with pytest.raises(ValueError):
+        stream.current_latest(spark, str(tmp_path / "nothing"))
+    (tmp_path / "text").mkdir()
+    (tmp_path / "text" / "changes").write_text("no table")
+    with pytest.raises(Exception) as e:
+        stream.current_latest(spark, str(tmp_path / "text")).collect()
+    assert not isinstance(e.value, ValueError)
+
+
+ITEMS = ("landed_at timestamp, brief_id bigint, item_id string, kind string, channel string, domain string, title string, description string, "
+         "published_at timestamp, views bigint, likes bigint, comments bigint, duration string, url string, authority string")
+
+
+def item(hour, name, good=True, brief=1):
+    return (NOW + timedelta(hours=hour), brief, name, "YouTube", "c", "AI", name, "d", NOW, 20_000 if good else 0, 9000 if good else 0, 0, "PT20M", "u", None)
+
+
+S = Settings(as_of=NOW)
+#: What one good item scores: views 15, length 15, engagement 20, recency 10.
+GOOD = 60
+
+
+def run(spark, tmp_path, batches):
+    read = log_of(spark, str(tmp_path / "log"), batches, ITEMS)
+    found = alerts.alerts(read, S, at_least=GOOD)
+    query = alerts.follow(found, str(tmp_path / "out"), str(tmp_path / "progress"))
+    query.awaitTermination()
+    return query
+
+
+def names(spark, tmp_path, after=None):
+    return sorted((r.brief_id, r.title) for r in alerts.sent(spark, str(tmp_path / "out"), after).collect())
+
+
+def test_alerts_once_an_item(spark, tmp_path):
+    query = run(spark, tmp_path, [
+        [item(0, "a"), item(0, "a"), item(0, "poor", good=False), item(0, "a", brief=2), (None, *item(0, "untimed")[1:])],
+        [item(1, "a"), item(1, "b")],          # a again within the delay
+        [item(9, "c")],                        # the watermark moves to 7 hours
+        [item(9.2, "e")],                      # and holds from the next batch on: a and b are forgotten
+        [item(2, "late"), item(9.5, "c"), item(10, "a")]])  # too late; again; news once more
+    assert names(spark, tmp_path) == [(1, "a"), (1, "a"), (1, "b"), (1, "c"), (1, "e"), (2, "a")]
+    assert sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators) == 1
+    # After a restart nothing is repeated, and what the first run knew is still known.
+    last = max(r.batch_id for r in alerts.sent(spark, str(tmp_path / "out")).collect())
+    run(spark, tmp_path, [[item(10.5, "a"), item(10.5, "d")]])
+    assert names(spark, tmp_path, last) == [(1, "d")] and len(names(spark, tmp_path)) == 7
+
+
+def test_state_of_alerts_is_bounded(spark, tmp_path):
+    query = run(spark, tmp_path, [[item(h, f"{h}-{i}", good=i < 3) for i in range(50)] for h in range(20)])
+    kept = [o.numRowsTotal for p in query.recentProgress for o in p.stateOperators]
+    # Items of the delay of two hours, twice over as keys expire after the watermark passes them; three in fifty are major.
+    assert len(kept) >= 20 and max(kept) <= 3 * 6 and len(names(spark, tmp_path)) == 3 * 20
+
+
+def test_weights_count_in_alerts(spark, tmp_path):
+    read = log_of(spark, str(tmp_path / "log"), [[item(0, "a"), item(0, "b", brief=2)]], ITEMS)
+    liked = spark.createDataFrame([(1, "c", 2.0)], "brief_id bigint, channel string, weight double")
+    found = alerts.alerts(read, S, at_least=GOOD + 6, source_weights=liked, per=("brief_id",))
+    alerts.follow(found, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination()
+    assert names(spark, tmp_path) == [(1, "a")]
+
+
+def test_before_the_first_alert(spark, tmp_path):
+    assert alerts.sent(spark, str(tmp_path / "out")) is None
