@@ -419,6 +419,12 @@ for _key, _name in (("score_credibility", "credibility"), ("score_length", "leng
 ORACLES["stream_weights"] = ORACLES["source_weights"]
 ORACLES["stream_alerts"] = f"""{_with(TO_SCORED)}
 SELECT brief_id, item_id, title, channel, domain, quality_score FROM scored WHERE quality_score >= 55"""
+#: All pairs; near-copies are close to each other and to nothing else, so the first of them displaces all others.
+ORACLES["embedding_pairs"] = """WITH v AS (
+  SELECT vec_id + copy * 1000000 AS vec_id, list_transform(embedding, lambda x, i: CAST(x AS DOUBLE) + 0.01 * copy * ((vec_id * 31 + (i - 1) * 17) % 7 - 3)) AS e
+  FROM embeddings, range(3) r(copy) WHERE copy <= vec_id % 3)
+SELECT b.vec_id, coalesce(min(a.vec_id), b.vec_id) AS representative, min(a.vec_id) IS NULL AS kept
+FROM v b LEFT JOIN v a ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9 GROUP BY b.vec_id"""
 ORACLES["stream_latest"] = ORACLES["latest_reaction"]
 
 

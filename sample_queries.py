@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import sample_views as V
 from digestry.functions import scores as S
 from digestry.functions import text as X
-from digestry.operators import briefing, card, feedback, ranking, scoring, selection, titles, trends
+from digestry.operators import briefing, card, feedback, ranking, scoring, selection, titles, trends, vectors
 from digestry.operators.classify import classify
 from digestry.plans.curate import curate as curated
 from digestry.plans.curate import funnel
@@ -274,6 +274,11 @@ def curate(spark, folder):
     return V.selected(spark, folder).select(*V.KEYS_AND_SCORE, "channel", "domain", "title", "pick")
 
 
+@query
+def embedding_pairs(spark, folder):
+    return vectors.drop_close(V.vectors(spark, folder), P)
+
+
 # --- Reactions ---------------------------------------------------------------------------------------------------
 
 @query

@@ -70,6 +70,13 @@ def items(spark: SparkSession, folder: str, docs: DataFrame | None = None) -> Da
         F.col("lang"))
 
 
+def vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Embeddings; of every three, one has a near-copy and one has two, which differ by a pattern of their ids."""
+    rows = table(spark, folder, "embeddings").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("vec_id") % 3)))
+    near = F.expr("transform(embedding, (x, i) -> CAST(x AS DOUBLE) + 0.01 * copy * ((vec_id * 31 + i * 17) % 7 - 3))")
+    return rows.select((F.col("vec_id") + F.col("copy") * 1_000_000).alias("vec_id"), near.alias("embedding"))
+
+
 def reactions(spark: SparkSession, folder: str) -> DataFrame:
     """Clicks as likes and errors as dislikes."""
     return (table(spark, folder, "events").where(F.col("event_type").isin("click", "error"))
