@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import sample_views as V
 from digestry.functions import scores as S
 from digestry.functions import text as X
-from digestry.operators import briefing, card, feedback, ranking, scoring, selection, titles, trends, vectors
+from digestry.operators import briefing, card, feedback, learning, ranking, scoring, selection, titles, trends, vectors
 from digestry.operators.classify import classify
 from digestry.plans.curate import curate as curated
 from digestry.plans.curate import funnel
@@ -520,6 +520,21 @@ def preference_examples(spark, folder):
     return feedback.preference_examples(V.reactions(spark, folder))
 
 
+@query
+def quality_model(spark, folder):
+    items = V.items(spark, folder)
+    good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
+    labels = V.table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("item_id"), good.alias("label"))
+    model = learning.learn_quality(items, labels, P)
+    return model.score(items, P).withColumn("held_out", learning.held_out(F.col("item_id")))
+
+
+@query
+def learning_to_rank(spark, folder):
+    items = V.items(spark, folder)
+    return learning.learn_ranking(V.item_reactions(spark, folder), items, P).score(items, P, ["brief_id", "item_id"])
+
+
 @query
 def emerging_terms(spark, folder):
     return trends.emerging_terms(V.items(spark, folder), hours=12)

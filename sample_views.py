@@ -94,6 +94,15 @@ def as_reactions(events: DataFrame) -> DataFrame:
         .alias("domain"))
 
 
+def item_reactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a reaction to one of the items: clicks and views of even items as likes, all else as dislikes."""
+    n = max(table(spark, folder, "documents").count(), 1)
+    item = (F.col("event_id") * 37) % n
+    liked = (F.col("event_type") == "click") | ((F.col("event_type") == "view") & (item % 2 == 0))
+    return table(spark, folder, "events").select(F.col("event_id").alias("event_ord"), "user_id", item.cast("string").alias("item_id"),
+                                                 F.when(liked, "like").otherwise("dislike").alias("reaction"))
+
+
 def request_log(spark: SparkSession, folder: str) -> DataFrame:
     """The reactions as requested addresses; every tenth is broken in one of five ways."""
     way = F.expr("CASE WHEN event_ord % 10 = 0 THEN (event_ord div 10) % 5 ELSE -1 END")
