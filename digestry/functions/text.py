@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections import Counter
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -15,6 +18,8 @@ _DURATION = r"^PT(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?"
 
 # Keyword tests up to this many are written out, so that code generation covers them.
 _UNROLLED_KEYWORDS = 200
+# Characters of the runs by which longer lists are looked up.
+_RUN = 3
 
 
 def text_or_empty(value: Column) -> Column:
@@ -44,8 +49,45 @@ def keyword_hits(text: Column, keywords: Sequence[str]) -> Column:
         for word in words[1:]:
             total = total + F.contains(text, F.lit(word)).cast("int")
         return F.coalesce(total, F.lit(0))
-    table = F.array(*[F.lit(w) for w in words])
-    return F.coalesce(once(text, lambda t: F.size(F.filter(table, lambda w: F.contains(t, w)))), F.lit(0))
+    found = once(text, lambda t: F.aggregate(_looked_up(t, words), F.lit(0), lambda n, e: n + e["n"]))
+    return F.coalesce(found, F.lit(0))
+
+
+def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
+    """Distinct keywords, lower-cased, that occur in the lower-cased text, in no order; null for a null text."""
+    words = sorted({k.lower() for k in keywords})
+    if len(words) <= _UNROLLED_KEYWORDS:
+        table = F.array(*[F.lit(w) for w in words]).cast("array<string>")
+        return once(text, lambda t: F.when(t.isNotNull(), F.filter(table, lambda w: F.contains(t, w))))
+    return once(text, lambda t: F.when(t.isNotNull(), F.transform(_looked_up(t, words), lambda e: e["w"])))
+
+
+def _looked_up(text: Column, words: Sequence[str]) -> Column:
+    """Entries (w, n: how often it is listed) of the words that occur in the text.
+
+    Every word waits under its rarest run of up to three characters; a text looks up its own runs, each once, and tests
+    only the words that wait there. The work follows the text's length and its matches, not the number of words. `text`
+    is to be a variable of a lambda.
+    """
+    times = Counter(words)
+    runs = {w: [w[i:i + _RUN] for i in range(max(1, len(w) - _RUN + 1))] for w in times}
+    common = Counter(r for found in runs.values() for r in set(found))
+    buckets: list[list[dict]] = [[] for _ in range(2 * len(times))]
+    for word, n in sorted(times.items()):
+        key = min(runs[word], key=lambda r: (common[r], r))
+        buckets[zlib.crc32(key.encode()) % len(buckets)].append({"k": key, "w": word, "n": n})
+    # A constant of the plan; as text it is one expression whatever its size.
+    table = F.from_json(F.lit(json.dumps(buckets)), "array<array<struct<k:string,w:string,n:int>>>")
+
+    def runs_of(chars: Column, length: int) -> Column:
+        starts = F.when(F.size(chars) >= length, F.sequence(F.lit(0), F.size(chars) - length)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.concat(*[F.get(chars, i + j) for j in range(length)]))
+
+    lengths = sorted({len(w) if len(w) < _RUN else _RUN for w in times} - {0})
+    empty = F.array(*[F.lit("")] * ("" in times)).cast("array<string>")
+    keys = once(F.split(text, ""), lambda chars: F.array_distinct(F.concat(empty, *[runs_of(chars, n) for n in lengths])))
+    return F.flatten(F.transform(keys, lambda k: F.filter(F.get(table, F.pmod(F.crc32(k), F.lit(len(buckets))).cast("int")),
+                                                          lambda e: (e["k"] == k) & F.contains(text, e["w"]))))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:

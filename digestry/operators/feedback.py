@@ -5,6 +5,7 @@ Reactions are an append-only table; both views of it (latest reaction per item,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -128,10 +129,14 @@ def keyword_weights(events: DataFrame, s: Settings, per: Sequence[str] = ("user_
     A like adds one and anything else takes two off, as for channels; a keyword listed under two domains counts once.
     Only keywords that occur are produced, inside the row, and summed up before the shuffle.
     """
-    words = sorted(set(s.all_keywords))
-    named = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(k.lower()).alias("low")) for k in words])
-    title = F.lower(F.coalesce("title", F.lit("")))
-    hits = X.once(title, lambda t: F.transform(F.filter(named, lambda k: F.contains(t, k["low"])), lambda k: k["keyword"]))
+    written: dict[str, list[str]] = {}
+    for k in sorted(set(s.all_keywords)):
+        written.setdefault(k.lower(), []).append(k)
+    found = X.matched_keywords(F.lower(F.coalesce("title", F.lit(""))), list(written))
+    several = {low: ks for low, ks in written.items() if ks != [low]}
+    # Keywords as they are written; most are written in one way, and many as they are compared.
+    names = F.from_json(F.lit(json.dumps(several)), "map<string,array<string>>")
+    hits = F.flatten(F.transform(found, lambda low: F.coalesce(F.try_element_at(names, low), F.array(low)))) if several else found
     points = F.when(F.col("reaction") == "like", 1).otherwise(-2)
     return (events.select(*per, points.alias("_points"), F.explode(hits).alias("keyword"))
             .groupBy(*per, "keyword").agg(F.sum("_points").cast("double").alias("weight")))

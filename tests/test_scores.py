@@ -1,5 +1,7 @@
 """Scores of hand-made rows under the default rules, as listed in FIXTURES.md."""
 
+import random
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -102,3 +104,37 @@ def test_path_encoding(spark):
     given = ["a b/c~d*e", "机器人 50% & more+?", "it's (ok)! -_."]
     df = spark.createDataFrame([(d,) for d in given], "d string")
     assert [r[0] for r in df.select(X.path_encode(F.col("d"))).collect()] == [quote(d) for d in given]
+
+
+def test_long_keyword_lists(spark):
+    """Looked up by runs of characters: the same as testing each keyword, at every length and in every script."""
+    rng = random.Random(11)
+    letters = "abcde é芯片😀-"
+    words = list({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(1500)})
+    words += ["", "A", "芯", "Ab", *words[:100], "no such thing", "😀😀😀😀"]
+    texts = ["", "a", "é芯", "芯片芯片", None, *["".join(rng.choice(letters) for _ in range(rng.randrange(80))) for _ in range(60)], "abcde é芯片" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r for r in df.select("i", X.keyword_hits(F.col("t"), words).alias("n"), X.matched_keywords(F.col("t"), words).alias("m"),
+                                     X.matched_keywords(F.col("t"), words[:50]).alias("few")).collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i].n == 0 and got[i].m is None and got[i].few is None
+            continue
+        assert got[i].n == sum(w.lower() in t for w in words)
+        assert sorted(got[i].m) == sorted({w.lower() for w in words if w.lower() in t})
+        assert sorted(got[i].few) == sorted({w.lower() for w in words[:50] if w.lower() in t})
+
+
+def test_work_does_not_follow_the_number_of_keywords(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    texts = spark.createDataFrame([(" ".join(word() for _ in range(60)),) for _ in range(1500)], "t string").cache()
+    texts.count()
+    words, took = [word() for _ in range(20_000)], {}
+    for n in (1000, 20_000, 1000, 20_000):
+        total = texts.agg(F.sum(X.keyword_hits(F.col("t"), words[:n])))
+        start = time.perf_counter()
+        total.collect()
+        took[n] = time.perf_counter() - start
+    assert took[20_000] < 6 * took[1000]
+    print(took)
