@@ -33,6 +33,26 @@ def weights(events: DataFrame, key: str, per: Sequence[str] = ("user_id",)) -> D
             .groupBy(*per, key).agg(F.sum(step_of(F.col("reaction"))).alias("weight")))
 
 
+def weights_by(events: DataFrame, keys: Sequence[str] = ("channel", "domain"), per: Sequence[str] = ("user_id",)) -> DataFrame:
+    """(per, key, value, weight): the weights of several keys from one scan and one exchange.
+
+    `key` comes out of the aggregation, so a filter on it stays above the exchange, and readers of single keys share that.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in keys]))
+    return (events.select(*per, step_of(F.col("reaction")).alias("_step"), each.alias("_k"))
+            .select(*per, "_step", F.col("_k.value").alias("value"), F.col("_k.key").alias("_key"))
+            .where(F.coalesce(F.col("value"), F.lit("")) != "")
+            .groupBy(*per, "_key", "value").agg(F.sum("_step").alias("weight"), F.max("_key").alias("key"))
+            .select(*per, "key", "value", "weight"))
+
+
+def learned_weights(events: DataFrame, per: Sequence[str] = ("user_id",)) -> dict[str, DataFrame]:
+    """Both tables that `score_items` and `curate` take."""
+    both = weights_by(events, ("channel", "domain"), per)
+    return {name: both.where(F.col("key") == key).select(*per, F.col("value").alias(key), "weight")
+            for name, key in (("source_weights", "channel"), ("domain_weights", "domain"))}
+
+
 def stats_of_latest(latest: DataFrame, per: Sequence[str] = ("user_id",)) -> DataFrame:
     return latest.groupBy(*per).agg(F.count("*").alias("total"),
                                     F.count_if(F.col("reaction") == "like").alias("likes"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Sequence
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +14,8 @@ from digestry import schema
 from digestry.settings import Settings
 
 def read_rules(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A rule table (Parquet); empty, with the same columns, when it is missing. Files that cannot be read are left out."""
+    """A rule table (Parquet); empty, with the same columns, when it is missing. Files that cannot be read are left out;
+    `unread_rules` names them."""
     columns = schema.RULE_TABLES[name]
     try:
         return spark.read.schema(columns).option("ignoreCorruptFiles", True).parquet(f"{folder}/{name}")
@@ -21,6 +25,25 @@ def read_rules(spark: SparkSession, folder: str, name: str) -> DataFrame:
         return spark.createDataFrame([], columns)
 
 
+def unread_rules(spark: SparkSession, folder: str, names: Sequence[str] = tuple(schema.RULE_TABLES)) -> DataFrame:
+    """(name, file, reason) of files of rule tables that cannot be read. Each is tried on its own: rule tables are
+    configuration, a few files written by people."""
+    found = []
+    for name in names:
+        try:
+            files = [r.path for r in spark.read.format("binaryFile").load(f"{folder}/{name}").select("path").collect()]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        for file in sorted(files):
+            try:
+                spark.read.schema(schema.RULE_TABLES[name]).parquet(file).write.format("noop").mode("overwrite").save()
+            except (AnalysisException, SparkRuntimeException, Py4JJavaError) as e:
+                found.append((name, file, str(e).splitlines()[0][:200]))
+    return spark.createDataFrame(found, "name string, file string, reason string")
+
+
 def _rows(table: DataFrame, *order: str) -> list:
     """Rules are configuration: written by people, and sent with every plan."""
     return table.orderBy(*order).collect() if order else table.collect()

@@ -425,6 +425,21 @@ ORACLES["embedding_pairs"] = """WITH v AS (
   FROM embeddings, range(3) r(copy) WHERE copy <= vec_id % 3)
 SELECT b.vec_id, coalesce(min(a.vec_id), b.vec_id) AS representative, min(a.vec_id) IS NULL AS kept
 FROM v b LEFT JOIN v a ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9 GROUP BY b.vec_id"""
+ORACLES["preference_weights"] = f"""{_with(REACTIONS)}
+SELECT user_id, CASE WHEN grouping(channel) = 0 THEN 'channel' ELSE 'domain' END AS key, coalesce(channel, domain) AS value,
+  CAST(sum(CASE WHEN reaction = 'like' THEN 1 ELSE -2 END) AS BIGINT) AS weight
+FROM fb GROUP BY GROUPING SETS ((user_id, channel), (user_id, domain)) HAVING coalesce(channel, domain) <> ''"""
+ORACLES["rule_tables"] = f"""{_with(ITEMS)},
+found AS (SELECT source, min(lang) AS domain FROM documents GROUP BY source),
+newest AS (SELECT domain, published_at FROM (
+  SELECT f.domain, published_at, row_number() OVER (PARTITION BY channel ORDER BY published_at DESC NULLS LAST, ord) AS n
+  FROM items JOIN found f ON f.source = channel) WHERE n <= 5 AND published_at >= {AS_OF} - INTERVAL 1 DAY)
+SELECT 'channels' AS name, count(*) AS rules, CAST(0 AS BIGINT) AS unread FROM found
+UNION ALL SELECT 'whitelist', count(*), 1 FROM found
+UNION ALL SELECT 'spam_keywords', 0, 1
+UNION ALL SELECT 'feeds', 0, 0
+UNION ALL SELECT 'domains', 3, 0
+UNION ALL SELECT 'videos of ' || domain, count(*), 0 FROM newest GROUP BY domain"""
 ORACLES["stream_latest"] = ORACLES["latest_reaction"]
 
 

@@ -146,6 +146,25 @@ def feed_entries(spark, folder):
                        _epoch("published_at"))
 
 
+@query
+def rule_tables(spark, folder):
+    """Rule tables from the documents: some whole, one with a broken file, one broken, the others missing; and how many
+    documents the channels that were read give a domain."""
+    path = scratch_path(spark, "rules")
+    docs = V.table(spark, folder, "documents")
+    sources = docs.groupBy("source").agg(F.min("lang").alias("lang"), F.min("doc_id").cast("int").alias("ord"))
+    sources.select(F.col("source").alias("channel_id"), F.col("lang").alias("domain"), "ord").write.parquet(f"{path}/channels")
+    sources.select(F.col("source").alias("channel")).coalesce(1).write.parquet(f"{path}/whitelist")
+    docs.groupBy("lang").agg(F.lit("no table").alias("value")).select("value").coalesce(1).write.mode("append").text(f"{path}/whitelist")
+    sources.select("source").coalesce(1).write.text(f"{path}/spam_keywords")
+    read = tables.settings_from_tables(spark, path, P)
+    unread = {r["name"]: r["n"] for r in tables.unread_rules(spark, path).groupBy("name").agg(F.count("*").alias("n")).collect()}
+    rules = {"channels": read.channels, "whitelist": read.whitelist, "spam_keywords": read.spam_keywords, "feeds": read.feeds, "domains": read.domains}
+    found = spark.createDataFrame([(n, len(r), unread.get(n, 0)) for n, r in rules.items()], "name string, rules bigint, unread bigint")
+    known = videos.latest_of_channels(V.items(spark, folder).select("item_id", "ord", "channel", "published_at"), read, "channel")
+    return found.unionByName(known.groupBy("domain").agg(F.count("*").alias("rules")).select(F.concat(F.lit("videos of "), "domain").alias("name"), "rules", F.lit(0).cast("bigint").alias("unread")))
+
+
 @query
 def strip_tags(spark, folder):
     return V.table(spark, folder, "pages").select(
@@ -300,6 +319,11 @@ def domain_weights(spark, folder):
     return _weights(V.reactions(spark, folder), "domain")
 
 
+@query
+def preference_weights(spark, folder):
+    return feedback.weights_by(V.reactions(spark, folder)).withColumn("weight", F.col("weight").cast("bigint"))
+
+
 @query
 def feedback_stats(spark, folder):
     return feedback.reaction_stats(V.reactions(spark, folder))

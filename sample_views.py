@@ -118,9 +118,7 @@ def request_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def learned(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    events = reactions(spark, folder)
-    return {"source_weights": feedback.weights(events, "channel"),
-            "domain_weights": feedback.weights(events, "domain")}
+    return feedback.learned_weights(reactions(spark, folder))
 
 
 def scored(spark: SparkSession, folder: str, keep: tuple = ("brief_id", "ord", "item_id", "channel", "domain",

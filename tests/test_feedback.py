@@ -166,3 +166,12 @@ def test_stream_from_the_request_log(spark, tmp_path):
     kept_table = stream.latest_table(kept)
     kept_table.merge_before(spark, 100)
     assert sorted(map(tuple, kept_table.current(spark).collect())) == sorted(map(tuple, latest.collect()))
+
+
+def test_weights_of_several_keys_at_once(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randint(1, 3), f"i{i}", rnd.choice(["like", "dislike", None]), rnd.choice(["", "a", "b", None]), rnd.choice(["", "AI", None])) for i in range(200)]
+    df = events(spark, rows)
+    both = feedback.learned_weights(df)
+    for name, key in (("source_weights", "channel"), ("domain_weights", "domain")):
+        assert sorted(map(tuple, both[name].collect())) == sorted(map(tuple, feedback.weights(df, key).collect()))

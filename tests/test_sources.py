@@ -169,3 +169,22 @@ def test_briefing_sink_replaces_one_date(spark, tmp_path):
         tables.write_briefings(docs(text, day), path)
     assert {(str(r.brief_date), r.md) for r in spark.read.parquet(path).collect()} == {
         ("2026-04-23", "a"), ("2026-04-24", "c")}
+
+
+def test_unreadable_rule_files_are_named(spark, tmp_path):
+    spark.createDataFrame([("c", "AI", 1)], schema.RULE_TABLES["channels"]).coalesce(1).write.parquet(str(tmp_path / "channels"))
+    (tmp_path / "channels" / "part-broken.parquet").write_bytes(b"PAR1 not really")
+    (tmp_path / "whitelist").mkdir()
+    (tmp_path / "whitelist" / "x.parquet").write_bytes(b"nothing")
+    found = {(r.name, r.file.rsplit("/", 1)[-1]) for r in tables.unread_rules(spark, str(tmp_path)).collect()}
+    assert found == {("channels", "part-broken.parquet"), ("whitelist", "x.parquet")}
+    s = tables.settings_from_tables(spark, str(tmp_path))
+    assert s.channels == (("c", "AI"),) and s.whitelist == () and s.domains == Settings().domains
+    assert tables.unread_rules(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_only_a_missing_log_is_empty(spark, tmp_path):
+    good, bad = tables.read_reactions(spark, str(tmp_path / "none"))
+    assert good.count() == bad.count() == 0
+    with pytest.raises(Exception):
+        tables.read_reactions(spark, "unknown-scheme://log")[0].collect()
