@@ -72,26 +72,32 @@ def from_request_log(log: DataFrame) -> DataFrame:
     blank counts. Such events know neither channel nor domain. Further columns of the log stay.
     """
     url = F.col("url")
-    query = F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1)
 
     def decoded(text: Column) -> Column:
-        return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
-
-    def value(name: str) -> Column:
-        first = F.get(F.filter("_pairs", lambda p: p["name"] == name), F.lit(0))["value"]
-        return X.once(F.coalesce(first, F.lit("")), lambda v: F.when(v.rlike("[%+]"), decoded(v)).otherwise(v))
-
-    # Names as written, but for the few with escapes; a value is decoded only if it is one of the three.
-    given = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^(?:id|r|t|[^=]*[%+][^=]*)=."))
-    pairs = F.transform(given, lambda p: X.once(F.substring_index(p, "=", 1), lambda name: F.struct(
-        F.when(name.rlike("[%+]"), decoded(name)).otherwise(name).alias("name"), F.substr(p, F.length(name) + 2).alias("value"))))
+        repaired = F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")
+        return F.when(text.rlike("[%+]"), F.coalesce(F.try_url_decode(repaired), text)).otherwise(text)
+
+    def by_decoded_names(query: Column) -> Column:
+        given = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^[^=]*=."))
+        pairs = F.transform(given, lambda p: X.once(F.substring_index(p, "=", 1), lambda name: F.struct(
+            decoded(name).alias("name"), F.substr(p, F.length(name) + 2).alias("value"))))
+        return X.once(pairs, lambda held: F.struct(*[
+            F.coalesce(F.get(F.filter(held, lambda p: p["name"] == n), F.lit(0))["value"], F.lit("")).alias(n) for n in ("id", "r", "t")]))
+
+    # Names are hardly ever written with escapes, so patterns find the three values; the rest is taken apart.
+    def parsed(query: Column) -> Column:
+        escaped = query.rlike("(?:^|&)[^=&]*[%+][^=&]*=")
+        as_written = F.struct(*[F.regexp_extract(query, f"(?:^|&){n}=([^&]+)", 1).alias(n) for n in ("id", "r", "t")])
+        return X.once(F.when(escaped, by_decoded_names(query)).otherwise(as_written), lambda v: F.struct(
+            decoded(v["id"]).alias("item_id"), decoded(v["r"]).alias("reaction"), decoded(v["t"]).alias("title")))
+
+    # Exploded, so that the test of a value is not moved below its parsing and all of it done twice.
+    event = F.explode(F.filter(F.array(parsed(F.regexp_extract(url, r"^[^?#]*[?]([^#]*)", 1))), lambda v: (v["item_id"] != "") & v["reaction"].isin("like", "dislike")))
     new = ("item_id", "reaction", "title", "channel", "domain")
     others = [c for c in log.columns if c not in ("event_ord", "ts", "user_id", "url", *new)]
     return (log.where(F.regexp_extract(url, r"^([^?#;]*)", 1) == "/feedback")
-            .withColumn("_pairs", pairs)
-            .select("event_ord", "ts", "user_id", value("id").alias("item_id"), value("r").alias("reaction"),
-                    value("t").alias("title"), F.lit("").alias("channel"), F.lit("").alias("domain"), *others)
-            .where((F.col("item_id") != "") & F.col("reaction").isin("like", "dislike")))
+            .select("event_ord", "ts", "user_id", *others, event.alias("_v"))
+            .select("event_ord", "ts", "user_id", "_v.*", F.lit("").alias("channel"), F.lit("").alias("domain"), *others))
 
 
 def restore_items(events: DataFrame, numbered: DataFrame, per: Sequence[str] = ("brief_id",)) -> DataFrame:
