@@ -22,7 +22,7 @@ BREAK = 256  # symbol between host and path, so that a host's pattern can't matc
 @dataclass(frozen=True)
 class Rule:
     """`pattern` is a host and a path prefix. The host fits itself and its subdomains; `*` stands for any run of
-    symbols (of the host or the path), `?` for one."""
+    symbols (of the host or the path), `?` for one byte of their UTF-8 form. In hosts A-Z count as a-z."""
 
     pattern: str
     verdict: str
@@ -47,6 +47,7 @@ class Automaton:
         symbols: list[list[int]] = []
         for i in self.order:
             host, slash, path = rules[i].pattern.partition("/")
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
             # Canonical URLs begin with a dot, so a leading `*.` covers the host itself and all subdomains.
             glob: list[int | str] = ["*", ord("."), *self._symbols(host), BREAK, *self._symbols(slash + path), "*"]
             symbols.append(glob)

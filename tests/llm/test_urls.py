@@ -57,3 +57,9 @@ def test_rows(spark):
     assert (one.host, one.path) == ("a.example.org", "/es/x")
     assert got.where(F.col("page_id").isin(4, 5, 6)).agg(F.max("host"), F.max("path")).first()[:] == ("", "")
     assert urls.filter_urls(spark.createDataFrame([], "url string"), rules).collect() == []
+
+
+def test_capitals_in_the_host_of_a_rule(spark):
+    pages = spark.createDataFrame([("http://www.Example.ORG/A",), ("http://example.org/a",)], "url string")
+    got = {r.url: r.rule for r in urls.filter_urls(pages, [urls.Rule("eXample.org/A", "block")]).collect()}
+    assert got == {"http://www.Example.ORG/A": "eXample.org/A", "http://example.org/a": None}
