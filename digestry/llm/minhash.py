@@ -21,12 +21,21 @@ SHINGLE = 5
 PERMUTATIONS = 50
 FEW = 32  # members up to which the pairs of a bucket become rows
 BLOCK = 250_000  # shingles of the members of one block
-BAND_ROWS = 5  # 20 bands of 5: a pair of similarity 0.85 shares none with probability 8e-6
+BAND_ROWS = 5  # at most; 20 bands of 5: a pair of similarity 0.85 shares none with probability 8e-6
+MISSED = 1e-5  # greatest probability that a pair at the limit shares no band
 
 _SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, signature binary"
 _CHECKED = "u long, v long, shared long, total long"
 
 
+def band_rows_for(percent: int, permutations: int = PERMUTATIONS) -> int:
+    """The most rows of a band with which a pair at the limit is found; 5 for 85 per cent, 4 for 80."""
+    for rows in range(BAND_ROWS, 1, -1):
+        if (1 - (percent / 100) ** rows) ** (2 * permutations // rows) <= MISSED:
+            return rows
+    return 1
+
+
 def signatures(docs: DataFrame, n: int = SHINGLE, permutations: int = PERMUTATIONS, band_rows: int = BAND_ROWS) -> DataFrame:
     """Size, 128-bit fingerprint, band hashes and signature of each document's shingle set, from one read of the text."""
 
@@ -51,7 +60,7 @@ def signatures(docs: DataFrame, n: int = SHINGLE, permutations: int = PERMUTATIO
                         prints[full, 1] = np.add.reduceat(mix(sets), at)
                 with np.errstate(over="ignore"):
                     scale = mix(np.arange(7000, 7000 + band_rows, dtype=np.uint64)) | np.uint64(1)
-                    keys = mix((values.reshape(k, bands, band_rows) * scale).sum(2) + mix(np.arange(bands, dtype=np.uint64)))
+                    keys = mix((values[:, :bands * band_rows].reshape(k, bands, band_rows) * scale).sum(2) + mix(np.arange(bands, dtype=np.uint64)))
                 short = (values >> np.uint64(48)).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(found.first, k), pa.array(sizes, pa.int64()),
@@ -188,9 +197,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, n: int = SHINGLE) -> Dat
     links between components only. No partner is dropped by count.
 
     A document without words has an empty set and is linked with nothing. A null doc_id is linked with nothing and has
-    no component, yet is kept. Rows that repeat a doc_id are judged each by its own text.
+    no component, yet is kept. Rows that repeat a doc_id are judged each by its own text. Ids are whole numbers.
     """
-    signed = settle(signatures(docs, n), "signatures")
+    signed = settle(signatures(docs, n, band_rows=band_rows_for(percent)), "signatures")
     sets = (signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles")
             .agg(F.min("doc_id").alias("node")))
     sets = settle(sets, "sets")

@@ -66,3 +66,11 @@ def test_blocks_without_members(spark):
     crowded = classes.select(F.col("bands")[0].alias("bucket"), F.col("node").alias("u"), F.col("node").alias("c"), F.lit(8 * minhash.BLOCK).alias("weight"))
     links = {tuple(r) for r in minhash._in_blocks(crowded, classes, docs, 85, 5).collect()}
     assert len({x for pair in links for x in pair}) == 3
+
+
+def test_bands_follow_the_limit():
+    from digestry.llm.minhash import MISSED, PERMUTATIONS, band_rows_for
+    assert (band_rows_for(85), band_rows_for(80)) == (5, 4)
+    for percent in (60, 70, 75, 80, 85, 90, 95):
+        rows = band_rows_for(percent)
+        assert rows == 1 or (1 - (percent / 100) ** rows) ** (2 * PERMUTATIONS // rows) <= MISSED
