@@ -152,10 +152,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with `contaminated` and `items` (the ids found, sorted; empty if none), replacing columns of these names.
 
     A text holds an item if it has 60 % of the item's windows, or 9 of them in a row. Equal texts are looked at
-    once. Null texts hold nothing; every row of docs is returned.
+    once. Null texts hold nothing; every row of docs is returned, with all its other columns. Ids of items may be of any
+    type that can be ordered.
     """
-    keyed = docs.drop("contaminated", "items", "text_key").withColumn("text_key", F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    found = settle(find_items(keyed.select("text_key", "text"), benchmark), "items-found")
-    of_text = found.groupBy("text_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    return (keyed.join(of_text, "text_key", "left").withColumn("contaminated", F.col("items").isNotNull())
-            .withColumn("items", F.coalesce("items", F.array().cast("array<bigint>"))).drop("text_key"))
+    keyed = docs.drop("contaminated", "items").withColumn("__text_key", F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    found = settle(find_items(keyed.select(F.col("__text_key").alias("text_key"), "text"), benchmark), "items-found")
+    of_text = found.groupBy(F.col("text_key").alias("__text_key")).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    none = F.array().cast(of_text.schema["items"].dataType)
+    return (keyed.join(of_text, "__text_key", "left").withColumn("contaminated", F.col("items").isNotNull())
+            .withColumn("items", F.coalesce("items", none)).drop("__text_key"))

@@ -69,3 +69,12 @@ def test_short_items_and_numbers_at_every_offset(spark, item):
 def test_other_numbers_or_a_part_of_numbers_are_no_item(spark):
     docs = [(1, "Compute 17 * 23 + 4 / 2 - 8"), (2, "Add 3 kg, 4 kg, 5 kg and 7 kg"), (3, words(30) + " then say which of these " + words(30)), (4, "Compute 17 * 23 + 4 / 2")]
     assert found(spark, docs, SHORT)[0] == {1: [], 2: [], 3: [], 4: []}
+
+
+def test_ids_of_text_and_carried_columns(spark):
+    from digestry.llm import decontaminate as D
+    item = "Which of the following rivers flows through the old town of Verona before it reaches the sea?"
+    docs = spark.createDataFrame([(1, f"x y z {item} more", "mine", "h"), (2, "nothing", "yours", "h")], "doc_id long, text string, text_key string, h string")
+    benchmark = spark.createDataFrame([("q-1", item)], "item_id string, text string")
+    got = {r.doc_id: (r["items"], r.text_key, r.h) for r in D.decontaminate(docs, benchmark).collect()}
+    assert got == {1: (["q-1"], "mine", "h"), 2: ([], "yours", "h")}
