@@ -173,9 +173,9 @@ def common_blocks(docs: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE,
     # What very many documents have goes to all tasks, if it is little, so that no task gets all rows of one line.
     many = shared.where(F.col("df") > hot)
     if many.count() <= sent:
-        direct = found.join(F.broadcast(many), "hash")
-        met = found.join(shared.where(F.col("df") <= hot).hint("merge"), "hash")
-        goes = met.unionByName(direct)
+        tagged = found.join(F.broadcast(many), "hash", "left")
+        met = tagged.where("df is null").drop("first", "df").join(shared.where(F.col("df") <= hot).hint("merge"), "hash")
+        goes = met.unionByName(tagged.where("df is not null"))
     else:
         met = goes = found.join(shared.hint("merge"), "hash")
     gone = goes.where((F.col("first") < F.col("doc_id")) & ((F.col("kind") == _STRETCH) | (F.col("n_words") >= min_words)))
