@@ -79,7 +79,7 @@ def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LE
     """(doc_id, piece, start, length, ids) of each document's token ids and an end id, cut only if longer than `length`.
 
     The remainder comes first, then full pieces. ids are little-endian unsigned 32-bit numbers. Null text is empty: one
-    piece, the end id alone. `added`: strings of added tokens become their ids. Documents are worked on a few at a time; the longest sets the memory needed.
+    piece, the end id alone. Ids of documents are whole numbers; further columns are left out. `added`: strings of added tokens become their ids. Documents are worked on a few at a time; the longest sets the memory needed.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,8 @@ def plan_packing(counts: np.ndarray, length: int = LENGTH) -> Plan:
 
 
 def place(pieces: DataFrame, length: int = LENGTH, run: int = RUN) -> DataFrame:
-    """Adds sequence_id and offset to each piece (doc_id, piece, length, further columns); read twice, so settled.
+    """Adds sequence_id and offset to each piece (doc_id, piece, length, further columns, none of them sequence_id or
+    offset); read twice, so settled.
 
     Ranks among pieces of one length come from runs of a bounded number of pieces, so a length that holds a third of
     all is no one task's. Which of several equal rows gets which place is open, and does not matter.
