@@ -4,19 +4,21 @@ A context word's vector times a target word's vector plus the target's bias is t
 normalises: it tells words of the corpus from noise words. Afterwards batched matrix products sum each context's
 scores over the vocabulary once, so every token's probability is normalised at the price of one dot product.
 
-What is learned follows the corpus: word counts come from all training texts, and every task trains on all of its
-texts; the tasks' parameters are averaged, weighted by their tokens.
+What is learned follows the corpus: word counts come from all training texts, the number of words with vectors of
+their own grows with the corpus, and every task trains on all of its texts. Tasks' parameters are averaged row by row,
+weighted by how often each task met the row, so a word of few tasks keeps all that these learned. Words without a vector
+of their own are predicted by classes of word endings and share a class's probability by their counts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from digestry.llm.words import as_signed, words
@@ -24,129 +26,168 @@ from digestry.session import settle
 
 END = np.int64(0x0E4D)  # stands for the end of a text among word hashes
 
-VOCABULARY = 8192     # target words with a vector; all others share one
-KNOWN_WORDS = 1 << 18  # most words whose counts go to every task; the others' counts are joined
+VOCABULARY = 6        # words with a vector of their own, times the root of the number of training tokens
+LEAST_VOCABULARY = 1024
+CLASSES = 256         # of the endings of all other words
+KNOWN_WORDS = 1 << 18  # words whose counts go to every task, about, if not more have vectors; the others' counts are joined
+SHARE_TOKENS = 2_000_000  # tokens that one task learns from, at least, if there are as many
 DIMENSIONS = 16
 NOISE = 32
 BATCH = 640
 RATE = 0.15
 ROUNDS = 2
 SHARE = 0.9           # of the neural model; the rest is the smoothed unigram model, so no word is hopeless
-BLOCK = 1024          # values of one row when parameters are averaged
+HELD_ROWS = 500_000   # rows of parameters that a task adds up at a time
 
 
-def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Per chunk: first and last text, token hashes with an end after each text, bounds of the texts."""
+def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per chunk: first and last text, token hashes and classes with an end after each text, bounds of the texts."""
     for found in words(column):
         k = found.last - found.first
         bounds = found.bounds + np.arange(k + 1)
-        out = np.full(bounds[-1], END, np.int64)
-        out[np.arange(len(found.hashes)) + found.owners()] = as_signed(found.hashes)
-        yield found.first, found.last, out, bounds
+        out, classes = np.full(bounds[-1], END, np.int64), np.zeros(bounds[-1], np.int32)
+        at = np.arange(len(found.hashes)) + found.owners()
+        out[at] = as_signed(found.hashes)
+        last, before = found.ends - 1, np.maximum(found.ends - 2, found.starts)
+        ends = [found.data[i].astype(np.int32) for i in (last, before)]
+        low = [np.where((e >= 65) & (e <= 90), e + 32, e) for e in ends]
+        classes[at] = (low[0] * 7919 + low[1] * 104729) % 65521 % CLASSES
+        yield found.first, found.last, out, classes, bounds
 
 
 def word_counts(docs: DataFrame, text: str = "text", keep: int = 1_000_000) -> DataFrame:
-    """(word, n) over all texts; tasks sum up before the shuffle, `keep` distinct words at a time."""
+    """(word, class, n) over all texts; tasks sum up before the shuffle, `keep` distinct words at a time."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in seen])).astype(np.int64)
+        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, first, at = np.unique(np.concatenate([k for k, *_ in seen]), return_index=True, return_inverse=True)
+            return keys, np.concatenate([c for _, c, _ in seen])[first], np.bincount(at, np.concatenate([n for *_, n in seen])).astype(np.int64)
 
         held = 0
         for batch in batches:
-            for *_, tokens, _ in _tokens(batch.column(0)):
-                seen.append(np.unique(tokens, return_counts=True))
+            for *_, tokens, classes, _ in _tokens(batch.column(0)):
+                keys, first, n = np.unique(tokens, return_index=True, return_counts=True)
+                seen.append((keys, classes[first], n))
                 held += len(seen[-1][0])
                 if held >= keep:
                     seen = [merged()]
                     held = len(seen[0][0])
                     if held >= keep // 2:
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, seen.pop())), ["word", "n"])
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, seen.pop())), ["word", "class", "n"])
                         held = 0
         if seen:
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged())), ["word", "n"])
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, merged())), ["word", "class", "n"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return (docs.select(F.col(text).cast("string")).mapInArrow(count, "word long, class int, n long")
+            .groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n")))
 
 
 @dataclass
 class Counts:
-    """Most frequent words (sorted by hash) with their counts; tokens and distinct words of all."""
+    """Most frequent words (sorted by hash) with their counts and classes; tokens and distinct words of all; of each class
+    the sum of count + 1 over all its words."""
 
     words: np.ndarray
     counts: np.ndarray
+    classes: np.ndarray
     tokens: int
     types: int
+    of_class: np.ndarray
+
+    @property
+    def vocabulary(self) -> int:
+        return _vocabulary(self.tokens)
+
+
+def _vocabulary(tokens: int) -> int:
+    return max(LEAST_VOCABULARY, int(VOCABULARY * tokens ** 0.5))
 
 
 def frequent(counts: DataFrame, most: int = KNOWN_WORDS) -> Counts:
-    """Words above the least count that leaves at most `most` of them. Only these come to the driver."""
+    """Words above the least count that leaves at most `most` of them, or as many as have vectors if these are more. Only
+    these come to the driver."""
     level = F.floor(16 * F.log2("n")).cast("int")
     levels = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("types"), F.sum("n").alias("n")).collect(), reverse=True)
-    taken, least = 0, None
+    taken, least, most = 0, None, max(most, _vocabulary(sum(r.n for r in levels)))
     for row in levels:
         if taken + row.types > most:
             break
         taken, least = taken + row.types, row.level
     known = counts.where(level >= least).toArrow() if least is not None else None
     keys = known.column("word").to_numpy() if known else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    return Counts(keys[order], known.column("n").to_numpy()[order] if known else keys,
-                  sum(r.n for r in levels), sum(r.types for r in levels))
+    order, of_class = np.argsort(keys), np.zeros(CLASSES, np.int64)
+    for row in counts.groupBy("class").agg(F.sum(F.col("n") + 1).alias("n")).collect():  # at most CLASSES
+        of_class[row["class"]] = row.n
+    return Counts(keys[order], known.column("n").to_numpy()[order] if known else keys, known.column("class").to_numpy()[order] if known else keys.astype(np.int32),
+                  sum(r.n for r in levels), sum(r.types for r in levels), of_class)
 
 
 @dataclass
 class LogBilinear:
-    """Vectors of contexts and targets, and biases. The last target is any other word; contexts add the text's start."""
+    """Vectors of contexts and targets, and biases. The last CLASSES targets are those of all other words; contexts add the
+    text's start."""
 
     words: np.ndarray     # sorted hashes of all known words
     ids: np.ndarray       # their ids as targets
+    mass: np.ndarray      # count + 1 of each target; of a class with one more for words never seen
     log_noise: np.ndarray  # log of the unigram probability of each target
     context: np.ndarray
     target: np.ndarray
     bias: np.ndarray
 
     @property
-    def parameters(self) -> np.ndarray:
-        return np.concatenate([self.context.ravel(), self.target.ravel(), self.bias])
+    def start(self) -> int:
+        return len(self.target)
 
-    def with_parameters(self, values: np.ndarray) -> "LogBilinear":
-        a, b = self.context.size, self.context.size + self.target.size
-        return LogBilinear(self.words, self.ids, self.log_noise, values[:a].reshape(self.context.shape),
-                           values[a:b].reshape(self.target.shape), values[b:].copy())
+    @property
+    def own(self) -> int:
+        """Words with a vector of their own."""
+        return len(self.target) - CLASSES
 
-    def normalisers(self, rows: int = 512) -> np.ndarray:
-        """Log of the sum over all targets, for each context."""
-        out = np.empty(len(self.context), np.float64)
-        for at in range(0, len(out), rows):
-            scores = self.context[at:at + rows] @ self.target.T + self.bias
-            top = scores.max(1)
-            out[at:at + rows] = top + np.log(np.exp(scores - top[:, None]).sum(1, dtype=np.float64))
-        return out
+    def copy(self) -> "LogBilinear":
+        return replace(self, context=self.context.copy(), target=self.target.copy(), bias=self.bias.copy())
+
+    def of_tokens(self, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        return _look_up(self.words, self.ids, tokens, self.own + classes)
+
+
+def normalisers(spark: SparkSession, model: LogBilinear, rows: int = 256) -> np.ndarray:
+    """Log of the sum over all targets for each context, in parallel by blocks of contexts."""
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(0).to_numpy():
+                scores = model.context[block * rows:(block + 1) * rows] @ model.target.T + model.bias
+                top = scores.max(1)
+                found = top + np.log(np.exp(scores - top[:, None]).sum(1, dtype=np.float64))
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([found.tolist()])], ["block", "sums"])
 
+    blocks = -(-len(model.context) // rows)
+    found = spark.range(0, blocks, 1, max(1, min(blocks, spark.sparkContext.defaultParallelism))).mapInArrow(sums, "block long, sums array<double>").collect()
+    return np.concatenate([r.sums for r in sorted(found)])
 
-def untrained(counts: Counts, vocabulary: int = VOCABULARY, dimensions: int = DIMENSIONS) -> LogBilinear:
+
+def untrained(counts: Counts, dimensions: int = DIMENSIONS) -> LogBilinear:
     """Starts as the unigram model: the biases are its logarithms and the targets' vectors nearly nothing."""
-    order = np.lexsort((counts.words, -counts.counts))[:vocabulary]
+    order = np.lexsort((counts.words, -counts.counts))[:counts.vocabulary]
     k = len(order)
-    ids = np.full(len(counts.words), k, np.int32)
+    ids = (k + counts.classes).astype(np.int32)
     ids[order] = np.arange(k)
-    mass = np.append(counts.counts[order] + 1.0, 0)
-    mass[k] = counts.tokens + counts.types + 1 - mass.sum()
-    log_noise = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
+    rest = counts.of_class - np.bincount(counts.classes[order], counts.counts[order] + 1.0, CLASSES) + 1
+    mass = np.concatenate([counts.counts[order] + 1.0, rest])
+    log_noise = np.log(mass / mass.sum()).astype(np.float32)
     random = np.random.default_rng(17)
-    return LogBilinear(counts.words, ids, log_noise, random.normal(0, 0.5, (k + 2, dimensions)).astype(np.float32),
-                       random.normal(0, 0.01, (k + 1, dimensions)).astype(np.float32), log_noise.copy())
+    return LogBilinear(counts.words, ids, mass, log_noise, random.normal(0, 0.5, (k + CLASSES + 1, dimensions)).astype(np.float32),
+                       random.normal(0, 0.01, (k + CLASSES, dimensions)).astype(np.float32), log_noise.copy())
 
 
-def _look_up(words_: np.ndarray, values: np.ndarray, tokens: np.ndarray, default: int) -> np.ndarray:
+def _look_up(words_: np.ndarray, values: np.ndarray, tokens: np.ndarray, default: int | np.ndarray) -> np.ndarray:
     if not len(words_):
-        return np.full(len(tokens), default, values.dtype)
+        return np.broadcast_to(np.asarray(default, values.dtype), tokens.shape).copy()
     at = np.minimum(np.searchsorted(words_, tokens), len(words_) - 1)
-    return np.where(words_[at] == tokens, values[at], default)
+    return np.where(words_[at] == tokens, values[at], default).astype(values.dtype)
 
 
 def _before(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
@@ -168,8 +209,9 @@ class _Trainer:
     """Adaptive gradient steps on one task's tokens."""
 
     def __init__(self, model: LogBilinear, rate: float) -> None:
-        self.model, self.rate, self.tokens = model.with_parameters(model.parameters.copy()), rate, 0
+        self.model, self.rate = model.copy(), rate
         m = self.model
+        self.met = [np.zeros(len(x), np.int64) for x in (m.context, m.target)]
         self.past = [np.full(x.shape, 1e-1, np.float32) for x in (m.context, m.target, m.bias)]
         noise = np.exp(m.log_noise.astype(np.float64))
         self.edges, self.random = np.cumsum(noise / noise.sum()), np.random.default_rng(23)
@@ -198,20 +240,36 @@ class _Trainer:
         self._move(2, keys, slope_t[:, -1] * scale)
         keys, slope_h = _summed(slope_h, before)
         self._move(0, keys, slope_h * scale)
-        self.tokens += n
+        np.add.at(self.met[0], before, 1)
+        np.add.at(self.met[1], both, 1)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, times met and values of the rows met: of contexts, then of targets, the latter with their bias."""
+        m = self.model
+        values = [np.column_stack([m.context, np.zeros(len(m.context), np.float32)]), np.column_stack([m.target, m.bias])]
+        at = [np.flatnonzero(x) for x in self.met]
+        return (np.concatenate([at[0], at[1] + len(m.context)]), np.concatenate([x[i] for x, i in zip(self.met, at)]),
+                np.concatenate([v[i] for v, i in zip(values, at)]))
+
+
+def _blobs(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    rows = np.ascontiguousarray(rows)
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * (rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(rows.tobytes())])
 
 
-def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> np.ndarray:
-    """One pass over all texts: every task trains from the same start; the mean of the results by tokens."""
-    start = len(model.target)
+def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
+    """One pass over all texts: every task trains from the same start; rows are averaged over the tasks that met them."""
+    width = model.context.shape[1] + 1
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer = _Trainer(model, rate)
         left = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         for batch in batches:
-            for *_, tokens, bounds in _tokens(batch.column(0)):
-                ids = _look_up(model.words, model.ids, tokens, start - 1)
-                left = [np.concatenate([left[0], _before(ids, bounds, start)]), np.concatenate([left[1], ids])]
+            for *_, tokens, classes, bounds in _tokens(batch.column(0)):
+                ids = model.of_tokens(tokens, classes)
+                left = [np.concatenate([left[0], _before(ids, bounds, model.start)]), np.concatenate([left[1], ids])]
                 at = 0
                 while len(left[1]) - at >= BATCH:
                     trainer.step(left[0][at:at + BATCH], left[1][at:at + BATCH])
@@ -219,33 +277,43 @@ def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> np.ndarray:
                 left = [x[at:] for x in left]
         if len(left[1]):
             trainer.step(*left)
-        if trainer.tokens:
-            values = trainer.model.parameters.astype(np.float32)
-            rows = [values[i:i + BLOCK].tobytes() for i in range(0, len(values), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array([trainer.tokens] * len(rows)), pa.array(rows, pa.binary())],
-                                             ["block", "tokens", "part"])
+        row, met, values = trainer.rows()
+        for at in range(0, len(row), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(row[at:at + 10_000]), pa.array(met[at:at + 10_000]), _blobs(values[at:at + 10_000])], ["row", "met", "part"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for block, n, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                entry = sums.setdefault(block, [0, 0.0])
-                entry[0] += n
-                entry[1] = entry[1] + n * np.frombuffer(part, np.float32).astype(np.float64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([(x / n).astype(np.float32).tobytes() for n, x in sums.values()], pa.binary())],
-                                             ["block", "part"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _summed(np.concatenate([v for _, v in held]), np.concatenate([k for k, _ in held]))
 
-    parts = docs.mapInArrow(train, "block long, tokens long, part binary").repartition("block").mapInArrow(average, "block long, part binary")
-    found = sorted(parts.collect())  # the size of one model
-    return np.concatenate([np.frombuffer(r.part, np.float32) for r in found]) if found else model.parameters
+        for batch in batches:
+            met = batch.column(1).to_numpy().astype(np.float64)[:, None]
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, width)
+            held.append((batch.column(0).to_numpy(), np.column_stack([values * met, met])))
+            if sum(len(k) for k, _ in held) > HELD_ROWS:
+                held = [merged()]
+        if held:
+            keys, sums = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), _blobs((sums[:, :-1] / sums[:, -1:]).astype(np.float32))], ["row", "part"])
+
+    parts = docs.mapInArrow(train, "row long, met long, part binary").repartition("row").mapInArrow(average, "row long, part binary")
+    found = parts.toArrow()  # the size of one model
+    out, n = model.copy(), len(model.context)
+    row = found.column("row").to_numpy()
+    values = np.frombuffer(b"".join(found.column("part").to_pylist()), np.float32).reshape(-1, width)
+    ours = row < n
+    out.context[row[ours]] = values[ours, :-1]
+    out.target[row[~ours] - n], out.bias[row[~ours] - n] = values[~ours, :-1], values[~ours, -1]
+    return out
 
 
 def train(docs: DataFrame, counts: Counts, text: str = "text", rounds: int = ROUNDS, rate: float = RATE) -> LogBilinear:
+    """Splits of few tokens are brought together, for a task that learns from little teaches little."""
     model = untrained(counts)
-    texts = docs.select(F.col(text).cast("string"))
+    texts = docs.select(F.col(text).cast("string")).coalesce(max(1, -(-counts.tokens // SHARE_TOKENS)))
     for i in range(rounds):
-        model = model.with_parameters(_averaged(texts, model, rate / (1 + i)))
+        model = _averaged(texts, model, rate / (1 + i))
     return model
 
 
@@ -254,7 +322,8 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
 
     Rows where `learn` holds teach the model, the others are held out; scores are log10 probabilities of whole texts.
     Null texts are empty and have one token, the end. A null doc_id stays null. Without any training row, counts are
-    zero and every token has the probability of an unseen word.
+    zero and every token has the probability of an unseen word. What tasks learn depends a little on which texts they
+    get, so `score` does on the layout of the table; all other columns do not.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.coalesce(learn, F.lit(False)).alias("learn"))
@@ -262,24 +331,23 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     counts = settle(word_counts(lessons), "word-counts")
     known = frequent(counts)
     model = train(lessons, known)
-    norms, total = model.normalisers(), float(known.tokens + known.types + 1)
-    k = len(model.target) - 1
-    # The other words share the last target's probability by their counts; one of them is the unseen word.
-    mass = total - float((known.counts[model.ids < k] + 1).sum())
+    norms, total = normalisers(docs.sparkSession, model), float(known.tokens + known.types + 1)
+    # With an unseen word in each class, all words' probabilities add up to one.
+    total_here = total + CLASSES - 1
     of_word = known.counts.astype(np.int64)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, last, tokens, bounds in _tokens(batch.column(1)):
-                ids = _look_up(model.words, model.ids, tokens, k)
-                before = _before(ids, bounds, k + 1)
+            for first, last, tokens, classes, bounds in _tokens(batch.column(1)):
+                ids = model.of_tokens(tokens, classes)
+                before = _before(ids, bounds, model.start)
                 c = _look_up(model.words, of_word, tokens, 0)
                 dot = np.einsum("ij,ij->i", model.context[before], model.target[ids]).astype(np.float64)
                 neural = np.exp(dot + model.bias[ids] - norms[before])
-                rest = ids == k
-                # Both parts hold (count + 1) as a factor; where the count is not known here it is joined later.
-                share = SHARE * np.where(rest, neural / mass, neural / (c + 1)) + (1 - SHARE) / total
+                # Both parts hold (count + 1) as a factor; where the count is not known here it is joined later. The words
+                # of a class share its probability by their counts.
+                share = SHARE * neural / model.mass[ids] + (1 - SHARE) / total_here
                 own = np.log10(c + 1)
                 tail = np.flatnonzero(c == 0)
                 edges = np.searchsorted(tail, bounds)

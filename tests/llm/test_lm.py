@@ -1,9 +1,11 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import words
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ def learn():
 
 @pytest.mark.parametrize("known", [1 << 18, 20])
 def test_counts_and_base_scores(spark, monkeypatch, known):
-    monkeypatch.setattr(lm, "VOCABULARY", 30)
+    monkeypatch.setattr(lm, "VOCABULARY", 0)
+    monkeypatch.setattr(lm, "LEAST_VOCABULARY", 10)
     monkeypatch.setattr(lm, "frequent", lambda counts, most=known, f=lm.frequent: f(counts, most))
     docs = [*enumerate(texts()), (None, "x1 y1"), (3, texts()[3])]
     rows = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, tail string, score int")
@@ -45,12 +48,77 @@ def test_model_is_normalised_and_better_than_its_base(spark):
     counts = lm.word_counts(docs.where(learn()))
     known = lm.frequent(counts)
     model = lm.train(docs.where(learn()), known)
-    p = np.exp(model.context @ model.target.T + model.bias - model.normalisers()[:, None])
+    p = np.exp(model.context @ model.target.T + model.bias - lm.normalisers(spark, model, 7)[:, None])
     assert np.allclose(p.sum(1), 1, atol=1e-4)
     total = lm.score(docs, learn()).groupBy("held_out").agg(F.sum("base_score").alias("base"), F.sum("score").alias("score"), F.sum("n_tokens").alias("n")).collect()
     assert len(total) == 2 and all((r.score - r.base) / r.n > 0.01 for r in total)
 
 
+def ending(word):
+    if word is None:
+        return 0
+    raw = word.encode()
+    return (raw[-1] * 7919 + raw[-2 if len(raw) > 1 else -1] * 104729) % 65521 % lm.CLASSES
+
+
+@pytest.mark.parametrize("own, known", [(1024, 1 << 18), (25, 1 << 18), (25, 40)])
+def test_score_against_plain_sums(spark, monkeypatch, own, known):
+    """Every token's probability from the parameters, word by word; all words and an unseen one of each class sum to one."""
+    monkeypatch.setattr(lm, "VOCABULARY", 0)
+    monkeypatch.setattr(lm, "LEAST_VOCABULARY", own)
+    monkeypatch.setattr(lm, "frequent", lambda counts, most=known, f=lm.frequent: f(counts, most))
+    made = []
+    monkeypatch.setattr(lm, "train", lambda *a, f=lm.train: made.append(f(*a)) or made[-1])
+    docs = list(enumerate(texts()))
+    got = {r.doc_id: r for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), learn()).collect()}
+    model, held = made[0], lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(w for i, t in docs if not held(i) for w in [*words(t), None])
+    n, v = sum(count.values()), len(count)
+    hashes = {}
+    for *_, tokens, _, bounds in lm._tokens(pa.array([w or "" for w in count])):
+        hashes = {w: tokens[bounds[k]] for k, w in enumerate(count)}
+    number = {w: int(model.of_tokens(np.array([hashes[w]]), np.array([ending(w)]))[0]) for w in count}
+    classes = {w: number[w] - model.own for w in count if number[w] >= model.own}
+    assert len(count) - len(classes) == min(own, len(count))
+    assert min(count[w] for w in count if w not in classes) >= max((count[w] for w in classes), default=0)
+    assert all(classes[w] == ending(w) for w in classes)
+    of_class = Counter()
+    for w, c in classes.items():
+        of_class[c] += count[w] + 1
+
+    def chance(before, w):
+        scores = model.target.astype(float) @ model.context[before].astype(float) + model.bias
+        scores = np.exp(scores - scores.max())
+        at = number.get(w, model.own + ending(w))
+        part = 1.0 if at < model.own else (count[w] + 1) / (of_class[at - model.own] + 1)
+        return lm.SHARE * scores[at] / scores.sum() * part + (1 - lm.SHARE) * (count[w] + 1) / (n + v + lm.CLASSES)
+
+    for i, t in docs[::9] + docs[-4:]:
+        before, total = model.start, 0.0
+        for w in [*words(t), None]:
+            total += math.log10(chance(before, w))
+            before = number.get(w, model.own + ending(w))
+        assert got[i].score == pytest.approx(total, rel=1e-4)
+    unseen = sum(lm.SHARE * 1 / (of_class[c] + 1) * p for c, p in enumerate(_class_chances(model, 3)))
+    assert sum(chance(3, w) for w in count) + unseen + (1 - lm.SHARE) * lm.CLASSES / (n + v + lm.CLASSES) == pytest.approx(1, abs=1e-4)
+
+
+def _class_chances(model, before):
+    scores = np.exp(model.target.astype(float) @ model.context[before].astype(float) + model.bias)
+    return (scores / scores.sum())[model.own:]
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="no test data")
+def test_splits_do_not_cost_what_is_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    gain = {}
+    for splits in (1, 64):
+        r = lm.score(docs.repartition(splits), learn()).where("held_out").agg(((F.sum("score") - F.sum("base_score")) / F.sum("n_tokens")).alias("g")).first()
+        gain[splits] = r.g
+    print(gain)
+    assert gain[64] > 0.05 and abs(gain[64] - gain[1]) < 0.02
+
+
 def test_no_lessons_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = lm.score(docs, F.lit(False)).collect()
