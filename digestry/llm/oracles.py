@@ -104,4 +104,46 @@ SELECT doc_id, leaf, subroot, d[1] AS root, sha256(array_to_string(others, ''))
 FROM folded, tops WHERE folded.k = len(digits) AND len(d) = 1
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_chat_format": OP2, "op4_sharding": OP4, "op13_merkle": OP13}
+_RULES = {
+    "few_words": "n_words < 20", "repeats": "100 * n_repeat_words > 30 * n_words", "symbols": "10 * n_symbols > n_words",
+    "duplicate_lines": "10 * n_dup_lines > 3 * n_lines", "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words"}
+
+
+def _strength(rule: str) -> str:
+    """Documents that the prior of a rule is worth, from the columns of `spread`."""
+    whole = f"({rule}_between + (usual - 1) * {rule}_inside)"
+    rho = f"CASE WHEN {whole} > 0 THEN ({rule}_between - {rule}_inside) / {whole} ELSE 0 END"
+    return (f"CASE WHEN k < 2 OR total <= k THEN 1.0 WHEN {rho} <= 1e-12 THEN 1e6 "
+            f"ELSE least(greatest((1 - ({rho})) / nullif({rho}, 0), 1.0), 1e6) END")
+
+
+# Words, windows of eight of them, rules, then hosts: rates drawn to the mean of all hosts by a prior from their spread.
+OP11 = rf"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, coalesce('+' || source, '') AS host, coalesce(text, '') AS text FROM documents),
+read AS (
+  SELECT *, regexp_extract_all(text, '[^ 	-]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS x FROM docs),
+windows AS (SELECT row, i, array_to_string(w[i:i + 7], ' ') AS text FROM (SELECT row, w, unnest(range(1, len(w) - 6)) AS i FROM read)),
+again AS (SELECT row, i FROM (SELECT row, i, count(*) OVER (PARTITION BY row, text) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT row, count(DISTINCT i + j) AS n FROM again, range(8) r(j) GROUP BY row),
+facts AS (
+  SELECT row, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(x) AS BIGINT) AS n_lines,
+    CAST(len(x) - len(list_distinct(x)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words
+  FROM read LEFT JOIN covered c USING (row)),
+judged AS (SELECT *, {", ".join(f"({r}) AS {n}" for n, r in _RULES.items())} FROM facts),
+hosts AS (SELECT host, CAST(count(*) AS DOUBLE) AS n, {", ".join(f"CAST(count(*) FILTER ({r}) AS DOUBLE) AS {r}" for r in _RULES)} FROM judged GROUP BY host),
+means AS (SELECT sum(n) AS total, count(*) AS k, sum(n * n) AS squares, {", ".join(f"sum({r}) / sum(n) AS {r}_p" for r in _RULES)} FROM hosts),
+spread AS (
+  SELECT any_value(total) AS total, any_value(k) AS k, (any_value(total) - any_value(squares) / any_value(total)) / nullif(any_value(k) - 1, 0) AS usual,
+    {", ".join(f"any_value({r}_p) AS {r}_p, sum(n * power({r} / n - {r}_p, 2)) / nullif(any_value(k) - 1, 0) AS {r}_between, sum({r} * (n - {r}) / n) / nullif(any_value(total) - any_value(k), 0) AS {r}_inside" for r in _RULES)}
+  FROM hosts, means),
+strengths AS (SELECT *, {", ".join(f"{_strength(r)} AS {r}_m" for r in _RULES)} FROM spread),
+verdicts AS (
+  SELECT host, {", ".join(f"(h.{r} + {r}_p * {r}_m) / (n + {r}_m) > 0.5 AS {r}_blocked, (h.{r} + {r}_p * {r}_m) / (n + {r}_m) > greatest(0.2, 2 * {r}_p) AS {r}_watched" for r in _RULES)}
+  FROM hosts h, strengths)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (few_words OR repeats) AS base_failed,
+  NOT (few_words OR repeats OR {" OR ".join(f"{r}_blocked OR ({r} AND {r}_watched)" for r in _RULES)}) AS kept
+FROM judged JOIN verdicts USING (host)
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_chat_format": OP2, "op4_sharding": OP4, "op11_quality_rules": OP11, "op13_merkle": OP13}
