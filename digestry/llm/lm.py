@@ -26,11 +26,11 @@ from digestry.session import settle
 
 END = np.int64(0x0E4D)  # stands for the end of a text among word hashes
 
-VOCABULARY = 6        # words with a vector of their own, times the root of the number of training tokens
-LEAST_VOCABULARY = 1024
+VOCABULARY = 4        # words with a vector of their own, times the root of the number of training tokens
+LEAST_VOCABULARY = 8192
 CLASSES = 256         # of the endings of all other words
 KNOWN_WORDS = 1 << 18  # words whose counts go to every task, about, if not more have vectors; the others' counts are joined
-SHARE_TOKENS = 2_000_000  # tokens that one task learns from, at least, if there are as many
+SHARE_TOKENS = 8_000_000  # tokens that one task learns from, at least, if there are as many
 DIMENSIONS = 16
 NOISE = 32
 BATCH = 640
@@ -243,13 +243,15 @@ class _Trainer:
         np.add.at(self.met[0], before, 1)
         np.add.at(self.met[1], both, 1)
 
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number, times met and values of the rows met: of contexts, then of targets, the latter with their bias."""
-        m = self.model
-        values = [np.column_stack([m.context, np.zeros(len(m.context), np.float32)]), np.column_stack([m.target, m.bias])]
-        at = [np.flatnonzero(x) for x in self.met]
+    def rows(self, start: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, times met and change of the rows met: of contexts, then of targets, the latter with their bias. Changes
+        are small, so half precision is enough for them."""
+        m, at = self.model, [np.flatnonzero(x) for x in self.met]
+        context = m.context[at[0]] - start.context[at[0]]
+        moved = [np.column_stack([context, np.zeros(len(context), np.float32)]),
+                 np.column_stack([m.target[at[1]] - start.target[at[1]], m.bias[at[1]] - start.bias[at[1]]])]
         return (np.concatenate([at[0], at[1] + len(m.context)]), np.concatenate([x[i] for x, i in zip(self.met, at)]),
-                np.concatenate([v[i] for v, i in zip(values, at)]))
+                np.concatenate(moved).astype(np.float16))
 
 
 def _blobs(rows: np.ndarray) -> pa.Array:
@@ -260,7 +262,7 @@ def _blobs(rows: np.ndarray) -> pa.Array:
 
 
 def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
-    """One pass over all texts: every task trains from the same start; rows are averaged over the tasks that met them."""
+    """One pass over all texts: every task trains from the same start; changes of rows are averaged over the tasks that met them."""
     width = model.context.shape[1] + 1
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +279,7 @@ def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
                 left = [x[at:] for x in left]
         if len(left[1]):
             trainer.step(*left)
-        row, met, values = trainer.rows()
+        row, met, values = trainer.rows(model)
         for at in range(0, len(row), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(row[at:at + 10_000]), pa.array(met[at:at + 10_000]), _blobs(values[at:at + 10_000])], ["row", "met", "part"])
 
@@ -289,7 +291,7 @@ def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
 
         for batch in batches:
             met = batch.column(1).to_numpy().astype(np.float64)[:, None]
-            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, width)
+            values = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float16).reshape(-1, width)
             held.append((batch.column(0).to_numpy(), np.column_stack([values * met, met])))
             if sum(len(k) for k, _ in held) > HELD_ROWS:
                 held = [merged()]
@@ -303,8 +305,9 @@ def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
     row = found.column("row").to_numpy()
     values = np.frombuffer(b"".join(found.column("part").to_pylist()), np.float32).reshape(-1, width)
     ours = row < n
-    out.context[row[ours]] = values[ours, :-1]
-    out.target[row[~ours] - n], out.bias[row[~ours] - n] = values[~ours, :-1], values[~ours, -1]
+    out.context[row[ours]] += values[ours, :-1]
+    out.target[row[~ours] - n] += values[~ours, :-1]
+    out.bias[row[~ours] - n] += values[~ours, -1]
     return out
 
 
