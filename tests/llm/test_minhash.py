@@ -69,8 +69,7 @@ def test_blocks_without_members(spark):
 
 
 def test_bands_follow_the_limit():
-    from digestry.llm.minhash import MISSED, PERMUTATIONS, band_rows_for
-    assert (band_rows_for(85), band_rows_for(80)) == (5, 4)
-    for percent in (60, 70, 75, 80, 85, 90, 95):
-        rows = band_rows_for(percent)
-        assert rows == 1 or (1 - (percent / 100) ** rows) ** (2 * PERMUTATIONS // rows) <= MISSED
+    from digestry.llm.minhash import BAND_ROWS, MISSED, permutations_for
+    assert (permutations_for(85), permutations_for(80)) == (50, 73)
+    for percent in (60, 70, 75, 80, 85, 90, 95, 100):
+        assert (1 - (percent / 100) ** BAND_ROWS) ** (2 * permutations_for(percent) // BAND_ROWS) <= MISSED
