@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from digestry.llm.packing import Tokens
+from digestry.llm.packing import Tokens, numbered_in_order
 from digestry.llm.words import chunks
 from digestry.session import settle
 
@@ -39,9 +39,9 @@ class Side:
         return b"".join([self.bytes_of[i] for i in ids.tolist()]) == raw
 
 
-def byte_side(name: str) -> Side:
+def byte_side(name: str, fits: bool | None = None) -> Side:
     """A byte-level file of `tokenizers`; the text gets a space in front."""
-    tokens = Tokens(name)
+    tokens = Tokens(name, fits=fits)
     return Side(lambda text: tokens.encode(" " + text), tokens.bytes_of)
 
 
@@ -82,8 +82,10 @@ def aligned(docs: DataFrame, a: str = "byte_bpe_50k.json", b: str = "piece_bpe_3
     the longest sets the memory needed.
     """
 
+    fits = numbered_in_order(a)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right = byte_side(a), piece_side(b)
+        left, right = byte_side(a, fits), piece_side(b)
         # Ids as written, behind the mark that comes before them: A next or first in a group, B next or first in it.
         marked = [m + str(i) for m, s in ((",", left), (";", left), (",", right), ("|", right)) for i in range(len(s.bytes_of))]
         base = np.cumsum([0, len(left.bytes_of), len(left.bytes_of), len(right.bytes_of)])

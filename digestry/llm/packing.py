@@ -29,11 +29,11 @@ class Tokens:
 
     The file's vocabulary is handed to tiktoken's encoder, which gives the same ids in a quarter of the time: there a
     token's rank is its id, so merges must be numbered in order and texts cut by the same pattern. Both are tested; a file
-    of which they do not hold is used as it is. With `added`, the strings of the file's added tokens become their ids,
+    of which they do not hold is used as it is (`fits`, tested once on the driver, as it takes memory). With `added`, the strings of the file's added tokens become their ids,
     as `tokenizers` does unless told otherwise; else they are ordinary text.
     """
 
-    def __init__(self, name: str, added: bool = False) -> None:
+    def __init__(self, name: str, added: bool = False, fits: bool | None = None) -> None:
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
@@ -47,7 +47,7 @@ class Tokens:
         self.bytes_of = [b""] * (1 + max([*ranks.values(), *special.values()]))
         for b, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
             self.bytes_of[i] = b
-        if numbered_in_order(json.loads(made.to_str())):
+        if numbered_in_order(name) if fits is None else fits:
             model = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special if added else {})
             allowed = set(special) if added else set()
             self.encode = lambda text: model.encode_to_numpy(text, allowed_special=allowed, disallowed_special=())
@@ -63,8 +63,12 @@ class Tokens:
         return np.concatenate([y for x in found for y in (x, last)]).astype("<u4"), bounds
 
 
-def numbered_in_order(file: dict) -> bool:
-    """Whether a tokenizer's later merges have larger ids, and it cuts texts by the usual byte-level pattern alone."""
+def numbered_in_order(name: str) -> bool:
+    """Whether a file's later merges have larger ids, and it cuts texts by the usual byte-level pattern alone."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        file = json.load(f)
     model, cut = file["model"], file.get("pre_tokenizer") or {}
     if model.get("type") != "BPE" or file.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or any(
             model.get(k) for k in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback")):
@@ -82,8 +86,10 @@ def tokenised(docs: DataFrame, name: str = "byte_bpe_50k.json", length: int = LE
     piece, the end id alone. Ids of documents are whole numbers; further columns are left out. `added`: strings of added tokens become their ids. Documents are worked on a few at a time; the longest sets the memory needed.
     """
 
+    fits = numbered_in_order(name)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(name, added)  # made in the task: a remembered one would be sent by name
+        tokens = Tokens(name, added, fits)  # made in the task: a remembered one would be sent by name
         for batch in batches:
             for first in range(0, batch.num_rows, 128):
                 part = batch.slice(first, 128)
