@@ -13,11 +13,14 @@ Briefings of up to `fold_rows` rows are walked inside one array expression. Larg
   member.
 * Within a stretch, similar pairs are found by a token join with a prefix filter and resolved in rounds. Briefings
   with too many candidate pairs in it, counted beforehand from token frequencies, take a short stretch instead.
+* Tables of words are joined by shuffle: Spark takes a list of words for as small as its file and would send it, many
+  times larger once each word has a row, through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,6 +31,8 @@ from digestry.operators.ranking import ranked
 from digestry.session import settle
 from digestry.settings import Settings
 
+MOST_PARTS = 8  # tables of the rounds done that a plan lists; more are merged
+
 
 def similar(a: Column, b: Column) -> Column:
     """Whole-number form of overlap / smaller > 1/2; false for an empty set."""
@@ -54,6 +59,11 @@ def similar_marked(a: Column, b: Column) -> Column:
             & similar(a["words"], b["words"]))
 
 
+def _shuffled(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join in which no side passes the driver."""
+    return left.join(right.hint("merge"), list(on), how)
+
+
 def _walk(entries: Column) -> Column:
     """Fold ordered entries (`_tie`, `_set`) into [(`_tie`, `_of`)]: `_of` is the first kept similar one."""
     def kept_entry(e: Column) -> Column:
@@ -121,7 +131,7 @@ def drop_similar_titles(rows: DataFrame, s: Settings, keys: Sequence[str] = ("br
         return kept
     unique = (_match_large(large.select(*keys, score, ordinal, "_words"), s, keys, score, ordinal)
               .where(F.col("duplicate_of").isNull()).select(*keys, ordinal))
-    return kept.unionByName(large.select(*rows.columns).join(unique, [*keys, ordinal], "left_semi"))
+    return kept.unionByName(_shuffled(large.select(*rows.columns), unique, [*keys, ordinal], "left_semi"))
 
 
 def title_matches(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id",), score: str = "quality_score",
@@ -133,7 +143,7 @@ def title_matches(rows: DataFrame, s: Settings, keys: Sequence[str] = ("brief_id
     words = F.array_sort(X.title_tokens(F.col(title)))
     dropped = rows.select(*keys, ordinal, words.alias("_a"))
     kept = rows.select(*keys, F.col(ordinal).alias("duplicate_of"), words.alias("_b"))
-    return (found.join(dropped, [*keys, ordinal]).join(kept, [*keys, "duplicate_of"])
+    return (_shuffled(_shuffled(found, dropped, [*keys, ordinal]), kept, [*keys, "duplicate_of"])
             .select(*keys, ordinal, "duplicate_of",
                     F.size(F.array_intersect("_a", "_b")).cast("bigint").alias("shared_words"),
                     F.least(F.size("_a"), F.size("_b")).cast("bigint").alias("smaller_words")))
@@ -156,17 +166,17 @@ def _match_large(slim: DataFrame, s: Settings, keys: list[str], score: str, ordi
                 F.split("_sig", " ").alias("_words")), "title-sets")
     nodes = settle(_rare_first(ranked(sets.drop("_sig"), s, keys, "_score", "_tie", "_rank"), keys), "title-nodes")
 
-    found = []  # tables (keys, _tie, _of)
+    found = []  # tables (keys, _rank, _of)
     head = nodes.where(F.col("_rank") <= s.fold_rows)
     done = settle(_fold(head.withColumn("_z", F.lit(0)), keys, "_z", "_rank")
                   .select(*keys, "_rank", F.col("duplicate_of").alias("_of")), "title-head")
-    found.append(done)
-    kept = done.where(F.col("_of").isNull()).join(head, [*keys, "_rank"]).select(*head.columns)
+    found.append(done.where(F.col("_of").isNotNull()))
+    kept = _shuffled(done.where(F.col("_of").isNull()), head, [*keys, "_rank"]).select(*head.columns)
     rest, size = nodes.where(F.col("_rank") > s.fold_rows), s.fold_rows * 4
     while True:
         hit = settle(_first_match(rest, kept, keys), "title-hits")
         found.append(hit)
-        rest = settle(rest.join(hit, [*keys, "_rank"], "left_anti"), "title-rest")
+        rest = settle(_shuffled(rest, hit, [*keys, "_rank"], "left_anti"), "title-rest")
         left = rest.agg(F.min("_rank")).first()[0]
         if left is None:
             break
@@ -179,30 +189,34 @@ def _match_large(slim: DataFrame, s: Settings, keys: list[str], score: str, ordi
         stretch = rest.where(F.col("_rank") <= end).select(*nodes.columns)
         inside = settle(_resolve(_pairs(stretch, keys), s, keys), "title-stretch")
         found.append(inside)
-        kept = settle(stretch.join(inside, [*keys, "_rank"], "left_anti"), "title-kept")
+        kept = settle(_shuffled(stretch, inside, [*keys, "_rank"], "left_anti"), "title-kept")
         rest, size = rest.where(F.col("_rank") > end).select(*nodes.columns), size * 4
+        if len(found) > MOST_PARTS:
+            found = [settle(_together(found), "title-found")]
 
-    of = found[0].where(F.col("_of").isNotNull())
-    for part in found[1:]:
-        of = of.unionByName(part)
+    of = _together(found)
     # Back from ranks to ordinals, and from sets of words to rows.
     names = nodes.select(*keys, F.col("_rank").alias("_of"), F.col("_tie").alias("_of_tie"))
-    by_set = (nodes.select(*keys, "_rank", "_tie").join(of, [*keys, "_rank"], "left")
-              .join(names, [*keys, "_of"], "left").select(*keys, "_tie", "_of_tie"))
-    by_sig = sets.select(*keys, "_sig", "_tie").join(by_set, [*keys, "_tie"])
-    rows = (filled.select(*keys, "_sig", ordinal).join(by_sig, [*keys, "_sig"])
+    by_set = _shuffled(_shuffled(nodes.select(*keys, "_rank", "_tie"), of, [*keys, "_rank"], "left"),
+                       names, [*keys, "_of"], "left").select(*keys, "_tie", "_of_tie")
+    by_sig = _shuffled(sets.select(*keys, "_sig", "_tie"), by_set, [*keys, "_tie"])
+    rows = (_shuffled(filled.select(*keys, "_sig", ordinal), by_sig, [*keys, "_sig"])
             .select(*keys, ordinal, F.coalesce("_of_tie", F.when(F.col("_tie") != F.col(ordinal), F.col("_tie")))
                     .alias("duplicate_of")))
     return empty.unionByName(rows)
 
 
+def _together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _rare_first(sets: DataFrame, keys: list[str]) -> DataFrame:
     """Order the words of each set by their frequency in the briefing, rarest first."""
     words = sets.select(*keys, "_rank", F.explode("_words").alias("_word"))
     frequency = words.groupBy(*keys, "_word").agg(F.count("*").alias("_df"))
-    ordered = (words.join(frequency, [*keys, "_word"]).groupBy(*keys, "_rank")
+    ordered = (_shuffled(words, frequency, [*keys, "_word"]).groupBy(*keys, "_rank")
                .agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_w")))
-    return (sets.drop("_words").join(ordered, [*keys, "_rank"])
+    return (_shuffled(sets.drop("_words"), ordered, [*keys, "_rank"])
             .withColumn("_words", F.col("_w._word")).drop("_w"))
 
 
@@ -226,9 +240,9 @@ def _touching(left: DataFrame, right: DataFrame, keys: list[str], extra: Column)
     on = [*keys, "_word"]
     a, b = _named(left, keys, "l"), _named(right, keys, "r")
     true_pair = similar(F.col("_lw"), F.col("_rw")) & extra
-    smaller_left = (_prefix(a, keys, "_l", "_lw").join(_postings(b, keys, "_r", "_rw"), on)
+    smaller_left = (_shuffled(_prefix(a, keys, "_l", "_lw"), _postings(b, keys, "_r", "_rw"), on)
                     .where((F.size("_lw") <= F.size("_rw")) & true_pair))
-    smaller_right = (_postings(a, keys, "_l", "_lw").join(_prefix(b, keys, "_r", "_rw"), on)
+    smaller_right = (_shuffled(_postings(a, keys, "_l", "_lw"), _prefix(b, keys, "_r", "_rw"), on)
                      .where((F.size("_lw") > F.size("_rw")) & true_pair))
     return smaller_left.select(*keys, "_l", "_r").unionByName(smaller_right.select(*keys, "_l", "_r"))
 
@@ -251,7 +265,7 @@ def _crowded(stretch: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
     on = [*keys, "_word"]
     left = _prefix(stretch, keys).groupBy(*on).agg(F.count("*").cast("double").alias("_p"))
     right = _postings(stretch, keys).groupBy(*on).agg(F.count("*").cast("double").alias("_q"))
-    pairs = left.join(right, on).groupBy(*keys).agg(F.sum(2 * F.col("_p") * F.col("_q")).alias("_pairs"))
+    pairs = _shuffled(left, right, on).groupBy(*keys).agg(F.sum(2 * F.col("_p") * F.col("_q")).alias("_pairs"))
     sizes = stretch.groupBy(*keys).agg(F.count("*").alias("_n"))
     return (pairs.join(sizes, keys)
             .where(F.col("_pairs") > F.greatest(F.lit(s.pair_budget), F.col("_n") * s.pairs_per_title)).select(*keys))
@@ -273,18 +287,17 @@ def _resolve(pairs: DataFrame, s: Settings, keys: list[str]) -> DataFrame:
         heavy = settle(heavy, "pairs-heavy")
         dropped.append(settle(_finish(left.join(heavy, keys, "left_anti"), keys), "dropped"))
         left = left.join(heavy, keys, "left_semi")
-        roots = (left.select(*keys, F.col("_earlier").alias("_rank")).distinct()
-                 .join(left.select(*keys, F.col("_later").alias("_rank")), [*keys, "_rank"], "left_anti"))
-        gone = settle(left.join(roots.withColumnRenamed("_rank", "_earlier"), [*keys, "_earlier"], "left_semi")
+        roots = _shuffled(left.select(*keys, F.col("_earlier").alias("_rank")).distinct(),
+                          left.select(*keys, F.col("_later").alias("_rank")), [*keys, "_rank"], "left_anti")
+        gone = settle(_shuffled(left, roots.withColumnRenamed("_rank", "_earlier"), [*keys, "_earlier"], "left_semi")
                       .select(*keys, F.col("_later").alias("_rank")).distinct(), "dropped")
         dropped.append(gone)
-        left = settle(left.join(gone.withColumnRenamed("_rank", "_earlier"), [*keys, "_earlier"], "left_anti")
-                      .join(gone.withColumnRenamed("_rank", "_later"), [*keys, "_later"], "left_anti"), "pairs")
-    lost = _finish(left, keys)
-    for part in dropped:
-        lost = lost.unionByName(part)
-    lost = settle(lost, "dropped")
-    return (all_pairs.join(lost.withColumnRenamed("_rank", "_earlier"), [*keys, "_earlier"], "left_anti")
+        left = _shuffled(left, gone.withColumnRenamed("_rank", "_earlier"), [*keys, "_earlier"], "left_anti")
+        left = settle(_shuffled(left, gone.withColumnRenamed("_rank", "_later"), [*keys, "_later"], "left_anti"), "pairs")
+        if len(dropped) > MOST_PARTS:
+            dropped = [settle(_together(dropped), "dropped")]
+    lost = settle(_together([_finish(left, keys), *dropped]), "dropped")
+    return (_shuffled(all_pairs, lost.withColumnRenamed("_rank", "_earlier"), [*keys, "_earlier"], "left_anti")
             .groupBy(*keys, F.col("_later").alias("_rank")).agg(F.min("_earlier").alias("_of")))
 
 

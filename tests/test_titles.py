@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from plain import displaced
 
+from digestry import session
+from digestry.operators import titles
 from digestry.operators.titles import drop_similar_titles, match_titles, title_matches
 from digestry.settings import Settings
 
@@ -87,3 +89,23 @@ def test_matches_name_the_first_kept_title(spark):
     rows = [(1, 1, 50, "a b c"), (1, 2, 50, "b c d"), (1, 3, 50, "c d e"), (1, 4, 50, "a b c d e")]
     out = title_matches(spark.createDataFrame(rows, SCHEMA), Settings()).orderBy("ord").collect()
     assert [(r.ord, r.duplicate_of, r.shared_words, r.smaller_words) for r in out] == [(2, 1, 2, 3), (4, 1, 3, 3)]
+
+
+def test_tables_of_words_do_not_pass_the_driver(spark, monkeypatch):
+    plans = {}
+
+    def stored(rows, label):
+        plans.setdefault(label, []).append(rows._jdf.queryExecution().executedPlan().toString())
+        return session.settle(rows, label)
+
+    monkeypatch.setattr(titles, "settle", stored)
+    rows = random_rows(11, 1, 400, 80)
+    assert spark_result(spark, rows, Settings(fold_rows=16)) == plain_loop(rows)
+    joined = [plan for label in ("title-hits", "title-rest", "pairs", "title-kept") for plan in plans[label]]
+    assert len(joined) > 3 and not [plan for plan in joined if "BroadcastExchange" in plan]
+
+
+def test_merged_rounds_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(titles, "MOST_PARTS", 1)
+    rows = random_rows(12, 2, 90, 60)
+    assert spark_result(spark, rows, Settings(fold_rows=16, pair_budget=1, pairs_per_title=0, pairs_per_task=20)) == plain_loop(rows)
