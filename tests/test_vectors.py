@@ -94,3 +94,22 @@ def test_nothing_to_compare(spark):
     assert found(vectors.drop_close(spark.createDataFrame([(1, [2.0, 1.0])], LAYOUT), S)) == {1: 1}
     clash = spark.createDataFrame([(1, [2.0, 1.0], 5), (2, [4.0, 2.1], 6)], LAYOUT + ", kept int")
     assert found(vectors.drop_close(clash, S)) == {1: 1, 2: 1}
+
+
+def test_what_is_shuffled_for_an_item_stops_growing():
+    for limit in (0.8, 0.9):
+        assert vectors.tables_for(10**5, limit) == vectors.tables_for(10**8, limit)
+
+
+def test_sketches_rule_out_what_is_not_close(spark):
+    """All pairs at the limit pass, hardly any of unrelated vectors do."""
+    rng = np.random.default_rng(5)
+    a, b, other = rng.standard_normal((3, 400, 48))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    near = 0.9 * a + (1 - 0.9 ** 2) ** 0.5 * b / np.linalg.norm(b, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(3 * i + k, v[i].tolist()) for i in range(400) for k, v in enumerate((a, near, other))], "_rank long, _vector array<double>")
+    marks = {r[0]: r[1:] for r in vectors._hashed(rows, 48, 1, 1, 3).select("_rank", *vectors._sketch()).collect()}
+    apart = lambda x, y: sum(bin((p ^ q) % 2**64).count("1") for p, q in zip(marks[x], marks[y]))
+    assert all(apart(3 * i, 3 * i + 1) <= vectors.most_apart(0.9) for i in range(400))
+    assert sum(apart(3 * i, 3 * i + 2) <= vectors.most_apart(0.9) for i in range(400)) <= 2
