@@ -1,7 +1,8 @@
 """Quality by interpolated modified Kneser-Ney n-gram models.
 
 One model learns from trusted text, one from the same and from text known to be bad; counts and the quantities of both are joins and
-groupings of n-gram tables sharded by hash. A document's perplexity under the trusted model, in proportion to its
+groupings of n-gram tables sharded by hash. Words and frequent n-grams go to the tasks that score; documents meet all other
+n-grams of the highest order by a join. A document's perplexity under the trusted model, in proportion to its
 perplexity under the other, is held against the tails of its language among trusted documents that neither model saw.
 """
 
@@ -17,13 +18,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructType
 
 from digestry.llm.words import Lookup, as_signed, mix, words
 from digestry.session import settle
 
 ORDER = 2
-SAMPLE = 2000       # most labelled documents that one model learns from
+FREQUENT = 1_000_000  # most n-grams of the highest order that are sent to the tasks; documents are joined with the others
 UNSEEN = 0.2        # part of the trusted labelled documents kept for the thresholds
 TAIL = 0.005        # part of a language's trusted documents beyond each limit
 HIGH = 0.8          # quantile from which a tail is taken to fall exponentially
@@ -85,11 +86,16 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
 
 @dataclass
 class KneserNey:
-    """Per order from 1: discounted share of each n-gram; per order from 2: what its context leaves to shorter ones."""
+    """Per order from 1: discounted share of each n-gram; per order from 2: what its context leaves to shorter ones.
+    `rare` has the n-grams (gram, share) of the highest order that are not among its shares, if any."""
 
     shares: list[Lookup]
     rests: list[Lookup]
     unknown: float
+    rare: DataFrame | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "rare": None}  # tasks get what is in memory
 
     def probability(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         p = self.shares[0].get(as_signed(grams[0]), 0.0).astype(float) + self.unknown
@@ -108,9 +114,10 @@ def _discounts(table: DataFrame) -> list[float]:
 
 
 def train(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
-    """The model of a bounded number of documents, so of a bounded size; None if there are none."""
+    """The model of all documents given; None if there are none."""
     shares: list[Lookup] = []
     rests: list[Lookup] = []
+    rare = None
     table = settle(gram_counts(docs, order), "grams")
     for n in range(order, 0, -1):
         d = _discounts(table)
@@ -121,10 +128,16 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
             if not own.num_rows:
                 return None
             shares.insert(0, Lookup(own.column(0).to_numpy(), own.column(1).to_numpy().astype(np.float32)))
-            return KneserNey(shares, rests, float(whole.spared) / whole.total / (own.num_rows + 1))
+            return KneserNey(shares, rests, float(whole.spared) / whole.total / (own.num_rows + 1), rare)
         counted = table.select(F.col(f"g{n}").alias("gram"), F.col(f"c{n}").alias("context"), "n")
         totals = counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("spared"))
-        own = counted.join(totals, "context").select("gram", ((F.col("n") - cut) / F.col("total")).alias("share")).toArrow()
+        share = ((F.col("n") - cut) / F.col("total")).cast("float").alias("share")
+        own = counted.join(totals, "context").select("gram", share, "n")
+        least = _least_frequent(counted) if n == order else 1
+        if least > 1:
+            own = settle(own, "shares")
+            rare = own.where(F.col("n") < least).select("gram", "share")
+        own = own.where(F.col("n") >= least).select("gram", "share").toArrow()
         left = totals.select("context", (F.col("spared") / F.col("total")).alias("rest")).toArrow()
         shares.insert(0, Lookup(own.column(0).to_numpy(), own.column(1).to_numpy().astype(np.float32)))
         rests.insert(0, Lookup(left.column(0).to_numpy(), left.column(1).to_numpy().astype(np.float32)))
@@ -134,6 +147,16 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
     return None
 
 
+def _least_frequent(counted: DataFrame) -> int:
+    """The least count from which at most FREQUENT n-grams are left."""
+    total = 0
+    for row in counted.groupBy("n").agg(F.count("*").alias("kinds")).orderBy(F.desc("n")).toLocalIterator():
+        total += row.kinds
+        if total > FREQUENT:
+            return row.n + 1
+    return 1
+
+
 def _peaks(gain: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Of each text the largest sum of WINDOW values in a row; a shorter text is one passage."""
     sums = np.concatenate([[0.0], np.cumsum(gain)])
@@ -149,8 +172,9 @@ def score(docs: DataFrame, trusted: KneserNey, other: KneserNey | None, carry: t
     its words' probabilities grow if each may come from bad text with probability MIXED (0.0 without such a model);
     peak is the largest gain of WINDOW tokens in a row, or of the whole of a shorter text; log10_other is that of the
     other model's single words, null without it."""
-    at = carry.index("text") + 1 if "text" in carry else 0
-    rows = docs.select(F.lit(None).cast("string").alias("__text") if at else F.col("text").cast("string").alias("__text"), *carry)
+    at = carry.index("text") + 2 if "text" in carry else 0
+    rows = docs.select(F.lit(None).cast("string").alias("__text") if at else F.col("text").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"), *carry)
+    joined = trusted.rare is not None
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,11 +185,28 @@ def score(docs: DataFrame, trusted: KneserNey, other: KneserNey | None, carry: t
                 gain = np.log10(1 - MIXED + MIXED * bad / trusted.probability(grams[:1], [])) if other else np.zeros(len(p))
                 sums = [pa.array(np.add.reduceat(x, bounds[:-1])) for x in (np.log10(p), gain)]
                 sums += [pa.array(_peaks(gain, bounds)), pa.array(np.add.reduceat(np.log10(bad), bounds[:-1])) if other else pa.nulls(last - first, pa.float64())]
+                if joined:
+                    # Without a share in memory; one elsewhere needs a context and a word that the model knows.
+                    wait = ((trusted.shares[-1].get(as_signed(grams[-1]), 0.0) == 0) & (trusted.rests[-1].get(as_signed(contexts[-1]), 1.0) < 1)
+                            & (trusted.shares[0].get(as_signed(grams[0]), 0.0) > 0))
+                    starts = pa.array(np.concatenate([[0], np.cumsum(wait)])[bounds], pa.int32())
+                    sums += [pa.ListArray.from_arrays(starts, pa.array(x[wait])) for x in (as_signed(grams[-1]), p.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in batch.columns[1:]), pa.array(np.diff(bounds)), *sums],
-                                                 names=[*batch.schema.names[1:], "n_tokens", "log10_trusted", "gain", "peak", "log10_other"])
-
-    schema = StructType([*rows.schema.fields[1:]]).add("n_tokens", "long").add("log10_trusted", "double").add("gain", "double").add("peak", "double").add("log10_other", "double")
-    return rows.mapInArrow(rate, schema)
+                                                 names=[*batch.schema.names[1:], *measures])
+
+    measures = ["n_tokens", "log10_trusted", "gain", "peak", "log10_other", *(["__grams", "__p"] if joined else [])]
+    kinds = ["long", "double", "double", "double", "double", ArrayType(LongType()), ArrayType(FloatType())]
+    schema = reduce(lambda made, x: made.add(*x), zip(measures, kinds), StructType([*rows.schema.fields[1:]]))
+    out = rows.mapInArrow(rate, schema)
+    if not joined:
+        return out.drop("__row")
+    out = settle(out, "scores")
+    waiting = out.select("__row", F.explode(F.arrays_zip("__grams", "__p")).alias("__w")).select("__row", F.col("__w.__grams").alias("gram"), F.col("__w.__p").alias("p"))
+    # What the share adds to a probability without it.
+    more = (waiting.join(trusted.rare.hint("merge"), "gram").groupBy("__row")
+            .agg(F.sum(F.log10(1 + F.col("share").cast("double") / F.col("p"))).alias("__more")))
+    return (out.drop("__grams", "__p").join(more.hint("merge"), "__row", "left").drop("__row")
+            .withColumn("log10_trusted", F.col("log10_trusted") + F.coalesce("__more", F.lit(0.0))).drop("__more"))
 
 
 def _limits(seen: DataFrame) -> tuple[DataFrame, Row]:
@@ -207,15 +248,14 @@ def _drawn() -> tuple[Column, Column, Column, Column]:
     return s, p, o, F.col("peak") - F.col("growth") * _length()
 
 
-def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), sample: int = SAMPLE, order: int = ORDER) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_id", "lang"), order: int = ORDER) -> DataFrame:
     """One row per document: `carry`, n_tokens, perplexity, strangeness and peak with their limits, kept. docs: (doc_id,
     lang, text), ids whole numbers, with any further columns, of which `carry` says what comes out; those named like
     one of the results do not.
 
     labels: (doc_id, quality, toxic). Trusted are quality 1 and not toxic; quality 0 or toxic ones teach the other
-    model; several labels of a document count as the worst. `sample` bounds the documents that a model learns from,
-    by a hash of their ids, whatever their language and kind; README has what is missed at several bounds. All documents
-    are scored whole.
+    model; several labels of a document count as the worst. The models learn from all of them, but for a part UNSEEN of
+    the trusted, all of which the limits are measured on. All documents are scored whole.
     Three measures have limits by language, each with the part TAIL of unseen trusted documents beyond it: perplexity of
     the whole n-gram model, on both sides (below, only if single words are as predictable for the other model, which did
     not learn from trusted documents: these and their copies are expected to be below); strangeness, the mean gain per word of the mixture over the trusted model; and
@@ -230,9 +270,8 @@ def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good, bad = F.expr("quality = 1 and coalesce(toxic, 0) = 0"), F.expr("quality = 0 or toxic = 1")
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * UNSEEN)
-    first = lambda who: who.orderBy(F.xxhash64(F.lit(1), "doc_id")).limit(sample).select("doc_id", "good")
-    chosen = first(judged.where(good & ~roll).withColumn("good", F.lit(True))).unionAll(first(judged.where(bad).withColumn("good", F.lit(False))))
-    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "lessons")
+    chosen = judged.select("doc_id", F.when(bad, False).when(good & ~roll, True).alias("good")).where("good is not null")
+    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "lessons")
     models = [train(texts.where("good"), order), train(texts.where("not good"), order)]
     own = [c for c in carry if c not in ("n_tokens", "perplexity", "perplexity_least", "perplexity_limit", "strangeness", "limit", "peak", "peak_limit", "kept")]
     if models[0] is None:

@@ -157,3 +157,29 @@ def test_carried_columns_of_any_name(spark):
     got = Q.classify(rows, labels, carry).collect()
     assert sorted((r.text, r.gain, r.log10_trusted, r.log10_other, r.of, r.sm) for r in got) == sorted((t, "a", "b", "c", "e", "f") for _, t, _ in docs)
     assert {"doc_id", "lang"}.isdisjoint(got[0].asDict())
+
+
+@pytest.mark.parametrize("frequent", [0, 5, 40])
+def test_probabilities_by_join(spark, monkeypatch, frequent):
+    """Pairs of words that are not sent to the tasks count as well."""
+    monkeypatch.setattr(Q, "FREQUENT", frequent)
+    random.seed(5)
+    texts = [" ".join(random.choices("abcdefgh", weights=[9, 7, 5, 3, 2, 1, 1, 1], k=random.randint(0, 30))) for _ in range(40)]
+    model = Q.train(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), 2)
+    assert model.rare is not None
+    plain, asked = Plain(texts, 2), ["a b a z", "h h h", "", None, *texts[:5], texts[0]]
+    rows = spark.createDataFrame([(i % 8, t) for i, t in enumerate(asked)], "doc_id long, text string")
+    got = Q.score(rows, model, model, ("doc_id", "text"), 2).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i % 8, t or "") for i, t in enumerate(asked))
+    for r in got:
+        assert r.log10_trusted == pytest.approx(sum(math.log10(plain.p(g)) for g in plain.grams(r.text, 2)), rel=1e-5)
+
+
+def test_models_learn_from_all_labelled_documents(spark, monkeypatch):
+    learned, train = [], Q.train
+    monkeypatch.setattr(Q, "train", lambda docs, order: learned.append(docs.count()) or train(docs, order))
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id % 89) AS text", "'en' AS lang")
+    labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
+    assert Q.classify(docs, labels).count() == 6000
+    roll = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * Q.UNSEEN)
+    assert learned == [labels.where((F.col("quality") == 1) & ~roll).count(), 3000] and min(learned) > 2000
