@@ -67,9 +67,9 @@ def _contexts(grams: list[np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def gram_counts(docs: DataFrame, order: int = ORDER, whole: bool = True) -> DataFrame:
     """(g1 ... gN, c2 ... cN, n): for each n-gram of the highest order its count, the hashes of all its endings g, and of
-    what stands before the last word of each ending, c."""
+    what stands before the last word of each ending, c. Not `whole`, its own hash gN, which the others tell, is left out."""
     names = [f"g{n}" for n in range(1, order + 1)] + [f"c{n}" for n in range(2, order + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,8 +80,9 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                     columns = [pa.array(as_signed(x[at])) for x in [*grams, *_contexts(grams, bounds)]]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*names, "n"])
 
+    told = names if whole or order == 1 else [c for c in names if c != f"g{order}"]
     return (docs.select(F.col("text").cast("string")).mapInArrow(count, ", ".join(f"{c} long" for c in names) + ", n long")
-            .groupBy(*names).agg(F.sum("n").alias("n")))
+            .groupBy(*told).agg(F.sum("n").alias("n")))
 
 
 @dataclass
@@ -113,13 +114,18 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
-def train(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
-    """The model of all documents given; None if there are none."""
+def train(docs: DataFrame, order: int = ORDER, asked: int | None = None) -> KneserNey | None:
+    """The model of all documents given, with the n-grams up to the order `asked` only if that is lower; None if there are none."""
     shares: list[Lookup] = []
     rests: list[Lookup] = []
     rare = None
-    table = settle(gram_counts(docs, order), "grams")
+    asked = min(order, asked or order)
+    table = settle(gram_counts(docs, order, asked == order), "grams")
     for n in range(order, 0, -1):
+        lower = [f"g{k}" for k in range(1, n)] + [f"c{k}" for k in range(2, n)]
+        if n > asked:
+            table = settle(table.groupBy(*lower).agg(F.count("*").alias("n")), "grams")
+            continue
         d = _discounts(table)
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
         if n == 1:
@@ -133,7 +139,7 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
         totals = counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("spared"))
         share = ((F.col("n") - cut) / F.col("total")).cast("float").alias("share")
         own = counted.join(totals, "context").select("gram", share, "n")
-        least = _least_frequent(counted) if n == order else 1
+        least = _least_frequent(counted) if n == asked else 1
         if least > 1:
             own = settle(own, "shares")
             rare = own.where(F.col("n") < least).select("gram", "share")
@@ -142,7 +148,6 @@ def train(docs: DataFrame, order: int = ORDER) -> KneserNey | None:
         shares.insert(0, Lookup(own.column(0).to_numpy(), own.column(1).to_numpy().astype(np.float32)))
         rests.insert(0, Lookup(left.column(0).to_numpy(), left.column(1).to_numpy().astype(np.float32)))
         # Lower orders count different words before an n-gram, not occurrences.
-        lower = [f"g{k}" for k in range(1, n)] + [f"c{k}" for k in range(2, n)]
         table = settle(table.groupBy(*lower).agg(F.count("*").alias("n")), "grams")
     return None
 
@@ -272,7 +277,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * UNSEEN)
     chosen = judged.select("doc_id", F.when(bad, False).when(good & ~roll, True).alias("good")).where("good is not null")
     texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "lessons")
-    models = [train(texts.where("good"), order), train(texts.where("not good"), order)]
+    models = [train(texts.where("good"), order), train(texts.where("not good"), order, 1)]
     own = [c for c in carry if c not in ("n_tokens", "perplexity", "perplexity_least", "perplexity_limit", "strangeness", "limit", "peak", "peak_limit", "kept")]
     if models[0] is None:
         null = F.lit(None).cast("double")

@@ -177,9 +177,19 @@ def test_probabilities_by_join(spark, monkeypatch, frequent):
 
 def test_models_learn_from_all_labelled_documents(spark, monkeypatch):
     learned, train = [], Q.train
-    monkeypatch.setattr(Q, "train", lambda docs, order: learned.append(docs.count()) or train(docs, order))
+    monkeypatch.setattr(Q, "train", lambda docs, *more: learned.append(docs.count()) or train(docs, *more))
     docs = spark.range(6000).selectExpr("id AS doc_id", "concat('w', id % 97, ' v', id % 89) AS text", "'en' AS lang")
     labels = spark.range(6000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS quality", "0 AS toxic")
     assert Q.classify(docs, labels).count() == 6000
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * Q.UNSEEN)
     assert learned == [labels.where((F.col("quality") == 1) & ~roll).count(), 3000] and min(learned) > 2000
+
+
+def test_words_alone(spark):
+    random.seed(6)
+    texts = [" ".join(random.choices("abcdefgh", weights=[9, 7, 5, 3, 2, 1, 1, 1], k=random.randint(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    whole, words = Q.train(docs, 2), Q.train(docs, 2, 1)
+    grams = next(Q._grams(Q.pa.array(texts), 1))[3]
+    assert len(words.shares) == 1 and words.unknown == whole.unknown
+    assert words.probability(grams, []).tolist() == whole.probability(grams, []).tolist()
