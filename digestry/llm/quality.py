@@ -2,13 +2,16 @@
 
 One model learns from trusted text, one from the same and from text known to be bad; counts and the quantities of both are joins and
 groupings of n-gram tables sharded by hash. Words and frequent n-grams go to the tasks that score; documents meet all other
-n-grams of the highest order by a join. A document's perplexity under the trusted model, in proportion to its
+n-grams of the highest order by a join. Counting and joining go slice by slice of the contexts, so that little lies on disk at a
+time. A document's perplexity under the trusted model, in proportion to its
 perplexity under the other, is held against the tails of its language among trusted documents that neither model saw.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -16,15 +19,20 @@ from operator import and_
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, LongType, StructType
+from pyspark.sql.types import StructType
 
 from digestry.llm.words import Lookup, as_signed, mix, words
-from digestry.session import settle
+from digestry.session import discard, settle, shuffles_end_with_queries
 
 ORDER = 2
 FREQUENT = 1_000_000  # most n-grams of the highest order that are sent to the tasks; documents are joined with the others
+SLICES = 6          # rounds in which n-grams of the highest order are counted
+SLICE_BYTES = 1 << 21  # least text of a round
+TOGETHER = 2        # slices that meet the documents at a time
+SKETCH, BLOCKS = 1 << 26, 64  # bits, in blocks, that tell most n-grams of the documents that no share waits for; never a result
 UNSEEN = 0.2        # part of the trusted labelled documents kept for the thresholds
 TAIL = 0.005        # part of a language's trusted documents beyond each limit
 HIGH = 0.8          # quantile from which a tail is taken to fall exponentially
@@ -67,17 +75,25 @@ def _contexts(grams: list[np.ndarray], bounds: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def gram_counts(docs: DataFrame, order: int = ORDER, whole: bool = True) -> DataFrame:
-    """(g1 ... gN, c2 ... cN, n): for each n-gram of the highest order its count, the hashes of all its endings g, and of
-    what stands before the last word of each ending, c. Not `whole`, its own hash gN, which the others tell, is left out."""
+def _slice(grams: list[np.ndarray], contexts: list[np.ndarray], slices: int) -> np.ndarray:
+    """In which slice the n-grams of the highest order are: all of a context in the same one."""
+    return ((contexts[-1] if contexts else grams[-1]) >> np.uint64(32)) % np.uint64(slices)
+
+
+def gram_counts(docs: DataFrame, order: int = ORDER, whole: bool = True, part: int = 0, slices: int = 1) -> DataFrame:
+    """(g1 ... gN, c2 ... cN, n): for each n-gram of the highest order in the slice `part` its count, the hashes of all its
+    endings g, and of what stands before the last word of each ending, c. Not `whole`, its own hash gN, which the others tell,
+    is left out."""
     names = [f"g{n}" for n in range(1, order + 1)] + [f"c{n}" for n in range(2, order + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, bounds, grams in _grams(batch.column(0), order):
-                if len(grams[0]):
-                    _, at, n = np.unique(grams[-1], return_index=True, return_counts=True)
-                    columns = [pa.array(as_signed(x[at])) for x in [*grams, *_contexts(grams, bounds)]]
+                contexts = _contexts(grams, bounds)
+                mine = np.flatnonzero(_slice(grams, contexts, slices) == part)
+                if len(mine):
+                    _, at, n = np.unique(grams[-1][mine], return_index=True, return_counts=True)
+                    columns = [pa.array(as_signed(x[mine[at]])) for x in [*grams, *contexts]]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(n)], [*names, "n"])
 
     told = names if whole or order == 1 else [c for c in names if c != f"g{order}"]
@@ -87,13 +103,16 @@ def gram_counts(docs: DataFrame, order: int = ORDER, whole: bool = True) -> Data
 
 @dataclass
 class KneserNey:
-    """Per order from 1: discounted share of each n-gram; per order from 2: what its context leaves to shorter ones.
-    `rare` has the n-grams (gram, share) of the highest order that are not among its shares, if any."""
+    """For each word its discounted share; per order from 2 the discounted count of each n-gram, and by context, as real and
+    imaginary part, what it leaves to shorter ones and by what its counts are multiplied to be shares.
+    `rare` has the n-grams (gram, n: discounted count) of the highest order that are not among its shares, if any, by slice; their
+    bits are set in `sketch`."""
 
     shares: list[Lookup]
     rests: list[Lookup]
     unknown: float
-    rare: DataFrame | None = None
+    rare: list[DataFrame] | None = None
+    sketch: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "rare": None}  # tasks get what is in memory
@@ -101,9 +120,45 @@ class KneserNey:
     def probability(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         p = self.shares[0].get(as_signed(grams[0]), 0.0).astype(float) + self.unknown
         for n in range(1, len(grams)):
-            p = self.shares[n].get(as_signed(grams[n]), 0.0) + self.rests[n - 1].get(as_signed(contexts[n - 1]), 1.0) * p
+            rest = self.rests[n - 1].get(as_signed(contexts[n - 1]), 1.0)
+            p = self.shares[n].get(as_signed(grams[n]), 0.0) * rest.imag + rest.real * p
         return p
 
+    def waiting(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Which n-grams have no count in memory but may have one elsewhere, as the model knows their context and word; and what
+        each would add to its probability for every count, in proportion to the probability."""
+        met = np.flatnonzero(np.logical_and.reduce([self.sketch[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 for bit in _bits(grams[-1])]))
+        grams, contexts = [g[met] for g in grams], [c[met] for c in contexts]
+        rest = self.rests[-1].get(as_signed(contexts[-1]), 1.0)
+        at = np.flatnonzero((rest.imag > 0) & (self.shares[-1].get(as_signed(grams[-1]), 0.0) == 0) & (self.shares[0].get(as_signed(grams[0]), 0.0) > 0))
+        return met[at], (rest.imag[at] / self.probability([g[at] for g in grams], [c[at] for c in contexts])).astype(np.float32)
+
+
+def _bits(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return grams & np.uint64(SKETCH - 1), (grams >> np.uint64(32)) & np.uint64(SKETCH - 1)
+
+
+def _sketch(grams: DataFrame) -> np.ndarray:
+    """Both bits of every n-gram."""
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.zeros(SKETCH, bool)
+        for batch in batches:
+            for bit in _bits(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
+                marks[bit] = True
+        for i, block in enumerate(np.packbits(marks, bitorder="little").reshape(BLOCKS, -1)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([block.tobytes()], pa.binary())], ["block", "bits"])
+
+    def merge(blocks: pa.Table) -> pa.Table:
+        bits = reduce(np.bitwise_or, (np.frombuffer(x.as_py(), np.uint8) for x in blocks["bits"]))
+        return pa.table({"block": blocks["block"].slice(0, 1), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    schema = "block int, bits binary"
+    out = np.zeros((BLOCKS, SKETCH // 8 // BLOCKS), np.uint8)
+    for row in grams.select("gram").mapInArrow(mark, schema).groupBy("block").applyInArrow(merge, schema).toArrow().to_pylist():
+        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
 
 def _discounts(table: DataFrame) -> list[float]:
     """Modified Kneser-Ney discounts for counts of 1, 2 and more, from how many n-grams occur 1, 2, 3 and 4 times."""
@@ -114,42 +169,64 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw)]
 
 
+def _slices(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(SLICES, 1 + size // SLICE_BYTES)
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
 def train(docs: DataFrame, order: int = ORDER, asked: int | None = None) -> KneserNey | None:
     """The model of all documents given, with the n-grams up to the order `asked` only if that is lower; None if there are none."""
     shares: list[Lookup] = []
     rests: list[Lookup] = []
     rare = None
     asked = min(order, asked or order)
-    table = settle(gram_counts(docs, order, asked == order), "grams")
-    for n in range(order, 0, -1):
+    slices = _slices(docs)
+    tables = (settle(gram_counts(docs, order, asked == order, k, slices), "counted") for k in range(slices))
+    for n in range(order, 1, -1):
         lower = [f"g{k}" for k in range(1, n)] + [f"c{k}" for k in range(2, n)]
+        own, contexts, below = [], [], []
+        for table in tables:
+            if n <= asked:
+                own.append(settle(table.select(F.col(f"g{n}").alias("gram"), "n"), "grams"))
+                contexts.append(settle(table.groupBy(F.col(f"c{n}").alias("context")).agg(
+                    F.sum("n").alias("total"), *(F.sum(x.cast("long")).alias(f"k{i}") for i, x in enumerate((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2)))), "contexts"))
+            # Lower orders count different words before an n-gram, not occurrences.
+            below.append(settle(table.groupBy(*lower).agg(F.count("*").alias("n")), "below"))
+            discard(table)
+        tables = [settle(_union(below).groupBy(*lower).agg(F.sum("n").alias("n")), "counted")]
+        discard(*below)
         if n > asked:
-            table = settle(table.groupBy(*lower).agg(F.count("*").alias("n")), "grams")
             continue
-        d = _discounts(table)
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        if n == 1:
-            whole = table.agg(F.sum("n").alias("total"), F.sum(cut).alias("spared")).first()
-            own = table.select("g1", ((F.col("n") - cut) / F.lit(whole.total)).alias("share")).toArrow()
-            if not own.num_rows:
-                return None
-            shares.insert(0, Lookup(own.column(0).to_numpy(), own.column(1).to_numpy().astype(np.float32)))
-            return KneserNey(shares, rests, float(whole.spared) / whole.total / (own.num_rows + 1), rare)
-        counted = table.select(F.col(f"g{n}").alias("gram"), F.col(f"c{n}").alias("context"), "n")
-        totals = counted.groupBy("context").agg(F.sum("n").alias("total"), F.sum(cut).alias("spared"))
-        share = ((F.col("n") - cut) / F.col("total")).cast("float").alias("share")
-        own = counted.join(totals, "context").select("gram", share, "n")
-        least = _least_frequent(counted) if n == asked else 1
+        d = _discounts(_union(own))
+        least = _least_frequent(_union(own)) if n == asked else 1
         if least > 1:
-            own = settle(own, "shares")
-            rare = own.where(F.col("n") < least).select("gram", "share")
-        own = own.where(F.col("n") >= least).select("gram", "share").toArrow()
-        left = totals.select("context", (F.col("spared") / F.col("total")).alias("rest")).toArrow()
-        shares.insert(0, Lookup(own.column(0).to_numpy(), own.column(1).to_numpy().astype(np.float32)))
-        rests.insert(0, Lookup(left.column(0).to_numpy(), left.column(1).to_numpy().astype(np.float32)))
-        # Lower orders count different words before an n-gram, not occurrences.
-        table = settle(table.groupBy(*lower).agg(F.count("*").alias("n")), "grams")
-    return None
+            rare = [x.where(F.col("n") < least).select("gram", _discounted(d).alias("n")) for x in own]
+        known = _union(own).where(F.col("n") >= least).select("gram", _discounted(d)).toArrow()
+        spared = sum(F.col(f"k{i}") * d[i] for i in range(3))
+        left = _union(contexts).select("context", (spared / F.col("total")).cast("float"), (1 / F.col("total")).cast("float")).toArrow()
+        discard(*contexts, *(own if least == 1 else []))
+        shares.insert(0, Lookup(known.column(0).to_numpy(), known.column(1).to_numpy().astype(np.float32)))
+        rests.insert(0, Lookup(left.column(0).to_numpy(), left.column(1).to_numpy() + np.complex64(1j) * left.column(2).to_numpy()))
+    tables = list(tables)
+    table = _union(tables)
+    d = _discounts(table)
+    whole = table.agg(F.sum("n").alias("total"), F.sum(F.col("n") - _discounted(d)).alias("spared")).first()
+    known = table.select("g1", (_discounted(d) / F.lit(whole.total)).alias("share")).toArrow()
+    discard(*tables)
+    if not known.num_rows:
+        return None
+    shares.insert(0, Lookup(known.column(0).to_numpy(), known.column(1).to_numpy().astype(np.float32)))
+    return KneserNey(shares, rests, float(whole.spared) / whole.total / (known.num_rows + 1), rare, _sketch(_union(rare)) if rare else None)
+
+
+def _discounted(d: list[float]) -> Column:
+    """A count less its discount."""
+    n = F.col("n")
+    return n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
 def _least_frequent(counted: DataFrame) -> int:
@@ -172,45 +249,79 @@ def _peaks(gain: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(passages, bounds[:-1])
 
 
+class _Compressed:
+    def __init__(self, data: bytes) -> None:
+        self.data = zlib.compress(data, 1)
+
+    def __reduce__(self) -> tuple:
+        return zlib.decompress, (self.data,)
+
+
+class _ByValue:
+    """What a broadcast of it holds in tasks is the model itself, though they may lack this module."""
+
+    def __init__(self, model: KneserNey | None) -> None:
+        self.data = _Compressed(cloudpickle.dumps(model))
+
+    def __reduce__(self) -> tuple:
+        return pickle.loads, (self.data,)
+
+
 def score(docs: DataFrame, trusted: KneserNey, other: KneserNey | None, carry: tuple[str, ...], order: int = ORDER) -> DataFrame:
     """`carry` columns of docs, n_tokens (the end included), log10_trusted of each text, and gain: by how much log10 of
     its words' probabilities grow if each may come from bad text with probability MIXED (0.0 without such a model);
     peak is the largest gain of WINDOW tokens in a row, or of the whole of a shorter text; log10_other is that of the
     other model's single words, null without it."""
-    at = carry.index("text") + 2 if "text" in carry else 0
-    rows = docs.select(F.lit(None).cast("string").alias("__text") if at else F.col("text").cast("string").alias("__text"), F.monotonically_increasing_id().alias("__row"), *carry)
+    at = carry.index("text") + 1 if "text" in carry else 0
+    text = F.col("text").cast("string")
+    key = F.xxhash64(text).alias("__key")
+    rows = docs.select(F.lit(None).cast("string").alias("__text") if at else text.alias("__text"), *carry, key)
     joined = trusted.rare is not None
+    # Sent once for all rounds, made once in each worker.
+    sent, sent_other = (docs.sparkSession.sparkContext.broadcast(_ByValue(model)) for model in (trusted, other))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trusted, other = sent.value, sent_other.value
         for batch in batches:
             for first, last, bounds, grams in _grams(batch.column(at), order):
-                contexts = _contexts(grams, bounds)
-                p = trusted.probability(grams, contexts)
+                p = trusted.probability(grams, _contexts(grams, bounds))
                 bad = other.probability(grams[:1], []) if other else None
                 gain = np.log10(1 - MIXED + MIXED * bad / trusted.probability(grams[:1], [])) if other else np.zeros(len(p))
                 sums = [pa.array(np.add.reduceat(x, bounds[:-1])) for x in (np.log10(p), gain)]
                 sums += [pa.array(_peaks(gain, bounds)), pa.array(np.add.reduceat(np.log10(bad), bounds[:-1])) if other else pa.nulls(last - first, pa.float64())]
-                if joined:
-                    # Without a share in memory; one elsewhere needs a context and a word that the model knows.
-                    wait = ((trusted.shares[-1].get(as_signed(grams[-1]), 0.0) == 0) & (trusted.rests[-1].get(as_signed(contexts[-1]), 1.0) < 1)
-                            & (trusted.shares[0].get(as_signed(grams[0]), 0.0) > 0))
-                    starts = pa.array(np.concatenate([[0], np.cumsum(wait)])[bounds], pa.int32())
-                    sums += [pa.ListArray.from_arrays(starts, pa.array(x[wait])) for x in (as_signed(grams[-1]), p.astype(np.float32))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in batch.columns[1:]), pa.array(np.diff(bounds)), *sums],
                                                  names=[*batch.schema.names[1:], *measures])
 
-    measures = ["n_tokens", "log10_trusted", "gain", "peak", "log10_other", *(["__grams", "__p"] if joined else [])]
-    kinds = ["long", "double", "double", "double", "double", ArrayType(LongType()), ArrayType(FloatType())]
-    schema = reduce(lambda made, x: made.add(*x), zip(measures, kinds), StructType([*rows.schema.fields[1:]]))
+    measures = ["n_tokens", "log10_trusted", "gain", "peak", "log10_other"]
+    schema = reduce(lambda made, x: made.add(*x), zip(measures, ["long", "double", "double", "double", "double"]), StructType([*rows.schema.fields[1:]]))
     out = rows.mapInArrow(rate, schema)
     if not joined:
-        return out.drop("__row")
-    out = settle(out, "scores")
-    waiting = out.select("__row", F.explode(F.arrays_zip("__grams", "__p")).alias("__w")).select("__row", F.col("__w.__grams").alias("gram"), F.col("__w.__p").alias("p"))
-    # What the share adds to a probability without it.
-    more = (waiting.join(trusted.rare.hint("merge"), "gram").groupBy("__row")
-            .agg(F.sum(F.log10(1 + F.col("share").cast("double") / F.col("p"))).alias("__more")))
-    return (out.drop("__grams", "__p").join(more.hint("merge"), "__row", "left").drop("__row")
+        return out.drop("__key")
+    slices = len(trusted.rare)
+
+    def waiting(part: int) -> DataFrame:
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            trusted = sent.value
+            for batch in batches:
+                for first, last, bounds, grams in _grams(batch.column(0), order):
+                    contexts = _contexts(grams, bounds)
+                    mine = np.flatnonzero(_slice(grams, contexts, slices) // np.uint64(TOGETHER) == part)
+                    found, more = trusted.waiting([g[mine] for g in grams], [c[mine] for c in contexts])
+                    mine = mine[found]
+                    keys = batch.column(1).to_numpy(zero_copy_only=False)[first:last].repeat(np.diff(bounds))[mine]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(as_signed(grams[-1][mine])), pa.array(more)], ["__key", "gram", "more"])
+
+        return docs.select(text, key).mapInArrow(find, "__key long, gram long, more float")
+
+    # What the shares elsewhere add follows from the text, so equal texts are told by one key, and get the mean of theirs.
+    found = [docs.groupBy(key).agg(F.count("*").alias("__n"), F.lit(0.0).alias("__more"))]
+    for part in range(math.ceil(slices / TOGETHER)):
+        rare = _union(trusted.rare[part * TOGETHER:(part + 1) * TOGETHER])
+        met = waiting(part).join(rare.hint("merge"), "gram").groupBy("__key").agg(F.sum(F.log10(1 + F.col("n") * F.col("more").cast("double"))).alias("__more"))
+        found.append(settle(met.withColumn("__n", F.lit(0).cast("long")), "met"))
+    more = settle(_union(found).groupBy("__key").agg((F.sum("__more") / F.sum("__n")).alias("__more")), "more")
+    discard(*found[1:])
+    return (out.join(more, "__key", "left").drop("__key")
             .withColumn("log10_trusted", F.col("log10_trusted") + F.coalesce("__more", F.lit(0.0))).drop("__more"))
 
 
@@ -271,13 +382,20 @@ def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_
     enough trusted documents to measure has the limits of all together. A text without words, or any text if nothing is
     labelled trusted, has null measures and is kept.
     """
+    with shuffles_end_with_queries(docs.sparkSession):
+        return _classified(docs, labels, carry, order)
+
+
+def _classified(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...], order: int) -> DataFrame:
     judged = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good, bad = F.expr("quality = 1 and coalesce(toxic, 0) = 0"), F.expr("quality = 0 or toxic = 1")
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * UNSEEN)
     chosen = judged.select("doc_id", F.when(bad, False).when(good & ~roll, True).alias("good")).where("good is not null")
+    chosen = settle(chosen, "chosen")  # its size is known then; guessed too large, all texts would be shuffled
     texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "lessons")
     models = [train(texts.where("good"), order), train(texts.where("not good"), order, 1)]
+    discard(texts)
     own = [c for c in carry if c not in ("n_tokens", "perplexity", "perplexity_least", "perplexity_limit", "strangeness", "limit", "peak", "peak_limit", "kept")]
     if models[0] is None:
         null = F.lit(None).cast("double")
@@ -288,6 +406,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...] = ("doc_
     held_as = {c: "text" if c == "text" else f"__c{i}" for i, c in enumerate(own)}
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", *[F.col(c).alias(n) for c, n in held_as.items() if c != "text"])
     scored = score(named, models[0], models[1], ("doc_id", "lang", *held_as.values()), order)
+    discard(*models[0].rare or [])
     scored = settle(scored.withColumn("__s", F.when(n > 1, F.col("gain") / n)).withColumn("__p", F.when(n > 1, -F.col("log10_trusted") / n))
                     .withColumn("__o", F.when(n > 1, -F.col("log10_other") / n)), "quality")
     seen = scored.where("__s is not null").join(judged.where(good & roll).select("doc_id"), "doc_id", "left_semi")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +58,25 @@ def settle(rows: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `settle` wrote and nothing reads any more."""
+    for rows in tables:
+        context = rows.sparkSession.sparkContext
+        for folder in {file.rsplit("/", 1)[0] for file in rows.inputFiles()}:
+            path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def shuffles_end_with_queries(spark: SparkSession) -> Iterator[None]:
+    """Within, what a query shuffled is deleted when the query ends, not when the driver's garbage is collected: for steps
+    that go on from written tables."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)

@@ -193,3 +193,39 @@ def test_words_alone(spark):
     grams = next(Q._grams(Q.pa.array(texts), 1))[3]
     assert len(words.shares) == 1 and words.unknown == whole.unknown
     assert words.probability(grams, []).tolist() == whole.probability(grams, []).tolist()
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 10_000])
+def test_slices_give_the_whole(spark, monkeypatch, frequent):
+    """Counting and joining slice by slice gives the probabilities of the whole model, of copies too, and leaves no table behind that is not read."""
+    from digestry.session import scratch_root
+
+    folder = scratch_root(spark) + "/digestry"
+    monkeypatch.setattr(Q, "FREQUENT", frequent)
+    monkeypatch.setattr(Q, "SLICE_BYTES", 100)
+    random.seed(5)
+    texts = [" ".join(random.choices("abcdefgh", weights=[9, 7, 5, 3, 2, 1, 1, 1], k=random.randint(0, 30))) for _ in range(60)]
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    lessons = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert Q._slices(lessons) == Q.SLICES
+    model = Q.train(lessons, 2)
+    made = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert made == ({"grams"} if frequent < 100 else set())
+    assert (model.rare is None) == (frequent == 10_000)
+    plain, asked = Plain(texts, 2), ["a b a z", "h h h", "", None, *texts[:5], texts[0], texts[0], texts[1].upper()]
+    rows = spark.createDataFrame([(i % 8, t) for i, t in enumerate(asked)], "doc_id long, text string").repartition(3)
+    got = Q.score(rows, model, model, ("doc_id", "text"), 2).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted((i % 8, t or "") for i, t in enumerate(asked))
+    for r in got:
+        assert r.log10_trusted == pytest.approx(sum(math.log10(plain.p(g)) for g in plain.grams(r.text, 2)), rel=1e-5)
+
+
+def test_shuffled_rows_go_with_their_query(spark, monkeypatch):
+    """The setting holds while the models learn, and the session gets its own back."""
+    setting, seen, train = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", [], Q.train
+    before = spark.conf.get(setting, None)
+    monkeypatch.setattr(Q, "train", lambda *given: seen.append(spark.conf.get(setting)) or train(*given))
+    docs, labels = corpus()
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic boolean")
+    assert Q.classify(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(docs)
+    assert seen == ["true", "true"] and spark.conf.get(setting, None) == before
