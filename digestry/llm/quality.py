@@ -103,12 +103,13 @@ def gram_counts(docs: DataFrame, order: int = ORDER, whole: bool = True, part: i
 
 @dataclass
 class KneserNey:
-    """For each word its discounted share; per order from 2 the discounted count of each n-gram, and by context, as real and
-    imaginary part, what it leaves to shorter ones and by what its counts are multiplied to be shares.
+    """For each word its discounted share; per order from 2 the count of each n-gram, what to take off counts of 0, 1, 2 and
+    more, and by context, as real and imaginary part, what it leaves to shorter ones and the sum of its counts.
     `rare` has the n-grams (gram, n: discounted count) of the highest order that are not among its shares, if any, by slice; their
     bits are set in `sketch`."""
 
     shares: list[Lookup]
+    discounts: list[np.ndarray]
     rests: list[Lookup]
     unknown: float
     rare: list[DataFrame] | None = None
@@ -120,8 +121,10 @@ class KneserNey:
     def probability(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> np.ndarray:
         p = self.shares[0].get(as_signed(grams[0]), 0.0).astype(float) + self.unknown
         for n in range(1, len(grams)):
-            rest = self.rests[n - 1].get(as_signed(contexts[n - 1]), 1.0)
-            p = self.shares[n].get(as_signed(grams[n]), 0.0) * rest.imag + rest.real * p
+            rest = self.rests[n - 1].get(as_signed(contexts[n - 1]), 1 + 1j)
+            count = self.shares[n].get(as_signed(grams[n]), 0.0)
+            share = (count - self.discounts[n - 1][np.minimum(count, 3).astype(int)]) / rest.imag
+            p = share.astype(np.float32) + rest.real * p
         return p
 
     def waiting(self, grams: list[np.ndarray], contexts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -129,9 +132,9 @@ class KneserNey:
         each would add to its probability for every count, in proportion to the probability."""
         met = np.flatnonzero(np.logical_and.reduce([self.sketch[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 for bit in _bits(grams[-1])]))
         grams, contexts = [g[met] for g in grams], [c[met] for c in contexts]
-        rest = self.rests[-1].get(as_signed(contexts[-1]), 1.0)
-        at = np.flatnonzero((rest.imag > 0) & (self.shares[-1].get(as_signed(grams[-1]), 0.0) == 0) & (self.shares[0].get(as_signed(grams[0]), 0.0) > 0))
-        return met[at], (rest.imag[at] / self.probability([g[at] for g in grams], [c[at] for c in contexts])).astype(np.float32)
+        rest = self.rests[-1].get(as_signed(contexts[-1]), 1 + 1j)
+        at = np.flatnonzero((rest.real < 1) & (self.shares[-1].get(as_signed(grams[-1]), 0.0) == 0) & (self.shares[0].get(as_signed(grams[0]), 0.0) > 0))
+        return met[at], (1 / (rest.imag[at] * self.probability([g[at] for g in grams], [c[at] for c in contexts]))).astype(np.float32)
 
 
 def _bits(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -181,6 +184,7 @@ def _union(tables: list[DataFrame]) -> DataFrame:
 def train(docs: DataFrame, order: int = ORDER, asked: int | None = None) -> KneserNey | None:
     """The model of all documents given, with the n-grams up to the order `asked` only if that is lower; None if there are none."""
     shares: list[Lookup] = []
+    discounts: list[np.ndarray] = []
     rests: list[Lookup] = []
     rare = None
     asked = min(order, asked or order)
@@ -205,11 +209,12 @@ def train(docs: DataFrame, order: int = ORDER, asked: int | None = None) -> Knes
         least = _least_frequent(_union(own)) if n == asked else 1
         if least > 1:
             rare = [x.where(F.col("n") < least).select("gram", _discounted(d).alias("n")) for x in own]
-        known = _union(own).where(F.col("n") >= least).select("gram", _discounted(d)).toArrow()
+        known = _union(own).where(F.col("n") >= least).select("gram", "n").toArrow()
         spared = sum(F.col(f"k{i}") * d[i] for i in range(3))
-        left = _union(contexts).select("context", (spared / F.col("total")).cast("float"), (1 / F.col("total")).cast("float")).toArrow()
+        left = _union(contexts).select("context", (spared / F.col("total")).cast("float"), F.col("total").cast("float")).toArrow()
         discard(*contexts, *(own if least == 1 else []))
         shares.insert(0, Lookup(known.column(0).to_numpy(), known.column(1).to_numpy().astype(np.float32)))
+        discounts.insert(0, np.array([0.0, *d]))
         rests.insert(0, Lookup(left.column(0).to_numpy(), left.column(1).to_numpy() + np.complex64(1j) * left.column(2).to_numpy()))
     tables = list(tables)
     table = _union(tables)
@@ -220,7 +225,7 @@ def train(docs: DataFrame, order: int = ORDER, asked: int | None = None) -> Knes
     if not known.num_rows:
         return None
     shares.insert(0, Lookup(known.column(0).to_numpy(), known.column(1).to_numpy().astype(np.float32)))
-    return KneserNey(shares, rests, float(whole.spared) / whole.total / (known.num_rows + 1), rare, _sketch(_union(rare)) if rare else None)
+    return KneserNey(shares, discounts, rests, float(whole.spared) / whole.total / (known.num_rows + 1), rare, _sketch(_union(rare)) if rare else None)
 
 
 def _discounted(d: list[float]) -> Column:
