@@ -397,7 +397,6 @@ def _classified(docs: DataFrame, labels: DataFrame, carry: tuple[str, ...], orde
     good, bad = F.expr("quality = 1 and coalesce(toxic, 0) = 0"), F.expr("quality = 0 or toxic = 1")
     roll = F.pmod(F.xxhash64("doc_id"), F.lit(1000)) < int(1000 * UNSEEN)
     chosen = judged.select("doc_id", F.when(bad, False).when(good & ~roll, True).alias("good")).where("good is not null")
-    chosen = settle(chosen, "chosen")  # its size is known then; guessed too large, all texts would be shuffled
     texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id"), "lessons")
     models = [train(texts.where("good"), order), train(texts.where("not good"), order, 1)]
     discard(texts)
