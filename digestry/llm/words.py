@@ -7,6 +7,7 @@ never the table; a single text is never cut, so the longest text sets the least
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -194,41 +195,41 @@ def as_signed(values: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Values by 64-bit key: a table at most half full, with the next free place after a taken one."""
-
-    _FREE = np.int64(-(1 << 63))
+    """Values by distinct 64-bit key: keys in the order of their last bits, and where those of equal last bits begin. It takes
+    the bytes of keys and values and 4 to 8 more for each."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        size = 1 << max(4, (2 * len(keys)).bit_length())
-        self.mask = np.int64(size - 1)
-        self.keys, self.values = np.full(size, self._FREE), np.zeros(size, values.dtype)
-        left, at = np.arange(len(keys)), keys & self.mask
-        while len(left):
-            free = np.flatnonzero(self.keys[at] == self._FREE)
-            self.keys[at[free]] = keys[left[free]]
-            mine = self.keys[at] == keys[left]
-            self.values[at[mine]] = values[left[mine]]
-            left, at = left[~mine], (at[~mine] + 1) & self.mask
+        self.mask = np.int64((1 << max(4, len(keys).bit_length())) - 1)
+        order = np.argsort(keys & self.mask, kind="stable")
+        self._hold(keys[order], values[order])
+
+    def _hold(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.mask = np.int64((1 << max(4, len(keys).bit_length())) - 1)
+        self.begins = np.zeros(int(self.mask) + 2, np.int32 if len(keys) < 1 << 31 else np.int64)
+        np.cumsum(np.bincount(keys & self.mask, minlength=int(self.mask) + 1), out=self.begins[1:])
 
-    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
-        """Without the free places, so that a table is sent at a third of its size."""
-        taken = self.keys != self._FREE
-        return self.keys[taken], self.values[taken]
+    def __getstate__(self) -> tuple:
+        """Each array in bytes of its own, so that a task that reads the table holds little twice."""
+        return tuple((zlib.compress(x.tobytes(), 1), x.dtype.str) for x in (self.keys, self.values))
 
-    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
-        self.__init__(*state)
+    def __setstate__(self, state: tuple) -> None:
+        self._hold(*(np.frombuffer(zlib.decompress(data), kind) for data, kind in state))
 
     def get(self, keys: np.ndarray, default) -> np.ndarray:
-        at = keys & self.mask
+        if not len(self.keys):
+            return np.full(len(keys), default, self.values.dtype)
+        last = keys & self.mask
+        end = self.begins[last + 1]
+        # Keys of other last bits are never equal, so the first one looked at may be any.
+        at = np.minimum(self.begins[last], len(self.keys) - 1)
         seen = self.keys[at]
-        out = np.where(seen == keys, self.values[at], default).astype(self.values.dtype)
-        left = np.flatnonzero((seen != keys) & (seen != self._FREE))
-        at = at[left]
+        out = np.where(seen == keys, self.values[at], default).astype(self.values.dtype, copy=False)
+        left = np.flatnonzero((seen != keys) & (at + 1 < end))
+        at = at[left] + 1
         while len(left):
-            at = (at + 1) & self.mask
-            seen = self.keys[at]
-            hit = seen == keys[left]
+            hit = self.keys[at] == keys[left]
             out[left[hit]] = self.values[at[hit]]
-            on = ~hit & (seen != self._FREE)
-            left, at = left[on], at[on]
+            on = ~hit & (at + 1 < end[left])
+            left, at = left[on], at[on] + 1
         return out

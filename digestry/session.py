@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,13 +70,23 @@ def discard(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def shuffles_end_with_queries(spark: SparkSession) -> Iterator[None]:
-    """Within, what a query shuffled is deleted when the query ends, not when the driver's garbage is collected: for steps
-    that go on from written tables."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _within(spark: SparkSession, setting: str, value: str) -> Iterator[None]:
     before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "true")
+    spark.conf.set(setting, value)
     try:
         yield
     finally:
         spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
+
+
+def shuffles_end_with_queries(spark: SparkSession) -> AbstractContextManager[None]:
+    """Within, what a query shuffled is deleted when the query ends, not when the driver's garbage is collected: for steps
+    that go on from written tables."""
+    return _within(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, rows: int = 2048) -> AbstractContextManager[None]:
+    """Within, tasks get whole texts in batches of at most so many rows, so that a batch takes little of an executor's memory."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(setting, "10000"))
+    return _within(spark, setting, str(min(rows, now) if now > 0 else rows))

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -55,3 +56,16 @@ def test_sliced_batches_and_lookup():
     assert table.get(keys, -1).tolist() == list(range(1000))
     assert table.get(W.as_signed(W.mix(np.arange(1000, 1100, dtype=np.uint64))), -1).tolist() == [-1] * 100
     assert W.Lookup(keys[:0], keys[:0]).get(keys[:3], 7).tolist() == [7] * 3
+
+
+def test_lookup_is_small():
+    """Whatever the number of keys, a table takes at most 8 bytes beside each key and value, sent or not; any equal last bits do."""
+    for n in (1100, 2047, 2048, 5000):
+        keys = W.as_signed(W.mix(np.arange(n, dtype=np.uint64)))
+        keys[0], keys[1] = -(1 << 63), 0
+        made = W.Lookup(keys, np.arange(n, dtype=np.float32))
+        for table in (made, pickle.loads(pickle.dumps(made))):
+            assert table.get(keys, -1).tolist() == list(range(n))
+            assert sum(x.nbytes for x in vars(table).values() if isinstance(x, np.ndarray)) <= n * (8 + 4 + 8) + 100
+    crowded = W.Lookup(np.arange(50, dtype=np.int64) << 40, np.arange(50))
+    assert crowded.get(np.arange(60, dtype=np.int64) << 40, -1).tolist() == [*range(50), *[-1] * 10]
