@@ -229,3 +229,41 @@ def test_shuffled_rows_go_with_their_query(spark, monkeypatch):
     rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic boolean")
     assert Q.classify(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(docs)
     assert seen == ["true", "true"] and spark.conf.get(setting, None) == before
+
+
+def test_only_chosen_texts_are_shuffled(spark):
+    """Which documents are labelled is told before texts are shuffled, by a sketch of bounded size; the join leaves exactly those."""
+    docs = spark.range(4000).selectExpr("CASE WHEN id % 100 = 7 THEN null ELSE id END AS doc_id", "concat('text ', id) AS text")
+    chosen = spark.range(0, 4000, 40).selectExpr("id AS doc_id", "id % 80 = 0 AS good")
+    found = Q._lessons(docs.union(docs), chosen)
+    assert sorted(found.select("doc_id", "text", "good").collect()) == sorted((i, f"text {i}", i % 80 == 0) for i in range(0, 4000, 40) for _ in range(2))
+    keys = spark.range(4000).select(F.xxhash64("id").alias("gram"))
+    bits = Q._sketch(chosen.select(F.xxhash64("doc_id").alias("gram")))
+    marked = Q._marked(bits, keys.toArrow().column(0).to_numpy().view("uint64"))
+    assert marked[::40].all() and marked.sum() < 110
+
+
+def test_sketches_hold_one_round(spark, monkeypatch):
+    """Each round's sketch has only the pairs of words of that round."""
+    marked, sketch = [], Q._sketch
+    monkeypatch.setattr(Q, "FREQUENT", 0)
+    monkeypatch.setattr(Q, "SLICE_BYTES", 100)
+    monkeypatch.setattr(Q, "_sketch", lambda grams: marked.append(grams.count()) or sketch(grams))
+    random.seed(5)
+    texts = [" ".join(random.choices("abcdefgh", k=20)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = Q.train(docs, 2)
+    pairs = sum(x.count() for x in model.rare)
+    Q.score(docs, model, model, ("doc_id",), 2).collect()
+    assert len(marked) == Q.SLICES // Q.TOGETHER and sum(marked) == pairs and max(marked) < pairs
+
+
+def test_batches_of_texts_are_small(spark, monkeypatch):
+    """The setting holds while the models learn, and the session gets its own back."""
+    setting, seen, train = "spark.sql.execution.arrow.maxRecordsPerBatch", [], Q.train
+    before = spark.conf.get(setting, None)
+    monkeypatch.setattr(Q, "train", lambda *given: seen.append(int(spark.conf.get(setting))) or train(*given))
+    docs, labels = corpus()
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic boolean")
+    assert Q.classify(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(docs)
+    assert seen and max(seen) <= 2048 and spark.conf.get(setting, None) == before
