@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from digestry.llm.words import as_signed, words
+from digestry.llm.words import Lookup, as_signed, words
 from digestry.session import settle
 
 END = np.int64(0x0E4D)  # stands for the end of a text among word hashes
@@ -37,21 +37,30 @@ BATCH = 640
 RATE = 0.15
 ROUNDS = 2
 SHARE = 0.9           # of the neural model; the rest is the smoothed unigram model, so no word is hopeless
+CHUNK = 1 << 17       # bytes of texts in hand, so that what is made of them stays near
 HELD_ROWS = 500_000   # rows of parameters that a task adds up at a time
 
 
+def _classes() -> np.ndarray:
+    """Of each pair of a word's last byte and the one before."""
+    low = np.arange(256)
+    low[65:91] += 32
+    return ((low[:, None] * 7919 + low * 104729) % 65521 % CLASSES).astype(np.int32).reshape(-1)
+
+
+_CLASS_OF = _classes()
+
+
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per chunk: first and last text, token hashes and classes with an end after each text, bounds of the texts."""
-    for found in words(column):
+    for found in words(column, CHUNK):
         k = found.last - found.first
         bounds = found.bounds + np.arange(k + 1)
         out, classes = np.full(bounds[-1], END, np.int64), np.zeros(bounds[-1], np.int32)
         at = np.arange(len(found.hashes)) + found.owners()
         out[at] = as_signed(found.hashes)
         last, before = found.ends - 1, np.maximum(found.ends - 2, found.starts)
-        ends = [found.data[i].astype(np.int32) for i in (last, before)]
-        low = [np.where((e >= 65) & (e <= 90), e + 32, e) for e in ends]
-        classes[at] = (low[0] * 7919 + low[1] * 104729) % 65521 % CLASSES
+        classes[at] = _CLASS_OF.take(found.data.take(last).astype(np.int32) * 256 + found.data.take(before))
         yield found.first, found.last, out, classes, bounds
 
 
@@ -149,8 +158,14 @@ class LogBilinear:
     def copy(self) -> "LogBilinear":
         return replace(self, context=self.context.copy(), target=self.target.copy(), bias=self.bias.copy())
 
-    def of_tokens(self, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        return _look_up(self.words, self.ids, tokens, self.own + classes)
+    def finder(self) -> Lookup:
+        """Of each known word its place; far quicker to ask than the sorted hashes, and made once in a task."""
+        return Lookup(self.words, np.arange(len(self.words), dtype=np.int32))
+
+    def of_tokens(self, tokens: np.ndarray, classes: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+        """`places` of the tokens, if known: -1 for other words."""
+        places = self.finder().get(tokens, np.int32(-1)) if places is None else places
+        return np.where(places >= 0, self.ids.take(places, mode="wrap") if len(self.ids) else 0, self.own + classes).astype(np.int32, copy=False)
 
 
 def normalisers(spark: SparkSession, model: LogBilinear, rows: int = 256) -> np.ndarray:
@@ -183,11 +198,8 @@ def untrained(counts: Counts, dimensions: int = DIMENSIONS) -> LogBilinear:
                        random.normal(0, 0.01, (k + CLASSES, dimensions)).astype(np.float32), log_noise.copy())
 
 
-def _look_up(words_: np.ndarray, values: np.ndarray, tokens: np.ndarray, default: int | np.ndarray) -> np.ndarray:
-    if not len(words_):
-        return np.broadcast_to(np.asarray(default, values.dtype), tokens.shape).copy()
-    at = np.minimum(np.searchsorted(words_, tokens), len(words_) - 1)
-    return np.where(words_[at] == tokens, values[at], default).astype(values.dtype)
+def _bounded(x: np.ndarray) -> np.ndarray:
+    return np.minimum(np.maximum(x, -30, out=x), 30, out=x)
 
 
 def _before(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
@@ -199,10 +211,12 @@ def _before(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
 
 def _summed(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums of rows by key."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    # Keys are numbers of rows, so key and place fit one number, whose plain sort is quicker than a stable one of the keys.
+    bits = len(keys).bit_length()
+    both = np.sort((keys.astype(np.int64) << bits) + np.arange(len(keys)))
+    keys, order = both >> bits, both & ((1 << bits) - 1)
     at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[at], np.add.reduceat(rows[order], at, axis=0)
+    return keys[at], np.add.reduceat(rows.take(order, 0), at, axis=0)
 
 
 class _Trainer:
@@ -215,33 +229,52 @@ class _Trainer:
         self.past = [np.full(x.shape, 1e-1, np.float32) for x in (m.context, m.target, m.bias)]
         noise = np.exp(m.log_noise.astype(np.float64))
         self.edges, self.random = np.cumsum(noise / noise.sum()), np.random.default_rng(23)
+        self.drawn: list[np.ndarray] = []
 
     def _move(self, which: int, keys: np.ndarray, slope: np.ndarray) -> None:
         values = (self.model.context, self.model.target, self.model.bias)[which]
-        past = self.past[which]
-        past[keys] += slope * slope
-        values[keys] -= self.rate * slope / np.sqrt(past[keys])
+        past = self.past[which].take(keys, 0)
+        past += slope * slope
+        self.past[which][keys] = past
+        slope *= self.rate
+        slope /= np.sqrt(past, out=past)
+        values[keys] = np.subtract(values.take(keys, 0), slope, out=slope)
 
     def step(self, before: np.ndarray, after: np.ndarray) -> None:
         m, n = self.model, len(after)
         noise = np.minimum(np.searchsorted(self.edges, self.random.random(NOISE)), len(self.edges) - 1)
-        h, t, z = m.context[before], m.target[after], m.target[noise]
+        h, t, z = m.context.take(before, 0), m.target.take(after, 0), m.target.take(noise, 0)
         shift = np.float32(np.log(NOISE))
-        real = np.einsum("ij,ij->i", h, t) + m.bias[after] - m.log_noise[after] - shift
-        fake = h @ z.T + (m.bias[noise] - m.log_noise[noise] - shift)
-        lack = -1 / (1 + np.exp(np.clip(real, -30, 30)))
-        excess = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        slope_h = lack[:, None] * t + excess @ z
-        both = np.concatenate([after, noise])
-        keys, slope_t = _summed(np.concatenate([np.column_stack([lack[:, None] * h, lack]),
-                                                np.column_stack([excess.T @ h, excess.sum(0)])]), both)
+        real = np.einsum("ij,ij->i", h, t) + m.bias.take(after) - m.log_noise.take(after) - shift
+        fake = h @ z.T
+        fake += m.bias[noise] - m.log_noise[noise] - shift
+        lack = -1 / (1 + np.exp(_bounded(real)))
+        # In place from here on: these are the largest arrays of a step.
+        excess = np.negative(_bounded(fake), out=fake)
+        np.exp(excess, out=excess)
+        excess += 1
+        np.divide(1, excess, out=excess)
+        slope_h = excess @ z
+        slope_h += lack[:, None] * t
+        slope_t = np.empty((n + NOISE, h.shape[1] + 1), np.float32)
+        np.multiply(lack[:, None], h, out=slope_t[:n, :-1])
+        slope_t[:n, -1], slope_t[n:, :-1], slope_t[n:, -1] = lack, excess.T @ h, excess.sum(0)
+        keys, slope_t = _summed(slope_t, np.concatenate([after, noise]))
         scale = np.float32(1 / np.sqrt(n))
         self._move(1, keys, slope_t[:, :-1] * scale)
         self._move(2, keys, slope_t[:, -1] * scale)
         keys, slope_h = _summed(slope_h, before)
-        self._move(0, keys, slope_h * scale)
-        np.add.at(self.met[0], before, 1)
-        np.add.at(self.met[1], both, 1)
+        slope_h *= scale
+        self._move(0, keys, slope_h)
+        self.drawn.append(noise)
+
+    def learn(self, before: np.ndarray, after: np.ndarray, size: int) -> None:
+        """Steps of `size` tokens; the last one takes what is left."""
+        for at in range(0, len(after), size):
+            self.step(before[at:at + size], after[at:at + size])
+        for met, rows in zip(self.met, (before, np.concatenate([after, *self.drawn]))):
+            met += np.bincount(rows, minlength=len(met))
+        self.drawn = []
 
     def rows(self, start: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number, times met and change of the rows met: of contexts, then of targets, the latter with their bias. Changes
@@ -266,19 +299,16 @@ def _averaged(docs: DataFrame, model: LogBilinear, rate: float) -> LogBilinear:
     width = model.context.shape[1] + 1
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = _Trainer(model, rate)
+        trainer, find = _Trainer(model, rate), model.finder()
         left = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         for batch in batches:
             for *_, tokens, classes, bounds in _tokens(batch.column(0)):
-                ids = model.of_tokens(tokens, classes)
+                ids = model.of_tokens(tokens, classes, find.get(tokens, np.int32(-1)))
                 left = [np.concatenate([left[0], _before(ids, bounds, model.start)]), np.concatenate([left[1], ids])]
-                at = 0
-                while len(left[1]) - at >= BATCH:
-                    trainer.step(left[0][at:at + BATCH], left[1][at:at + BATCH])
-                    at += BATCH
+                at = len(left[1]) // BATCH * BATCH
+                trainer.learn(left[0][:at], left[1][:at], BATCH)
                 left = [x[at:] for x in left]
-        if len(left[1]):
-            trainer.step(*left)
+        trainer.learn(*left, BATCH)
         row, met, values = trainer.rows(model)
         for at in range(0, len(row), 10_000):
             yield pa.RecordBatch.from_arrays([pa.array(row[at:at + 10_000]), pa.array(met[at:at + 10_000]), _blobs(values[at:at + 10_000])], ["row", "met", "part"])
@@ -337,29 +367,30 @@ def score(docs: DataFrame, learn: Column) -> DataFrame:
     norms, total = normalisers(docs.sparkSession, model), float(known.tokens + known.types + 1)
     # With an unseen word in each class, all words' probabilities add up to one.
     total_here = total + CLASSES - 1
-    of_word = known.counts.astype(np.int64)
+    # The last one, of place -1, is that of all other words.
+    logs = np.append(np.log10(known.counts.astype(np.int64) + 1), 0.0)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, at = TaskContext.get().partitionId(), 0
+        part, at, find = TaskContext.get().partitionId(), 0, model.finder()
         for batch in batches:
             for first, last, tokens, classes, bounds in _tokens(batch.column(1)):
-                ids = model.of_tokens(tokens, classes)
+                places = find.get(tokens, np.int32(-1))
+                ids = model.of_tokens(tokens, classes, places)
                 before = _before(ids, bounds, model.start)
-                c = _look_up(model.words, of_word, tokens, 0)
-                dot = np.einsum("ij,ij->i", model.context[before], model.target[ids]).astype(np.float64)
-                neural = np.exp(dot + model.bias[ids] - norms[before])
+                dot = np.einsum("ij,ij->i", model.context.take(before, 0), model.target.take(ids, 0)).astype(np.float64)
+                neural = np.exp(dot + model.bias.take(ids) - norms.take(before))
                 # Both parts hold (count + 1) as a factor; where the count is not known here it is joined later. The words
                 # of a class share its probability by their counts.
-                share = SHARE * neural / model.mass[ids] + (1 - SHARE) / total_here
-                own = np.log10(c + 1)
-                tail = np.flatnonzero(c == 0)
+                share = SHARE * neural / model.mass.take(ids) + (1 - SHARE) / total_here
+                own = logs.take(places, mode="wrap")
+                tail = np.flatnonzero(places < 0)
                 edges = np.searchsorted(tail, bounds)
                 n, starts = last - first, bounds[:-1]
                 own_sums = np.add.reduceat(own, starts)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, part, np.int64)), pa.array(np.arange(at, at + n)),
                     batch.column(0).slice(first, n), batch.column(2).slice(first, n), pa.array(np.diff(bounds)),
-                    pa.array(np.add.reduceat((c > 0).astype(np.int64), starts)), pa.array(own_sums - np.diff(bounds) * np.log10(total)),
+                    pa.array(np.add.reduceat((places >= 0).astype(np.int64), starts)), pa.array(own_sums - np.diff(bounds) * np.log10(total)),
                     pa.array(own_sums + np.add.reduceat(np.log10(share), starts)),
                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tokens[tail]))],
                     ["part", "row", "doc_id", "learn", "n_tokens", "n_known", "base_score", "score", "tail"])

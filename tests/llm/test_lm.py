@@ -131,3 +131,56 @@ def test_counts_that_flow_over(spark):
     plain = Counter(w for r in docs.collect() for w in [*words(r.text), None])
     got = sorted(r.n for r in lm.word_counts(docs, keep=40).collect())
     assert got == sorted(plain.values())
+
+
+def plain_step(trainer, before, after):
+    """One step by the formulas alone, every intermediate result an array of its own."""
+    m, n = trainer.model, len(after)
+    noise = np.minimum(np.searchsorted(trainer.edges, trainer.random.random(lm.NOISE)), len(trainer.edges) - 1)
+    h, t, z = m.context[before], m.target[after], m.target[noise]
+    shift = np.float32(np.log(lm.NOISE))
+    real = np.einsum("ij,ij->i", h, t) + m.bias[after] - m.log_noise[after] - shift
+    fake = h @ z.T + (m.bias[noise] - m.log_noise[noise] - shift)
+    lack, excess = -1 / (1 + np.exp(np.clip(real, -30, 30))), 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
+    both, scale = np.concatenate([after, noise]), np.float32(1 / np.sqrt(n))
+    slopes = [(m.context, before, lack[:, None] * t + excess @ z), (m.target, both, np.concatenate([lack[:, None] * h, excess.T @ h])),
+              (m.bias, both, np.concatenate([lack, excess.sum(0)]))]
+    for values, past, (_, keys, slope) in zip((m.context, m.target, m.bias), trainer.past, slopes):
+        sums = np.zeros_like(values)
+        np.add.at(sums, keys, slope)
+        at = np.unique(keys)
+        past[at] += (sums[at] * scale) ** 2
+        values[at] -= trainer.rate * (sums[at] * scale) / np.sqrt(past[at])
+    np.add.at(trainer.met[0], before, 1)
+    np.add.at(trainer.met[1], both, 1)
+
+
+def test_quick_steps_are_those_of_the_formulas():
+    """A task that learns chunk by chunk ends with the parameters, and the numbers of meetings, of single plain steps."""
+    random = np.random.default_rng(3)
+    keys = np.sort(random.integers(-2**62, 2**62, 3000))
+    n = random.integers(1, 50, 3000)
+    classes = random.integers(0, lm.CLASSES, 3000).astype(np.int32)
+    counts = lm.Counts(keys, n, classes, int(n.sum()), 3000, np.bincount(classes, n + 1, lm.CLASSES).astype(np.int64))
+    model = lm.untrained(counts)
+    quick, plain = lm._Trainer(model, 0.15), lm._Trainer(model, 0.15)
+    after = random.integers(0, 200, 5000).astype(np.int32)
+    before = np.roll(after, 1)
+    quick.learn(before[:3200], after[:3200], 640)
+    quick.learn(before[3200:], after[3200:], 640)
+    for at in range(0, 5000, 640):
+        plain_step(plain, before[at:at + 640], after[at:at + 640])
+    for name in ("context", "target", "bias"):
+        assert np.allclose(getattr(quick.model, name), getattr(plain.model, name), rtol=1e-4, atol=1e-5)
+    assert all((a == b).all() for a, b in zip(quick.met, plain.met))
+
+
+def test_places_of_words():
+    """Tokens are looked up once for ids and counts; unknown ones have no place and go to their class."""
+    keys = np.array([-9, 4, 7], np.int64)
+    counts = lm.Counts(keys, np.array([3, 9, 1]), np.zeros(3, np.int32), 13, 3, np.zeros(lm.CLASSES, np.int64) + 20)
+    model = lm.untrained(counts)
+    tokens, classes = np.array([7, 5, -9, 4]), np.array([0, 2, 0, 0])
+    places = model.finder().get(tokens, np.int32(-1))
+    assert places.tolist() == [2, -1, 0, 1]
+    assert model.of_tokens(tokens, classes, places).tolist() == model.of_tokens(tokens, classes).tolist() == [2, model.own + 2, 1, 0]
