@@ -199,9 +199,11 @@ class Lookup:
     the bytes of keys and values and 4 to 8 more for each."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.mask = np.int64((1 << max(4, len(keys).bit_length())) - 1)
-        order = np.argsort(keys & self.mask, kind="stable")
-        self._hold(keys[order], values[order])
+        order = np.argsort(keys & np.int64((1 << max(4, len(keys).bit_length())) - 1), kind="stable")
+        keys = keys[order]
+        values = values[order]
+        del order
+        self._hold(keys, values)
 
     def _hold(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.keys, self.values = keys, values

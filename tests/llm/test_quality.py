@@ -1,6 +1,8 @@
 import math
 import os
+import pickle
 import random
+import weakref
 from collections import Counter, defaultdict
 
 import pytest
@@ -267,3 +269,29 @@ def test_batches_of_texts_are_small(spark, monkeypatch):
     rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic boolean")
     assert Q.classify(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(docs)
     assert seen and max(seen) <= 2048 and spark.conf.get(setting, None) == before
+
+
+def test_driver_holds_one_model_at_a_time(spark, monkeypatch):
+    """While the second model learns, the driver has sent the first and let go of it."""
+    made, alive, train = [], [], Q.train
+
+    def watched(*given):
+        alive.append(sum(x() is not None for x in made))
+        model = train(*given)
+        made.extend(weakref.ref(x) for x in (model, *model.shares, *model.rests))
+        return model
+
+    monkeypatch.setattr(Q, "train", watched)
+    docs, labels = corpus()
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, toxic boolean")
+    assert Q.classify(rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == len(docs)
+    assert alive == [0, 0] and not any(x() for x in made)
+
+
+def test_sent_models_are_whole(spark):
+    """What tasks read has the tables that the driver had, in order, each in bytes of its own."""
+    model = Q.train(spark.createDataFrame([(1, "a b c a b d"), (2, "b a d")], "doc_id long, text string"), 2)
+    read = pickle.loads(pickle.dumps(Q._ModelByValue(model)))
+    assert read.unknown == model.unknown and read.rare is None and [list(x) for x in read.discounts] == [list(x) for x in model.discounts]
+    for a, b in zip([*read.shares, *read.rests], [*model.shares, *model.rests], strict=True):
+        assert a.get(b.keys, 0).tolist() == b.values.tolist()
